@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import tokens
+from quarrykit.llm import neighbors, tokens
 from quarrykit.plans import Registry
 from quarrykit.session import table
 
@@ -23,3 +23,16 @@ def decoded(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
     back = tokens.decode(tokens.encode(table(spark, d, "documents")))
     return back.join(docs, "doc_id").select("doc_id", "text", (F.col("text") == F.col("original")).alias("same"))
+
+
+@registry.query("p6_found")
+def similar_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = neighbors.similar(table(spark, d, "code_chunks"), "id", "embedding", "created_at", k=10, least=0.9)
+    return rows.select("id_a", "id_b")
+
+
+@registry.query("p6_neighbors")
+def nearest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Per chunk its neighbours of a cosine of 0.9 or more, at most ten, with rank and similarity."""
+    pairs = neighbors.similar(table(spark, d, "code_chunks"), "id", "embedding", "created_at", k=10, least=0.9)
+    return neighbors.ranked(pairs, 10)
