@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import neighbors, tokens
+from quarrykit.llm import docs, neighbors, tokens
 from quarrykit.plans import Registry
 from quarrykit.session import table
 
@@ -36,3 +36,14 @@ def nearest_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Per chunk its neighbours of a cosine of 0.9 or more, at most ten, with rank and similarity."""
     pairs = neighbors.similar(table(spark, d, "code_chunks"), "id", "embedding", "created_at", k=10, least=0.9)
     return neighbors.ranked(pairs, 10)
+
+
+@registry.query("p2_found")
+def documented(spark: SparkSession, d: str) -> DataFrame:
+    return docs.pairs(table(spark, d, "code_functions")).where("tells").select("function_id").distinct()
+
+
+@registry.query("p2_pairs")
+def code_description_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs.pairs(table(spark, d, "code_functions")).where("tells").drop("tells")
+    return rows.dropDuplicates(["function_id"])
