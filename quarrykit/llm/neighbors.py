@@ -94,7 +94,8 @@ def usable(df: DataFrame, id: str, vector: str, version: str, width: int) -> Dat
 
     whole = (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull()) & F.col(id).isNotNull()
     rows = df.where(whole).select(F.col(id).cast("string").alias("id"), F.col(version).cast("string").alias("version"), F.col(vector).cast("array<float>").alias("v"))
-    rows = rows.mapInArrow(unit, "id string, version string, vec binary")
+    # the joins below ask for ids that are not null: asked here, all uses share one plan and its exchange
+    rows = rows.mapInArrow(unit, "id string, version string, vec binary").where(F.col("id").isNotNull())
     return rows.groupBy("id").agg(F.max_by("vec", F.struct("version", "vec")).alias("vec"))
 
 
