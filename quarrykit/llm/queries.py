@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import docs, neighbors, tokens
+from quarrykit.llm import docs, neighbors, quality, secrets, tokens
 from quarrykit.plans import Registry
 from quarrykit.session import table
 
@@ -47,3 +47,30 @@ def documented(spark: SparkSession, d: str) -> DataFrame:
 def code_description_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = docs.pairs(table(spark, d, "code_functions")).where("tells").drop("tells")
     return rows.dropDuplicates(["function_id"])
+
+
+def _credential_tables(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
+    return [("code_functions", table(spark, d, "code_functions"), "function_id", "body"), ("code_chunks", table(spark, d, "code_chunks"), "id", "content")]
+
+
+@registry.query("p5_found")
+def credentials(spark: SparkSession, d: str) -> DataFrame:
+    parts = [secrets.found(df, F.col(key), text, "file_path").select(F.lit(name).alias("table_name"), "row_key", "line_no") for name, df, key, text in _credential_tables(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+@registry.query("p5_redacted")
+def masked_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with the values of credentials masked, and how many there were."""
+    parts = [secrets.redacted(df, F.col(key), text, "file_path").select(F.lit(name).alias("table_name"), "row_key", "text", "n") for name, df, key, text in _credential_tables(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+@registry.query("p9_found")
+def no_prose(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scored(table(spark, d, "documents"), table(spark, d, "common_words")).where("no_prose").select("doc_id")
+
+
+@registry.query("p9_statistics")
+def text_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scored(table(spark, d, "documents"), table(spark, d, "common_words"))
