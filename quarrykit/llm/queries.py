@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import docs, neighbors, quality, secrets, tokens
+from quarrykit.llm import docs, neighbors, quality, secrets, syntax, tokens
 from quarrykit.plans import Registry
 from quarrykit.session import table
 
@@ -74,3 +74,13 @@ def no_prose(spark: SparkSession, d: str) -> DataFrame:
 @registry.query("p9_statistics")
 def text_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.scored(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+@registry.query("p3_found")
+def invalid_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.faults(table(spark, d, "source_files")).select("file_id")
+
+
+@registry.query("p3_rates")
+def invalid_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "source_files"))
