@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import docs, neighbors, quality, secrets, syntax, tokens
+from quarrykit.llm import docs, neighbors, provenance, quality, secrets, syntax, tokens
 from quarrykit.plans import Registry
 from quarrykit.session import table
 
@@ -84,3 +84,14 @@ def invalid_files(spark: SparkSession, d: str) -> DataFrame:
 @registry.query("p3_rates")
 def invalid_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "source_files"))
+
+
+@registry.query("p4_found")
+def not_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.judged(table(spark, d, "source_files")).where("reason is not null").select(F.col("id").alias("file_id"))
+
+
+@registry.query("p4_files")
+def provenance_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with the reason why it is not hand-written, if there is one, and what tells so."""
+    return provenance.judged(table(spark, d, "source_files")).withColumnRenamed("id", "file_id").drop("shared_tokens")
