@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import docs, neighbors, provenance, quality, secrets, syntax, tokens
+from quarrykit.llm import docs, mixture, neighbors, provenance, quality, secrets, syntax, tokens
 from quarrykit.plans import Registry
 from quarrykit.session import table
 
@@ -95,3 +95,17 @@ def not_handwritten(spark: SparkSession, d: str) -> DataFrame:
 def provenance_of_files(spark: SparkSession, d: str) -> DataFrame:
     """Every file with the reason why it is not hand-written, if there is one, and what tells so."""
     return provenance.judged(table(spark, d, "source_files")).withColumnRenamed("id", "file_id").drop("shared_tokens")
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mixed(table(spark, d, "documents"), table(spark, d, "mix_plans"), table(spark, d, "mix_targets"))
+
+
+@registry.query("p8_selection")
+def mixture_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+@registry.query("p8_shares")
+def mixture_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]

@@ -36,14 +36,15 @@ def language_of(path: str):
 def tokens(df: DataFrame, id: str = "file_id", path: str = "file_path", source: str = "source") -> DataFrame:
     """(id, tongue, pos, kind, line): the tokens of every file that can be checked."""
 
-    @F.pandas_udf("array<struct<kind:string,line:int>>")
+    @F.pandas_udf("string")
     def lex(texts: pd.Series, tongues: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "line": n} for k, n in lexer.tokens(t, g)] for t, g in zip(texts, tongues)])
+        # as text, since lists of objects for a whole batch of files would fill the worker
+        return pd.Series([" ".join(f"{k},{n}" for k, n in lexer.tokens(t, g)) for t, g in zip(texts, tongues)])
 
     files = df.where(F.length(source) > 0).select(F.col(id).alias("_q_id"), language_of(path).alias("tongue"), F.col(source).alias("_q_text")).where("tongue is not null")
     files = spread(files.groupBy("_q_id").agg(F.max_by(F.struct("tongue", "_q_text"), F.length("_q_text")).alias("f")).select("_q_id", "f.*"), "_q_id")
-    rows = files.select(F.col("_q_id").alias(id), "tongue", F.posexplode(lex("_q_text", "tongue")).alias("pos", "t"))
-    return rows.select(id, "tongue", "pos", "t.kind", "t.line")
+    rows = files.select(F.col("_q_id").alias(id), "tongue", F.posexplode(F.split(lex("_q_text", "tongue"), " ")).alias("pos", "t"))
+    return rows.select(id, "tongue", "pos", F.substring_index("t", ",", 1).alias("kind"), F.substring_index("t", ",", -1).cast("int").alias("line"))
 
 
 def pairs(spark) -> DataFrame:
