@@ -6,6 +6,6 @@ from quarrykit.plans import Registry
 
 
 def registries() -> list[Registry]:
-    from quarrykit.plans import nested_queries
+    from quarrykit.plans import corpus_queries, nested_queries
 
-    return [nested_queries.registry]
+    return [nested_queries.registry, corpus_queries.registry]
