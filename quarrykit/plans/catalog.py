@@ -6,6 +6,6 @@ from quarrykit.plans import Registry
 
 
 def registries() -> list[Registry]:
-    from quarrykit.plans import corpus_queries, nested_queries
+    from quarrykit.plans import corpus_queries, nested_queries, search_queries
 
-    return [nested_queries.registry, corpus_queries.registry]
+    return [m.registry for m in (nested_queries, corpus_queries, search_queries)]
