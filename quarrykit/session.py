@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -61,6 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder and read again: lineage cut, sizes known.
+
+    For loops whose tables are united round after round; the files stay until the folder is cleared.
+    """
+    path = os.path.join(shared_dir(df.sparkSession), f"quarrykit-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all cores, for rows that are few in bytes but dear to work on.
 
