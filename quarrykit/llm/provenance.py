@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.session import spread
+from quarrykit.session import cut, spread
 
 _TOKEN = re.compile(
     r"""(?P<c>//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>\"\"\".*?\"\"\"|'''.*?'''|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)|(?P<n>\d[\w.]*)|(?P<w>[^\W\d]\w*)|(?P<p>[^\s\w])""", re.S
@@ -174,7 +174,7 @@ def profile(df: DataFrame, id: str = "file_id", path: str = "file_path", source:
 
 def judged(df: DataFrame, id: str = "file_id", path: str = "file_path", source: str = "source", repo: str = "repo_url") -> DataFrame:
     """(id, reason, shared, ...): every file with the reason why it is not hand-written, or null."""
-    files = profile(df, id, path, source, repo)
+    files = cut(profile(df, id, path, source, repo))  # read three times below
     rules = files.select("id", "repo", F.explode(F.arrays_zip("rules", "sizes")).alias("r")).select("id", F.coalesce("repo", F.lit("")).alias("repo"), F.col("r.rules").alias("rule"), F.col("r.sizes").alias("size"))
     # a rule belongs to several repositories; two aggregates with map-side combine, no pairs of files
     common = rules.groupBy("rule").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("rule")
