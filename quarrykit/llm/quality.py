@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.session import cut
+
 #: Statistics that get a sketch.
 STATISTICS = ("mean_word_length", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "words_per_unit", "loose_share")
 #: Robust standard deviations from the median beyond which a value lies in a tail, and the least spread.
@@ -82,7 +84,8 @@ def scored(df: DataFrame, common_words: DataFrame, id: str = "doc_id", text: str
     """The statistics with percentiles (p_...), robust z-scores (z_...), ``tail`` and ``no_prose``."""
     stats = statistics(df, id, text, lang, common_pattern(common_words))
     known = [r[0] for r in common_words.select("lang").distinct().collect()]  # the languages of the fixed table
-    stats = stats.withColumn("_q_g", F.when(F.col("lang").isin(known), F.col("lang")).otherwise("other"))
+    # the statistics are few numbers a document, but dear: worked out once, for the sketches and for the scores
+    stats = cut(stats.withColumn("_q_g", F.when(F.col("lang").isin(known), F.col("lang")).otherwise("other")))
     sketches = stats.groupBy("_q_g").agg(*[F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS])
     ranks = F.array(*[F.lit(i / PERCENTILES) for i in range(PERCENTILES + 1)])
     grid = sketches.select("_q_g", *[F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, ranks)).alias("q_" + s) for s in STATISTICS])
