@@ -25,9 +25,10 @@ TOKENIZERS = os.environ.get("QUARRYKIT_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the split of text before merges, part of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A word with more than 1/HOT of all (document, word) rows is salted; at most HOT words can be.
-HOT = 4096
-#: Rows of a hot word that share one salt, as a part of 1/HOT of all rows.
+#: Most frequent words whose ids are broadcast, and their greatest length: a bound of some megabytes.
+HOT, HOT_LENGTH = 50_000, 32
+#: Rows of a word that share one salt in the join of all other words.
+SALTED = 1_000_000
 _S = "_q_"
 
 
@@ -65,20 +66,29 @@ def dictionary(df: DataFrame, id: str, text: str, tokenizers: str = TOKENIZERS,
 
 
 def encode(df: DataFrame, id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, ids): the token ids of every document."""
+    """(id, ids): the token ids of every document.
+
+    Most occurrences are of few words: those find their ids in a broadcast table of bounded size and
+    do not move.  The others are joined with the dictionary by word, long frequent ones salted.
+    """
     words = dictionary(df, id, text, tokenizers, vocabulary)
-    total = words.agg(F.sum(_S + "n")).first()[0] or 0
-    share = max(total // HOT, 10_000)
-    salts = F.ceil(F.col(_S + "n") / F.lit(share)).cast("int")
-    # proven bound: fewer than HOT words can have more than 1/HOT of all rows
-    hot = F.broadcast(words.where(F.col(_S + "n") > share).select(_S + "word", salts.alias(_S + "salts")))
-    copies = words.select(_S + "word", _S + "ids", F.explode(F.sequence(F.lit(0), salts - 1)).alias(_S + "salt"))
-    # one row per document and word; a task holds whole documents, so this combines before the shuffle
-    uses = pretokens(df, id, text).groupBy(_S + "doc", _S + "word").agg(F.collect_list(_S + "pos").alias(_S + "at"))
-    uses = uses.join(hot, _S + "word", "left").withColumn(_S + "salt", F.expr(f"cast(pmod(xxhash64({_S}doc), coalesce({_S}salts, 1)) as int)"))
-    placed = uses.join(copies, [_S + "word", _S + "salt"]).groupBy(_S + "doc").agg(F.collect_list(F.struct(_S + "at", _S + "ids")).alias(_S + "all"))
-    ordered = F.expr(f"array_sort(flatten(transform({_S}all, w -> transform(w.{_S}at, p -> struct(p as p, w.{_S}ids as ids)))))")
-    full = placed.select(F.col(_S + "doc").alias(id), F.flatten(F.transform(ordered, lambda w: w["ids"])).alias("ids"))
+    top = words.where(F.length(_S + "word") <= HOT_LENGTH).orderBy(F.desc(_S + "n"), _S + "word").limit(HOT)
+    # proven bound: HOT words of at most HOT_LENGTH characters
+    hot = F.broadcast(top.select(_S + "word", F.col(_S + "ids").alias(_S + "hot")))
+    uses = pretokens(df, id, text).join(hot, _S + "word", "left")
+    rows = uses.where(F.col(_S + "hot").isNotNull()).select(_S + "doc", _S + "pos", F.col(_S + "hot").alias(_S + "ids"))
+    if words.count() > top.count():
+        salts = F.ceil(F.col(_S + "n") / SALTED).cast("int")
+        rest = words.join(hot, _S + "word", "left_anti").select(_S + "word", _S + "ids", salts.alias(_S + "salts"))
+        copies = rest.select(_S + "word", _S + "ids", F.explode(F.sequence(F.lit(0), F.col(_S + "salts") - 1)).alias(_S + "salt"))
+        # words with several salts: their number is bounded by all rows over SALTED
+        many = F.broadcast(rest.where(F.col(_S + "salts") > 1).select(_S + "word", _S + "salts"))
+        cold = uses.where(F.col(_S + "hot").isNull()).join(many, _S + "word", "left")
+        cold = cold.withColumn(_S + "salt", F.expr(f"cast(pmod(xxhash64({_S}doc), coalesce({_S}salts, 1)) as int)"))
+        rows = rows.unionByName(cold.join(copies, [_S + "word", _S + "salt"]).select(_S + "doc", _S + "pos", _S + "ids"))
+    # a task holds whole documents, so their rows are put together before the shuffle
+    placed = rows.groupBy(_S + "doc").agg(F.array_sort(F.collect_list(F.struct(F.col(_S + "pos").alias("p"), F.col(_S + "ids").alias("ids")))).alias(_S + "all"))
+    full = placed.select(F.col(_S + "doc").alias(id), F.flatten(F.transform(_S + "all", lambda w: w["ids"])).alias("ids"))
     blank = df.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(id, F.array().cast("array<int>").alias("ids"))
     return full.unionByName(blank)
 
