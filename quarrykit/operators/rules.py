@@ -174,5 +174,6 @@ def models(files: DataFrame) -> DataFrame:
     """(repo_url, file_path, name, orm): data models that files declare."""
     p = F.col("source_preview")
     kinds = {"SQLAlchemy": r"class\s+(\w+)\s*\([^\n]*?(?:Base|Model|db\.Model)[^\n]*?\):", "Django ORM": r"class\s+(\w+)\s*\([^\n]*?models\.Model[^\n]*?\):", "Prisma": r"model\s+(\w+)\s*\{[^}]+\}", "TypeORM": r"@Entity\(\)\s*class\s+(\w+)"}
-    parts = F.concat(*[F.transform(F.regexp_extract_all(p, F.lit(r), F.lit(1)), lambda n, k=k: F.struct(n.alias("name"), F.lit(k).alias("orm"))) for k, r in kinds.items()])
+    named = lambda kind: lambda n: F.struct(n.alias("name"), F.lit(kind).alias("orm"))
+    parts = F.concat(*[F.transform(F.regexp_extract_all(p, F.lit(r), F.lit(1)), named(k)) for k, r in kinds.items()])
     return files.where(p.isNotNull()).select("repo_url", "file_path", F.explode(parts).alias("m")).select("repo_url", "file_path", "m.*").distinct()
