@@ -20,11 +20,11 @@ any   = (item | expr sep | sep)* expr?
 sep   = COMMA | SEMI
 expr  = pre* prim post* (op pre* prim post*)*
 op    = B | P | G | W | ASSIGN | A | Q | COLON | COMMA | E
-pre   = P | U | I | R | E | AT | D | C
+pre   = P | U | I | R | AT | D | C
 prim  = N | L | V | LP any RP | LB any RB | LC any RC | D | R
 post  = LP any RP | LB any RB | LC any RC | I | G list G | Q? DOT N | Q? DOT D | Q? DOT R | Q? DOT C | Q DOT LB | Q DOT LP
 list  = expr (COMMA expr)*
-after = RC item | RP item | RC SEMI | Z C | Z Z | D D | J SEMI | R SEMI | RP A | A item | COLON item | RC RC | RP E | G G | G LP | G LC | G COMMA | G SEMI | G RP | G COLON | G ASSIGN | G DOT | W word | ASSIGN word | COMMA RP | COMMA RB | COMMA RC | SEMI RP | LP SEMI | LP RP | LB RB | LC RC | D SEMI | D LC | D LP | D P | D COLON | RC EOF | SEMI EOF | BOF EOF | LC EOF | COLON RC | COLON SEMI | Z LC | C LC | C LP | RC Z | RC C | RC W | RC D | RP D | RP Z | RP C
+after = RC item | RP item | RC SEMI | Z C | Z Z | D D | J SEMI | R SEMI | RP A | A item | COLON item | RC RC | RP E | G G | G LP | G LC | G COMMA | G SEMI | G RP | G COLON | G ASSIGN | G DOT | W word | ASSIGN word | COMMA RP | COMMA RB | COMMA RC | SEMI RP | LP SEMI | LP RP | LB RB | LC RC | D SEMI | D LC | D LP | D P | D COLON | RC EOF | SEMI EOF | BOF EOF | LC EOF | COLON RC | COLON SEMI | Z LC | C LC | C LP | RC Z | RC C | RC W | RC D | RP D | RP Z | RP C | LP E | LB E | COMMA E | LC E | E N | E LP | E LB | E L | E V | E R | E LC | E D
 """
 
 #: What a language permits besides, as further adjacencies.
@@ -51,7 +51,7 @@ op    = B | P | G | W | ASSIGN | C | Z | COMMA | DOT | W W | COLON | A
 pre   = P | U | R | D
 prim  = N | L | V | E | LP any RP | LB any RB | LC any RC | L L
 post  = LP any RP | LB any RB | DOT N
-more  = N D | DOT D | LP RP | LB RB | LC RC | COMMA RP | COMMA RB | COMMA RC | COMMA NL | COMMA COLON | R COLON | D COLON | LP P | COMMA P | P COMMA | P RP | COLON COLON | LB COLON | COLON RB | COLON COMMA | W U | U W | Z COLON | C C | D D | D C | DOT W | W DOT | DOT DOT | R DOT | D DOT | R NL | J NL | RP NL | RB NL | RC NL | L NL | V NL | N NL | E NL | E LB | W LP | W P | D P | D N | R LP | R W | INDENT T | DEDENT T | NL T | BOF T | DEDENT H | NL H | T COLON | H COLON | H P | H LP | INDENT D | INDENT C | INDENT Z | INDENT R | INDENT J | INDENT N | INDENT L | INDENT V | INDENT E | INDENT AT | INDENT P | INDENT LP | INDENT LB | INDENT LC | DEDENT DEDENT | DEDENT EOF | DEDENT D | DEDENT C | DEDENT Z | DEDENT R | DEDENT J | DEDENT N | DEDENT L | DEDENT V | DEDENT AT | DEDENT LP | DEDENT LB | DEDENT E | NL EOF | NL D | NL C | NL Z | NL R | NL J | NL N | NL L | NL V | NL E | NL AT | NL LP | NL LB | NL LC | NL P | NL DEDENT | CNL INDENT | BOF EOF | BOF NL | COMMA SEMI | P COLON | R C | D L | E RP | E RB | E COMMA | C R | R R | W R | ASSIGN R | COLON R | LP R | COMMA R | COMMA D | LP D | LB D | C P | NL U | LP E | LB E | U LP | W C | COLON D | U U | W D | B R | A R | E DOT | E EOF | NL INDENT | A L | A V | SEMI NL
+more  = COMMA B | LP B | LC B | LB B | B COMMA | B RP | P NL | P SEMI | N R | L R | RB R | RP R | RC R | V R | RP D | L D | RB D | V D | N AT | RP AT | RB AT | R RP | N D | DOT D | LP RP | LB RB | LC RC | COMMA RP | COMMA RB | COMMA RC | COMMA NL | COMMA COLON | R COLON | D COLON | LP P | COMMA P | P COMMA | P RP | COLON COLON | LB COLON | COLON RB | COLON COMMA | W U | U W | Z COLON | C C | D D | D C | DOT W | W DOT | DOT DOT | R DOT | D DOT | R NL | J NL | RP NL | RB NL | RC NL | L NL | V NL | N NL | E NL | E LB | W LP | W P | D P | D N | R LP | R W | INDENT T | DEDENT T | NL T | BOF T | DEDENT H | NL H | T COLON | H COLON | H P | H LP | INDENT D | INDENT C | INDENT Z | INDENT R | INDENT J | INDENT N | INDENT L | INDENT V | INDENT E | INDENT AT | INDENT P | INDENT LP | INDENT LB | INDENT LC | DEDENT DEDENT | DEDENT EOF | DEDENT D | DEDENT C | DEDENT Z | DEDENT R | DEDENT J | DEDENT N | DEDENT L | DEDENT V | DEDENT AT | DEDENT LP | DEDENT LB | DEDENT E | NL EOF | NL D | NL C | NL Z | NL R | NL J | NL N | NL L | NL V | NL E | NL AT | NL LP | NL LB | NL LC | NL P | NL DEDENT | CNL INDENT | BOF EOF | BOF NL | COMMA SEMI | P COLON | R C | D L | E RP | E RB | E COMMA | C R | R R | W R | ASSIGN R | COLON R | LP R | COMMA R | COMMA D | LP D | LB D | C P | NL U | LP E | LB E | U LP | W C | COLON D | U U | W D | B R | A R | E DOT | E EOF | NL INDENT | A L | A V | SEMI NL
 """
 
 RUBY = """

@@ -26,6 +26,7 @@ ENDINGS = dict(_FAMILY)
 _SINGLE = {"(": "LP", ")": "RP", "[": "LB", "]": "RB", "{": "LC", "}": "RC", ",": "COMMA", ";": "SEMI", ":": "COLON", ".": "DOT", "?": "Q", "@": "AT", "#": "HASH", "!": "U", "~": "U", "<": "G", ">": "G", "=": "ASSIGN"}
 _OPERAND_END = frozenset("N L V RP RB RC I J".split())
 _QUOTED = r"""\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"""
+_PYTHON_NUMBER = r"0[xXbBoO][\da-fA-F_]+(?![\w.])|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?[jJ]?(?!\w)"
 _NUMBER = r"(?:0[xXbBoO][\da-fA-F_]+|(?:\d[\d_]*)(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)[a-zA-Z]*(?![\w])"
 _OPS = (
     ("E", r"\.\.\.|\.\.=?"), ("ASSIGN", r"(?:\*\*|//|<<|>>>|\?\?|&&|\|\||[-+*/%&|^@:])=(?![=>])"), ("A", r"->|=>"), ("I", r"\+\+|--"),
@@ -48,6 +49,10 @@ _STRING = {
 }
 _SLASH = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-zA-Z]*"
 _NAME = {"php": r"\$?[A-Za-z_\x80-\U0010ffff\\][\w\\]*", "ruby": r"@{0,2}\$?[A-Za-z_]\w*[?!]?(?!=[^=~>])|@{0,2}\$?[A-Za-z_]\w*", "rust": r"'[A-Za-z_]\w*(?!')|r\#[A-Za-z_]\w*|[A-Za-z_]\w*", "javascript": r"#?[\p{L}_$][\p{L}\p{N}_$]*", "typescript": r"#?[\p{L}_$][\p{L}\p{N}_$]*", "csharp": r"@?[\p{L}_]\w*"}
+#: Statements of Python that begin with a word which is a name elsewhere.
+_SOFT = regex.compile(r"(?:match|case)[ \t]+(?![=.,:)\]]|(?:in|is|and|or|if)\b)[^\n]*:[ \t]*(?:\#[^\n]*)?(?:\r?\n|\Z)|case[ \t]+[^\n]*:|match[ \t]*\([^\n]*\)[ \t]*:|type[ \t]+\w+[^\n]*=")
+#: What follows a name but not a word between operands.
+_NAMED = regex.compile(r"\s*(?:[.,)=:;\]&|?+]|\Z)")
 _OPENERS = frozenset("def class module begin do case".split())
 _MODIFIERS = frozenset("if unless while until for".split())
 
@@ -55,7 +60,7 @@ _MODIFIERS = frozenset("if unless while until for".split())
 @lru_cache(maxsize=16)
 def _pattern(language: str):
     space = _SPACE.get(language, r"\s+|//[^\n]*") + (r"|/\*.*?\*/" if language not in ("python", "ruby", "php", "rust") else "")
-    parts = [("X", _MARK), ("_S", space), ("_L", _STRING[language]), ("_O", r"/\*"), ("_N", _NUMBER), ("_W", _NAME.get(language, r"[\p{L}_]\w*"))]
+    parts = [("X", _MARK), ("_S", space), ("_L", _STRING[language]), ("_O", r"/\*"), ("_N", _PYTHON_NUMBER if language == "python" else _NUMBER if language in ("rust", "ruby") else _NUMBER + r"|(?<![\w)\]])\.\d[\d_]*(?:[eE][+-]?\d+)?[a-zA-Z]?(?!\w)"), ("_W", _NAME.get(language, r"[\p{L}_]\w*"))]
     ops = _OPS if language != "python" else (("ASSIGN", r"(?:\*\*|//|<<|>>|[-+*/%&|^@:])=(?!=)"), ("E", r"\.\.\."), ("A", r"->"), ("B", r"==|!=|<=|>=|<<|>>|\*\*|//|[/%^|&]"), ("P", r"[-+*]"))
     if language in ("javascript", "typescript"):
         ops = tuple((c, p.replace(r"\.\.\.|\.\.=?", r"\.\.\.").replace(r"|\?:", "")) for c, p in ops)
@@ -108,7 +113,7 @@ def tokens(text: str, language: str) -> list[tuple[str, int]]:
             at = m.end()
             continue
         c = text[at]
-        if c == "\n" or (c == "\r" and language == "python"):
+        if c == "\n" and language in ("python", "go", "ruby") or c == "\r" and language == "python":
             if language == "python":
                 if deep == 0 and last not in ("NL", "CNL", "BOF", "INDENT", "DEDENT"):
                     add("CNL" if last == "COLON" else "NL")
@@ -160,7 +165,7 @@ def tokens(text: str, language: str) -> list[tuple[str, int]]:
             at = n
             continue
         elif kind == "_N":
-            add("L" if regex.fullmatch(r"[\d_.]+(?:[eE][+-]?\d+)?[a-zA-Z]{0,5}\d{0,3}|0[xXbBoO][\da-fA-F_]+\w*", s) else "X")
+            add("L" if language == "python" or regex.fullmatch(r"\.?[\d_.]+(?:[eE][+-]?\d+)?[a-zA-Z]{0,5}\d{0,3}|0[xXbBoO][\da-fA-F_]+\w*", s) else "X")
         elif kind == "_W":
             word = s
             if language == "ruby" and last != "DOT" and not text.startswith(":", m.end()) or language == "ruby" and last != "DOT" and text.startswith("::", m.end()):
@@ -179,9 +184,15 @@ def tokens(text: str, language: str) -> list[tuple[str, int]]:
                     add("KE")
                     at = m.end()
                     continue
+            if language == "python" and word in ("match", "case", "type") and last in ("NL", "INDENT", "DEDENT", "BOF", "CNL") and _SOFT.match(text, at):
+                add("D" if word == "type" else "C")
+                at, head = m.end(), word
+                continue
             known = words.get(word if language != "php" else word.lower())
             if last == "DOT" and language != "python" and not (language == "rust" and word == "await") or language == "ruby" and text.startswith(":", m.end()) and not text.startswith("::", m.end()):
                 known = None
+            if known == "W" and language in ("javascript", "typescript") and word in ("of", "from", "as", "is") and _NAMED.match(text, m.end()):
+                known = None
             add(known or "N")
             head = word
         elif kind == "_1":
@@ -212,7 +223,7 @@ def tokens(text: str, language: str) -> list[tuple[str, int]]:
         out.extend([("DEDENT", line)] * (len(indents) - 1))
     elif language == "ruby" and out[-1][0] not in ("NL", "BOF"):
         add("NL")
-    elif language == "go" and out[-1][0] in ("N", "L", "V", "RP", "RB", "RC", "I", "J", "R"):
+    elif language == "go" and out[-1][0] in ("N", "L", "V", "RP", "RB", "RC", "I", "J", "R") or language in ("javascript", "typescript") and out[-1][0] in ("N", "L", "V", "RP", "RB", "J"):
         add("SEMI")
     add("EOF")
     return out

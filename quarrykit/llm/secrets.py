@@ -52,7 +52,7 @@ _CONNECT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@\"'<>`]*):([^\s\"'<>`]
 _LOGIN = re.compile(r"(?:^|\s)-u\s+[\"']?[\w.-]+:([^\s\"'`]+)")
 _NAME = re.compile(
     r"""(?i)(?P<name>(?:[\w$.-]*?(?<![a-z]))?(?:passw(?:or)?d|passwd|passphrase|pwd|pass|secrets?|tokens?|credentials?|auth|api[_ -]?key|access[_-]?key|(?:(?<=[a-z])|[_.-]|\b)key)(?![a-z])[\w.-]*|[\w$.-]*?[a-z](?-i:Pass|Pwd|Password|Passwd|Secret|Token|Key|Auth)(?![a-z])[\w.-]*|authorization)
-        ["'`\])]*\s*(?P<join>:=|=>|==?|:|,|\()\s*""",
+        ["'`\])]*\s*(?P<join>:=|=>|==?|\?\?|\?:|\|\||\bor\b|:|,|\()\s*""",
     re.X,
 )
 #: Names that are near a secret but hold none, by their last part; and all that is public or a count.

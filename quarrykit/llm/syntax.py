@@ -12,9 +12,13 @@ repository or language is a group of its own in the rates.
 
 from __future__ import annotations
 
+import ast
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quarrykit.llm import grammar, lexer
 from quarrykit.session import spread
@@ -90,7 +94,25 @@ def faults(df: DataFrame, id: str = "file_id", path: str = "file_path", source:
     flags = rows.select(id, "tongue", "line", alien.alias("alien"), torn.alias("torn"), (headless | bare | (top & lost) | record).alias("unproduced"))
     first = lambda c: F.min(F.when(F.col(c), F.col("line")))
     found = flags.groupBy(id, "tongue").agg(first("alien").alias("pair_line"), first("torn").alias("nesting_line"), first("unproduced").alias("production_line"))
-    return found.where(F.coalesce("pair_line", "nesting_line", "production_line").isNotNull())
+    found = found.where(F.coalesce("pair_line", "nesting_line", "production_line").isNotNull())
+    # an exact check follows for Python, whose parser is at hand: found files that it takes are dropped
+    texts = df.select(F.col(id).alias("_q_i"), F.col(source).alias("_q_t")).join(found.where("tongue = 'python'").select(id), F.col("_q_i") == F.col(id), "left_semi")
+    fine = texts.where(F.length("_q_t") > 0).where(_parses("_q_t")).select(F.col("_q_i").alias(id)).distinct()
+    return found.join(fine, id, "left_anti")
+
+
+@F.pandas_udf(BooleanType())
+def _parses(texts: pd.Series) -> pd.Series:
+    def one(t: str) -> bool:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(t)
+            return True
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return False
+
+    return texts.map(one)
 
 
 def rates(df: DataFrame, id: str = "file_id", path: str = "file_path", source: str = "source", repo: str = "repo_url", language: str = "language") -> DataFrame:
