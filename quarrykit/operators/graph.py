@@ -161,7 +161,7 @@ def impact(edges: DataFrame, function: bool = False) -> DataFrame:
 
 # --- graphs of a code base -------------------------------------------------------------------------
 
-#: How imports look, by language; the first group is the imported name.
+# How imports look, by language; the first group is the imported name.
 IMPORTS = {
     "python": r"(?m)^[ \t]*(?:from[ \t]+([\w.]+)[ \t]+import|import[ \t]+([\w.]+))", "javascript": r"""(?:import\s+[^;\n]*?from\s+['"]([^'"]+)['"]|require\s*\(['"]([^'"]+)['"]\))""",
     "typescript": r"""import\s+[^;\n]*?from\s+['"]([^'"]+)['"]()""", "java": r"import\s+([\w.]+)()", "rust": r"use\s+([\w:]+)()", "ruby": r"""require\s+['"]([^'"]+)['"]()""",

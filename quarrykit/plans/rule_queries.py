@@ -149,6 +149,7 @@ LOW_SIGNS = {
     "validation": ("validate", "sanitize", "escape", "parameterized", "prepared"), "caching": ("cache", "redis", "memcache", "lru_cache", "@cache"),
     "pooling": ("pool", "connection_pool", "pool_size", "max_connections"), "queues": ("celery", "rabbitmq", "kafka", "queue", "pubsub", "sns", "sqs"), "cors": ("cors",),
 }
+# How errors are handled, and how SQL is put together from text.
 HANDLING = ("try:", "except", "try {", "catch", ".catch(", "rescue", "recover")
 RAW_SQL = (r"""f["'].*(?:SELECT|INSERT|UPDATE|DELETE).*\{""", r"""(?:execute|query)\s*\(\s*f["']""", r"\.format\(.*(?:SELECT|INSERT|UPDATE|DELETE)")
 
@@ -221,6 +222,7 @@ def complexity_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("level", F.when(F.col("score") >= 8, "critical").when(F.col("score") >= 6, "high").when(F.col("score") >= 4, "moderate").otherwise("low"))
 
 
+# Folders of layers, and words of event-driven systems.
 LAYERS = ("api", "routes", "service", "services", "repository", "repositories", "domain", "core", "infrastructure", "data", "presentation")
 EVENTS = ("event", "listener", "handler", "subscriber", "publish", "emit", "on_event", "event_bus", "message_queue", "celery", "kafka")
 
