@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from quarrykit.session import session, ship
 
-    s = session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
+    s = session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2", "spark.sql.codegen.wholeStage": "false", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
     yield s
