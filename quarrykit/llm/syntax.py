@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from quarrykit.llm import grammar, lexer
-from quarrykit.session import spread
+from quarrykit.session import cut, spread
 
 _BRACKETS = {"LP": "RP", "LB": "RB", "LC": "RC", "KO": "KE"}
 #: Classes that can begin a declaration at the top of a file, for languages without statements there.
@@ -94,7 +94,7 @@ def faults(df: DataFrame, id: str = "file_id", path: str = "file_path", source:
     flags = rows.select(id, "tongue", "line", alien.alias("alien"), torn.alias("torn"), (headless | bare | (top & lost) | record).alias("unproduced"))
     first = lambda c: F.min(F.when(F.col(c), F.col("line")))
     found = flags.groupBy(id, "tongue").agg(first("alien").alias("pair_line"), first("torn").alias("nesting_line"), first("unproduced").alias("production_line"))
-    found = found.where(F.coalesce("pair_line", "nesting_line", "production_line").isNotNull())
+    found = cut(found.where(F.coalesce("pair_line", "nesting_line", "production_line").isNotNull()))  # used twice below
     # an exact check follows for Python, whose parser is at hand: found files that it takes are dropped
     texts = df.select(F.col(id).alias("_q_i"), F.col(source).alias("_q_t")).join(found.where("tongue = 'python'").select(id), F.col("_q_i") == F.col(id), "left_semi")
     fine = texts.where(F.length("_q_t") > 0).where(_parses("_q_t")).select(F.col("_q_i").alias(id)).distinct()
