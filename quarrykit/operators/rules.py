@@ -88,14 +88,14 @@ LIMITS = {"medium": 12, "high": 20, "worst": 30, "deep": 5, "name": 40, "params"
 TIGHT = {"medium": 4, "high": 5, "worst": 6, "deep": 3, "name": 20, "params": 2, "module": 5, "large": 7, "broad": 1, "dead": 1}
 
 
-def quality(files: DataFrame, functions: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+def quality(files: DataFrame, functions: DataFrame, limits: dict[str, int] = LIMITS, text: str = "source_preview") -> DataFrame:
     """Issues of structure: complexity, nesting, long names, many parameters, large modules, broad handlers, dead comments, star imports."""
     f = functions.select(
         "repo_url", "file_path", F.col("start_line").alias("at"), F.col("name").alias("subject"), T.complexity(F.col("body")).alias("cc"), T.nesting(F.col("body")).alias("deep"),
         F.coalesce(F.size("parameters"), F.lit(0)).alias("params"), F.length("name").alias("len"),
     )
     at, cc = F.col("at"), F.col("cc")
-    p = F.col("source_preview")
+    p = F.col(text)
     s = files.select("repo_url", "file_path", F.col("file_path").alias("subject"), "language", p)
     trimmed = F.transform(F.split(p, "\n"), T.trim_all)
     dead = F.size(F.filter(trimmed, lambda x: (x.startswith("#") | x.startswith("//")) & T.any_of(x, CODE_WORDS)))
@@ -133,16 +133,17 @@ def magic_numbers(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return df.select(*keys, odd.alias("n")).where(F.size("n") >= 5).select(*keys, F.size("n").alias("count"), F.slice("n", 1, 3).alias("first"))
 
 
-def performance(files: DataFrame, functions: DataFrame) -> DataFrame:
+def performance(files: DataFrame, functions: DataFrame, text: str = "source_preview") -> DataFrame:
     """Slow patterns in functions and files, one row per place and type."""
-    b, p = F.col("body"), F.col("source_preview")
+    b, p = F.col("body"), F.col(text)
     loops = F.regexp_count(b, F.lit(r"\bfor\b")) + F.regexp_count(b, F.lit(r"\bwhile\b"))
     head = r"(?m)for\s+\w+\s+in\s+[^\n]*:\s*\n"
     query = b.rlike(rf"{head}(?:[^\n]*\n)*?[^\n]*(?:\.query|\.filter|\.find|\.get|\.fetch|execute)")
     concat = b.rlike(rf"""{head}(?:[^\n]*\n)*?[^\n]*\+\s*=\s*[^\n]*(?:str|["'])""")
     blocking = b.contains("async def") & b.rlike(r"\b(open|requests\.get|requests\.post|urllib|time\.sleep)\b")
     whole = p.rlike(r"\.read\(\s*\)") & ~p.rlike("(?i)chunk|stream|iter")
-    uncached = p.rlike(r"(?m)def\s+get_\w+[^\n]*:\s*\n(?:[^\n]*\n)*?[^\n]*(?:\.query|requests\.|fetch|api)") & ~p.rlike("(?i)cache|lru_cache|memoize|redis")
+    # no group repeats by line here: on a long file that would use up the stack
+    uncached = p.rlike(r"(?s)def\s+get_\w+[^\n]*:\s*\n.*?(?:\.query|requests\.|fetch|api)") & ~p.rlike("(?i)cache|lru_cache|memoize|redis")
     per = lambda keep, kind, severity: F.when(keep, F.struct(F.lit(kind).alias("type"), severity.alias("severity")))
     f = functions.select("repo_url", "file_path", F.col("start_line").alias("line"), F.explode(F.filter(F.array(
         per(query, "n_plus_one", F.lit("high")), per(loops >= 3, "heavy_loop", F.when(loops > 3, "high").otherwise("medium")),
@@ -152,9 +153,9 @@ def performance(files: DataFrame, functions: DataFrame) -> DataFrame:
     return f.unionByName(s).select("repo_url", "file_path", "line", "i.type", "i.severity").dropDuplicates(["repo_url", "file_path", "type", "line"])
 
 
-def endpoints(files: DataFrame) -> DataFrame:
+def endpoints(files: DataFrame, text: str = "source_preview") -> DataFrame:
     """(repo_url, method, endpoint, framework, file_path): routes that files declare, the first of each method and path."""
-    p = F.col("source_preview")
+    p = F.col(text)
     verb = r"(get|post|put|delete|patch)"
     call = lambda lead, group: F.regexp_extract_all(p, F.lit(rf"""(?i){lead}\.{verb}\s*\(\s*["']([^"']+)["']"""), F.lit(group))
     two = lambda name, lead: F.transform(F.arrays_zip(call(lead, 1).alias("m"), call(lead, 2).alias("e")), lambda x: F.struct(F.upper(x["m"]).alias("method"), x["e"].alias("endpoint"), F.lit(name).alias("framework")))
@@ -170,9 +171,9 @@ def endpoints(files: DataFrame) -> DataFrame:
     return tables.one_per_key(rows, ["repo_url", "method", "endpoint"], ["file_path", "pos"]).drop("pos")
 
 
-def models(files: DataFrame) -> DataFrame:
+def models(files: DataFrame, text: str = "source_preview") -> DataFrame:
     """(repo_url, file_path, name, orm): data models that files declare."""
-    p = F.col("source_preview")
+    p = F.col(text)
     kinds = {"SQLAlchemy": r"class\s+(\w+)\s*\([^\n]*?(?:Base|Model|db\.Model)[^\n]*?\):", "Django ORM": r"class\s+(\w+)\s*\([^\n]*?models\.Model[^\n]*?\):", "Prisma": r"model\s+(\w+)\s*\{[^}]+\}", "TypeORM": r"@Entity\(\)\s*class\s+(\w+)"}
     named = lambda kind: lambda n: F.struct(n.alias("name"), F.lit(kind).alias("orm"))
     parts = F.concat(*[F.transform(F.regexp_extract_all(p, F.lit(r), F.lit(1)), named(k)) for k, r in kinds.items()])

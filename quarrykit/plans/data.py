@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrykit.plans import Registry
 from quarrykit.session import table
 
+PREVIEW, WHOLE = "source_preview", "source"
+
+
+def files(spark: SparkSession, d: str, text: str = PREVIEW) -> DataFrame:
+    """Source files, each once (repeated rows are equal), with the start of their text or, as WHOLE, all of it."""
+    return table(spark, d, "source_files").select("file_id", "repo_url", "file_path", "language", "line_count", "size_bytes", text, "ord").distinct()
+
+
+def text_query(registry: Registry) -> Callable[[str, str], Callable]:
+    """Registers f(spark, d, text) twice with its SQL: NAME reads the first 2,000 characters of files, NAME_whole all of them."""
+
+    def query(name: str, sql: str) -> Callable:
+        def add(f: Callable) -> Callable:
+            registry.query(name, sql)(lambda spark, d: f(spark, d, PREVIEW))
+            registry.query(f"{name}_whole", sql.replace(PREVIEW, WHOLE))(lambda spark, d: f(spark, d, WHOLE))
+            return f
+
+        return add
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """Source files, each once (repeated rows are equal)."""
-    return table(spark, d, "source_files").select("file_id", "repo_url", "file_path", "language", "line_count", "size_bytes", "source_preview", "ord").distinct()
+    return query
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:

@@ -9,10 +9,11 @@ from quarrykit.functions import text as T
 from quarrykit.operators import rules, tables
 from quarrykit.plans import Registry
 from quarrykit.plans.corpus_queries import PARENT, sql_any, sql_count
-from quarrykit.plans.data import FILES, FUNCTIONS, files, functions
+from quarrykit.plans.data import FILES, FUNCTIONS, PREVIEW, WHOLE, files, functions, text_query
 
 registry = Registry()
 query = registry.query
+of_texts = text_query(registry)
 
 
 def _quoted(text: str) -> str:
@@ -33,15 +34,15 @@ SELECT {keys}, line, label, severity, issue, fix, match FROM (SELECT *, row_numb
 _PLAIN = tuple(r for r in rules.SECURITY if r.sql)
 
 
-@query("security_scan", scan_sql(FILES, "file_id", "source_preview", _PLAIN))
-def security_scan(spark: SparkSession, d: str) -> DataFrame:
-    return rules.scan(files(spark, d), ["file_id"], "source_preview", _PLAIN)
+@of_texts("security_scan", scan_sql(FILES, "file_id", "source_preview", _PLAIN))
+def security_scan(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return rules.scan(files(spark, d, text), ["file_id"], text, _PLAIN)
 
 
 @query("security_scan_all")
 def security_scan_all(spark: SparkSession, d: str) -> DataFrame:
-    """With the rule that looks ahead, which SQL cannot express."""
-    return rules.scan(files(spark, d), ["file_id"], "source_preview", rules.SECURITY)
+    """Over whole texts, with the rule that looks ahead, which SQL cannot express."""
+    return rules.scan(files(spark, d, WHOLE), ["file_id"], WHOLE, rules.SECURITY)
 
 
 @query("security_scan_bodies", scan_sql(FUNCTIONS, "function_id", "body", _PLAIN))
@@ -49,9 +50,9 @@ def security_scan_bodies(spark: SparkSession, d: str) -> DataFrame:
     return rules.scan(functions(spark, d), ["function_id"], "body", _PLAIN)
 
 
-@query("security_by_severity", f"SELECT severity, label, count(*) AS n FROM ({scan_sql(FILES, 'file_id', 'source_preview', _PLAIN)}) GROUP BY ALL")
-def security_by_severity(spark: SparkSession, d: str) -> DataFrame:
-    return rules.scan(files(spark, d), ["file_id"], "source_preview", _PLAIN).groupBy("severity", "label").agg(F.count("*").alias("n"))
+@of_texts("security_by_severity", f"SELECT severity, label, count(*) AS n FROM ({scan_sql(FILES, 'file_id', 'source_preview', _PLAIN)}) GROUP BY ALL")
+def security_by_severity(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return rules.scan(files(spark, d, text), ["file_id"], text, _PLAIN).groupBy("severity", "label").agg(F.count("*").alias("n"))
 
 
 @query("secret_scan", scan_sql("documents", "doc_id", "text", rules.SECRETS))
@@ -82,32 +83,32 @@ s AS (SELECT *, len(regexp_extract_all(source_preview, '\\bexcept\\s*:')) + len(
 {_ISSUE.format(line='NULL', category='star import', severity="'medium'", subject='file_path', table='s', where="language = 'python' AND regexp_matches(source_preview, 'from\\s+\\S+\\s+import\\s+\\*')")}"""
 
 
-@query("quality_issues", QUALITY)
-def quality_issues(spark: SparkSession, d: str) -> DataFrame:
-    return rules.quality(files(spark, d), functions(spark, d), rules.TIGHT)
+@of_texts("quality_issues", QUALITY)
+def quality_issues(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return rules.quality(files(spark, d, text), functions(spark, d), rules.TIGHT, text)
 
 
-@query("quality_issue_counts", f"SELECT category, severity, count(*) AS n, count(DISTINCT repo_url) AS repos FROM ({QUALITY}) GROUP BY ALL")
-def quality_issue_counts(spark: SparkSession, d: str) -> DataFrame:
-    return rules.quality(files(spark, d), functions(spark, d), rules.TIGHT).groupBy("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("repo_url").alias("repos"))
+@of_texts("quality_issue_counts", f"SELECT category, severity, count(*) AS n, count(DISTINCT repo_url) AS repos FROM ({QUALITY}) GROUP BY ALL")
+def quality_issue_counts(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return rules.quality(files(spark, d, text), functions(spark, d), rules.TIGHT, text).groupBy("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("repo_url").alias("repos"))
 
 
-@query("quality_score", f"""
+@of_texts("quality_score", f"""
 SELECT repo_url, count(*) AS issues, round(greatest(0, least(10, 10 - sum(CASE severity WHEN 'critical' THEN 1.5 WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.5 ELSE 0.2 END)))::DOUBLE, 1) AS score FROM ({QUALITY}) GROUP BY repo_url""")
-def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    return rules.penalised(rules.quality(files(spark, d), functions(spark, d), rules.TIGHT), "repo_url")
+def quality_score(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return rules.penalised(rules.quality(files(spark, d, text), functions(spark, d), rules.TIGHT, text), "repo_url")
 
 
-@query("first_issue_per_file", f"""
+@of_texts("first_issue_per_file", f"""
 SELECT file_path, repo_url, category, severity FROM (SELECT *, row_number() OVER (PARTITION BY repo_url, file_path ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, category) AS r FROM ({QUALITY})) WHERE r = 1""")
-def first_issue_per_file(spark: SparkSession, d: str) -> DataFrame:
-    rows = rules.quality(files(spark, d), functions(spark, d), rules.TIGHT).withColumn("rank", T.severity_rank(F.col("severity"))).select("repo_url", "file_path", "rank", "category", "severity")
+def first_issue_per_file(spark: SparkSession, d: str, text: str) -> DataFrame:
+    rows = rules.quality(files(spark, d, text), functions(spark, d), rules.TIGHT, text).withColumn("rank", T.severity_rank(F.col("severity"))).select("repo_url", "file_path", "rank", "category", "severity")
     return tables.one_per_key(rows, ["repo_url", "file_path"], ["rank", "category"]).select("file_path", "repo_url", "category", "severity")
 
 
 @query("magic_numbers")
 def magic_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return rules.magic_numbers(files(spark, d), ["file_id"], "source_preview")
+    return rules.magic_numbers(files(spark, d, WHOLE), ["file_id"], WHOLE)
 
 
 _LOOPS = "len(regexp_extract_all(body, '\\bfor\\b')) + len(regexp_extract_all(body, '\\bwhile\\b'))"
@@ -120,24 +121,24 @@ def heavy_loops(spark: SparkSession, d: str) -> DataFrame:
 
 @query("performance_issues")
 def performance_issues(spark: SparkSession, d: str) -> DataFrame:
-    return rules.performance(files(spark, d), functions(spark, d))
+    return rules.performance(files(spark, d, WHOLE), functions(spark, d), WHOLE)
 
 
 @query("declared_endpoints")
 def declared_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    return rules.endpoints(files(spark, d))
+    return rules.endpoints(files(spark, d, WHOLE), WHOLE)
 
 
 @query("declared_models")
 def declared_models(spark: SparkSession, d: str) -> DataFrame:
-    return rules.models(files(spark, d))
+    return rules.models(files(spark, d, WHOLE), WHOLE)
 
 
-@query("string_literal_names", """
+@of_texts("string_literal_names", """
 SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(source_preview, '([A-Za-z_]+)\\s*=\\s*["''][^"'']*["'']', 1)) AS name FROM (SELECT DISTINCT file_id, source_preview FROM source_files)) GROUP BY name""")
-def string_literal_names(spark: SparkSession, d: str) -> DataFrame:
-    names = F.regexp_extract_all("source_preview", F.lit(r"""([A-Za-z_]+)\s*=\s*["'][^"']*["']"""), F.lit(1))
-    return files(spark, d).select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+def string_literal_names(spark: SparkSession, d: str, text: str) -> DataFrame:
+    names = F.regexp_extract_all(text, F.lit(r"""([A-Za-z_]+)\s*=\s*["'][^"']*["']"""), F.lit(1))
+    return files(spark, d, text).select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
 # Words that stand for parts of a production system.
@@ -165,9 +166,9 @@ def _signs_sql() -> str:
     return f"SELECT repo_url, {', '.join(cols)} FROM {FILES} GROUP BY repo_url"
 
 
-def signs(spark: SparkSession, d: str) -> DataFrame:
-    """Per repository whether any preview has the signs of a production system: aggregates, no joined corpus."""
-    p, path = F.col("source_preview"), F.lower("file_path")
+def signs(spark: SparkSession, d: str, text: str = PREVIEW) -> DataFrame:
+    """Per repository whether any text has the signs of a production system: aggregates, no joined corpus."""
+    p, path = F.col(text), F.lower("file_path")
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     cols = [some(T.any_of(p, v)).alias(k) for k, v in SIGNS.items()] + [some(T.any_of(F.lower(p), v)).alias(k) for k, v in LOW_SIGNS.items()]
     handling = sum((some(p.contains(h)).cast("int") for h in HANDLING), F.lit(0))
@@ -176,15 +177,15 @@ def signs(spark: SparkSession, d: str) -> DataFrame:
     for r in RAW_SQL:
         raw = raw | some(p.rlike("(?i)" + r))
     times = lambda w: F.floor((F.length(p) - F.length(F.replace(p, F.lit(w), F.lit("")))) / len(w))
-    return files(spark, d).groupBy("repo_url").agg(
+    return files(spark, d, text).groupBy("repo_url").agg(
         *cols, handling.alias("handling"), secret.alias("secrets"), raw.alias("raw_sql"), F.coalesce(F.sum(times("global ") + times("_instance = None")), F.lit(0)).alias("globals"),
         F.count_if(path.contains("test") | path.contains("spec")).alias("tests"), F.count("*").alias("files"),
     )
 
 
-@query("production_signs", _signs_sql())
-def production_signs(spark: SparkSession, d: str) -> DataFrame:
-    return signs(spark, d)
+@of_texts("production_signs", _signs_sql())
+def production_signs(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return signs(spark, d, text)
 
 
 _SCORES = f"""
@@ -195,14 +196,14 @@ WITH s AS ({_signs_sql()}), x AS (SELECT repo_url,
 SELECT repo_url, production, security, scalability, round((production + security + scalability) / 3, 4) AS overall FROM x"""
 
 
-@query("health_scores", _SCORES)
-def health_scores(spark: SparkSession, d: str) -> DataFrame:
+@of_texts("health_scores", _SCORES)
+def health_scores(spark: SparkSession, d: str, text: str) -> DataFrame:
     one = lambda c: F.col(c).cast("int")
     ratio = F.col("tests") / F.col("files")
     production = one("logging") * 2 + F.when(F.col("handling") >= 3, 2).when(F.col("handling") >= 1, 1).otherwise(0) + one("config") * 2 + F.when(F.col("tests") == 0, 0).when(ratio > 0.15, 2).otherwise(1)
     security = F.lit(10.0) - F.col("secrets") * 2.5 - (1 - one("validation")) - one("raw_sql") * 2 - (1 - one("cors")) * 0.5
     scale = F.lit(5.0) + one("async") * 2 + one("caching") + one("pooling") + one("queues") - F.when(F.col("globals") > 5, 2.0).when(F.col("globals") > 0, 0.5).otherwise(0.0)
-    rows = signs(spark, d).select("repo_url", T.clamped(production.cast("double")).alias("production"), T.clamped(security).alias("security"), T.clamped(scale).alias("scalability"))
+    rows = signs(spark, d, text).select("repo_url", T.clamped(production.cast("double")).alias("production"), T.clamped(security).alias("security"), T.clamped(scale).alias("scalability"))
     return rows.withColumn("overall", F.round((F.col("production") + F.col("security") + F.col("scalability")) / 3, 4))
 
 
@@ -227,14 +228,14 @@ LAYERS = ("api", "routes", "service", "services", "repository", "repositories",
 EVENTS = ("event", "listener", "handler", "subscriber", "publish", "emit", "on_event", "event_bus", "message_queue", "celery", "kafka")
 
 
-@query("architecture_signs", f"""
+@of_texts("architecture_signs", f"""
 WITH f AS (SELECT repo_url, lower({PARENT}) AS dir, lower(source_preview) AS p FROM {FILES}), g AS (SELECT repo_url,
  round(0.3 * bool_or(contains(dir, 'model'))::INTEGER + 0.3 * bool_or(contains(dir, 'view') OR contains(dir, 'template'))::INTEGER + 0.3 * bool_or(contains(dir, 'controller') OR contains(dir, 'handler'))::INTEGER + 0.1 * bool_or(contains(dir, 'route'))::INTEGER, 2)::DOUBLE AS mvc,
  count(DISTINCT regexp_extract(dir, '([^/]*)$', 1)) FILTER (regexp_extract(dir, '([^/]*)$', 1) IN ({", ".join(f"'{x}'" for x in LAYERS)})) AS layers,
  ({" + ".join(f"coalesce(bool_or(contains(p, '{e}')), false)::INTEGER" for e in EVENTS)}) AS events, count(DISTINCT split_part(dir, '/', 1)) AS tops FROM f GROUP BY repo_url)
 SELECT repo_url, mvc, layers, events, tops, mvc >= 0.6 AS is_mvc, layers >= 3 AS is_layered, events >= 3 AS is_event_driven FROM g""")
-def architecture_signs(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d).select("repo_url", F.lower(T.parent(F.col("file_path"))).alias("dir"), F.lower("source_preview").alias("p"))
+def architecture_signs(spark: SparkSession, d: str, text: str) -> DataFrame:
+    f = files(spark, d, text).select("repo_url", F.lower(T.parent(F.col("file_path"))).alias("dir"), F.lower(text).alias("p"))
     some = lambda *w: F.bool_or(T.any_of(F.col("dir"), w)).cast("int")
     last = T.file_name(F.col("dir"))
     events = sum((F.coalesce(F.bool_or(F.col("p").contains(e)), F.lit(False)).cast("int") for e in EVENTS), F.lit(0))
