@@ -7,7 +7,9 @@ the candidates of all curves merge, and full vectors rerank them.
 
 Defined results: only vectors of ``width`` finite numbers that are not all zero take part; an id
 counts once, by its latest row; equal vectors are neighbours with similarity 1; ties in the
-rank go to the smaller id.  Accuracy is measured against brute force in the tests.
+rank go to the smaller id.  Equal vectors are folded first: only one of them is searched for,
+and its copies are added to what was found.  Accuracy is measured against brute force in the
+tests.
 """
 
 from __future__ import annotations
@@ -119,7 +121,6 @@ def placed(vectors: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column(0), codes], ["curve", "place", "id", "code"])
 
     rows = vectors.mapInArrow(place, "curve int, place bigint, id string, code binary")
-    # copies of one vector share a place; the tie spreads them over the order
     return rows.withColumn("tie", F.xxhash64("id"))
 
 
@@ -185,6 +186,8 @@ def similar(df: DataFrame, id: str, vector: str, version: str, k: int = 10, leas
     are reranked with full vectors.
     """
     vectors = usable(df, id, vector, version, width)
+    members = folded(vectors)
+    vectors = distinct(vectors, members)
     near = candidates(placed(vectors, width), k, least)
     if least is None:
         near = _best(near, "near", 2 * k)
@@ -200,7 +203,36 @@ def similar(df: DataFrame, id: str, vector: str, version: str, k: int = 10, leas
     exact = full.mapInArrow(cosine, "id_a string, id_b string, similarity double")
     if least is not None:
         exact = exact.where(F.col("similarity") >= least)
-    return _best(exact, "similarity", k)
+    lists = _sides(exact, "similarity", k).select("x", "y", "similarity")
+    pairs = with_copies(lists, members, k).select(F.least("id", "neighbor").alias("id_a"), F.greatest("id", "neighbor").alias("id_b"), "similarity")
+    return pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+
+
+def folded(vectors: DataFrame) -> DataFrame:
+    """(id, rep, n): of each id the smallest id with an equal vector, and its place among those."""
+    same = Window.partitionBy("_q_h").orderBy("id")
+    rows = vectors.select("id", F.unhex(F.sha2("vec", 256)).alias("_q_h"))
+    return rows.select("id", F.first("id").over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("rep"), F.row_number().over(same).alias("n"))
+
+
+def distinct(vectors: DataFrame, members: DataFrame) -> DataFrame:
+    return vectors.join(members.where("n = 1").select("id"), "id", "left_semi")
+
+
+def with_copies(lists: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(id, neighbor, rank, similarity) of all ids, from (x, y, similarity): at most ``k`` others of each distinct vector.
+
+    Of a group of copies no more than its first k + 1 ids can be among anyone's first ``k``.
+    """
+    heads = members.where(F.col("n") <= k + 1)
+    entry = F.struct((-F.col("similarity")).alias("minus"), F.col("id").alias("neighbor"))
+    own = heads.withColumn("similarity", F.lit(1.0)).select("rep", entry.alias("e"))
+    others = lists.join(heads.select(F.col("rep").alias("y"), "id"), "y").select(F.col("x").alias("rep"), entry.alias("e"))
+    # at most k + 1 copies and k heads of each of k others come together
+    top = own.unionByName(others).groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("e")), 1, k + 1).alias("top"))
+    left = F.slice(F.filter("top", lambda e: e["neighbor"] != F.col("id")), 1, k)
+    rows = members.select("id", "rep").join(top, "rep").select("id", F.posexplode(left).alias("at", "e"))
+    return rows.select("id", F.col("e.neighbor").alias("neighbor"), (F.col("at") + 1).alias("rank"), (-F.col("e.minus")).alias("similarity"))
 
 
 def _sides(pairs: DataFrame, score: str, k: int) -> DataFrame:

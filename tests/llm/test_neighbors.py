@@ -41,3 +41,24 @@ def test_many_equal_vectors_keep_k_neighbours_each(spark):
     df = spark.createDataFrame([(f"{i:04d}", one, None, "") for i in range(700)], SCHEMA)
     ranked = neighbors.ranked(neighbors.similar(df, "id", "embedding", "created_at", 3, 0.9), 3)
     assert {r.n for r in ranked.groupBy("id").count().withColumnRenamed("count", "n").collect()} == {3}
+
+
+def _brute(v, k):
+    """(id, neighbor, rank) by cosine; equal vectors have similarity 1, ties go to the smaller id."""
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -2)
+    return s, {(f"{i:05d}", f"{j:05d}", r + 1) for i in range(len(v)) for r, j in enumerate(np.lexsort((np.arange(len(v)), -s[i]))[:k])}
+
+
+def test_copies_are_folded_and_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(384)
+    # twins around a large group of copies: the nearest of each lies beyond the group or beside it
+    around = base + rng.standard_normal((30, 384)) * 0.3
+    twins = around + rng.standard_normal((30, 384)) * 0.05
+    v = np.concatenate([around, np.tile(base, (700, 1)), twins])[rng.permutation(760)].astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", x.tolist(), None, "") for i, x in enumerate(v)], SCHEMA)
+    s, want = _brute(v, 5)
+    got = {(r.id_a, r.id_b) for r in neighbors.similar(df, "id", "embedding", "created_at", 5, 0.9).collect()}
+    assert got == {tuple(sorted((a, b))) for a, b, _ in want if s[int(a), int(b)] >= 0.9}
