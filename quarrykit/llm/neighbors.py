@@ -9,7 +9,8 @@ Defined results: only vectors of ``width`` finite numbers that are not all zero
 counts once, by its latest row; equal vectors are neighbours with similarity 1; ties in the
 rank go to the smaller id.  Equal vectors are folded first: only one of them is searched for,
 and its copies are added to what was found.  Accuracy is measured against brute force in the
-tests.
+tests.  Where no least similarity bounds the search, the curves miss neighbours: ``nearest``
+compares all vectors with all instead, and its work grows with the square of their number.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.session import spread, written
+
 CURVES, DIMENSIONS, BITS = 12, 12, 5  # a key has DIMENSIONS * BITS = 60 bits
 CODE = 96  # dimensions of the short codes
 WINDOW, BLOCK = 64, 256
 #: How far a code's similarity may lie below the wanted one; over three standard deviations of its error.
 MARGIN = 0.06
 SEED = 11
+#: Rows that are compared at once with a tile of all others; how far a product of 32-bit numbers may be off.
+ROWS, TILE, SLACK = 4096, 1024, 1e-5
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -235,6 +240,76 @@ def with_copies(lists: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return rows.select("id", F.col("e.neighbor").alias("neighbor"), (F.col("at") + 1).alias("rank"), (-F.col("e.minus")).alias("similarity"))
 
 
+def nearest(df: DataFrame, id: str, vector: str, version: str, k: int = 10, width: int = 384) -> DataFrame:
+    """(id, neighbor, rank, similarity): the ``k`` most similar others of each id, whatever their similarity; exact."""
+    vectors = usable(df, id, vector, version, width)
+    # one table of both, so that the vectors move once; copies have no vector there
+    kept = written(vectors.join(folded(vectors), "id").select("id", "rep", "n", F.when(F.col("n") == 1, F.col("vec")).alias("vec")))
+    files = sorted(kept.inputFiles())
+
+    def tiles() -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        for file in files:
+            system, path = fs.FileSystem.from_uri(file)
+            with system.open_input_file(path) as f:
+                for b in parquet.ParquetFile(f).iter_batches(TILE, columns=["id", "vec"]):
+                    yield b.filter(b.column("vec").is_valid())
+
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        v = _matrix(b.column(1), np.int16)
+        unit = v.astype(np.float32)
+        square = np.einsum("ij,ij->i", unit, unit, dtype=np.float64)
+        return np.array(b.column(0).to_pylist(), dtype=str), v, square, unit / np.sqrt(square)[:, None].astype(np.float32)
+
+    def search(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, own, square, unit = read(b)
+        bar = np.full(len(ids), -2.0)
+        best = (np.zeros(0, int), np.zeros(0), np.zeros(0, ids.dtype))
+        new: list[tuple] = []
+
+        def merge() -> None:
+            nonlocal best
+            row, sim, name = (np.concatenate(x) for x in zip(best, *new))
+            new.clear()
+            order = np.lexsort((name, -sim, row))
+            row, sim, name = row[order], sim[order], name[order]
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            bar[row[at == k - 1]] = sim[at == k - 1]
+            best = tuple(x[at < k] for x in (row, sim, name))
+
+        for tile in tiles():
+            if not tile.num_rows:
+                continue
+            names, other, other_square, other_unit = read(tile)
+            score = unit @ other_unit.T
+            least = bar - SLACK
+            if len(names) > k + 1 and (bar == -2).any():
+                # no list is full yet: the tile's own first k, and the row itself, bound it
+                least = np.maximum(least, np.partition(score, -k - 1, axis=1)[:, -k - 1] - SLACK)
+            i, j = np.nonzero(score >= least.astype(np.float32)[:, None])
+            differ = ids[i] != names[j]
+            i, j = i[differ], j[differ]
+            for s in range(0, len(i), 1 << 16):
+                x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                dot = np.einsum("ij,ij->i", own[x].astype(np.float64), other[y].astype(np.float64))
+                new.append((x, dot / np.sqrt(square[x] * other_square[y]), names[y]))
+            if (bar == -2).any() or sum(len(x[0]) for x in new) > len(ids) * k // 2:
+                merge() if new else None
+        if new:
+            merge()
+        row, sim, name = best
+        return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.string()), pa.array(name, pa.string()), pa.array(sim)], ["x", "y", "similarity"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, ROWS):
+                yield search(b.slice(s, ROWS))
+
+    lists = spread(kept.where("n = 1").select("id", "vec")).mapInArrow(scan, "x string, y string, similarity double")
+    return with_copies(lists, kept.select("id", "rep", "n"), k)
+
+
 def _sides(pairs: DataFrame, score: str, k: int) -> DataFrame:
     """Pairs from both ends, with the rank at that end; the order is by score, then by the other id."""
     ends = F.array(F.struct(F.col("id_a").alias("x"), F.col("id_b").alias("y")), F.struct(F.col("id_b").alias("x"), F.col("id_a").alias("y")))

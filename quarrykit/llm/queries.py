@@ -33,9 +33,8 @@ def similar_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query("p6_neighbors")
 def nearest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Per chunk its neighbours of a cosine of 0.9 or more, at most ten, with rank and similarity."""
-    pairs = neighbors.similar(table(spark, d, "code_chunks"), "id", "embedding", "created_at", k=10, least=0.9)
-    return neighbors.ranked(pairs, 10)
+    """Per chunk its ten most similar others, with rank and similarity."""
+    return neighbors.nearest(table(spark, d, "code_chunks"), "id", "embedding", "created_at", k=10)
 
 
 @registry.query("p2_found")

@@ -62,3 +62,23 @@ def test_copies_are_folded_and_ties_go_to_the_smaller_id(spark):
     s, want = _brute(v, 5)
     got = {(r.id_a, r.id_b) for r in neighbors.similar(df, "id", "embedding", "created_at", 5, 0.9).collect()}
     assert got == {tuple(sorted((a, b))) for a, b, _ in want if s[int(a), int(b)] >= 0.9}
+
+
+def test_all_nearest_are_found_without_a_least_similarity(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((1500, 384)).astype(np.float32)
+    v[1300:] = v[rng.integers(0, 20, 200)]
+    df = spark.createDataFrame([(f"{i:05d}", x.tolist(), None, "") for i, x in enumerate(v)], SCHEMA)
+    got = {(r.id, r.neighbor, r["rank"]) for r in neighbors.nearest(df, "id", "embedding", "created_at", 10).collect()}
+    want = _brute(v, 10)[1]
+    # 16-bit coordinates may exchange neighbours of almost the same similarity
+    assert len(got) == len(want) == 15000 and len({x[:2] for x in got} & {x[:2] for x in want}) >= 0.999 * 15000
+
+
+def test_the_registered_query_gives_every_usable_chunk_ten(spark):
+    from quarrykit.llm.queries import registry
+    from tests.conftest import DATA
+
+    rows = registry.queries["p6_neighbors"](spark, DATA)
+    n = neighbors.usable(spark.read.parquet(f"{DATA}/code_chunks.parquet"), "id", "embedding", "created_at", 384).count()
+    assert [tuple(r) for r in rows.groupBy("id").count().groupBy("count").count().collect()] == [(10, n)]
