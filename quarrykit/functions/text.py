@@ -66,6 +66,12 @@ def fingerprint(body: Column) -> Column:
     return F.when(F.length(flat) >= 80, F.substring(flat, 1, 200))
 
 
+def whole_fingerprint(body: Column) -> Column:
+    """The hash of a whole body in small letters with single blanks; null for short bodies."""
+    flat = F.regexp_replace(F.lower(trim_all(body)), r"\s+", " ")
+    return F.when(F.length(flat) >= 80, F.sha2(flat, 256))
+
+
 def line_count(text: Column) -> Column:
     return F.size(F.split(text, "\n"))
 

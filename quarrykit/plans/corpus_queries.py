@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
@@ -108,6 +108,16 @@ def documented_ratio(spark: SparkSession, d: str) -> DataFrame:
     return functions(spark, d).where("language = 'python'").groupBy("repo_url").agg(F.count("*").alias("functions"), F.round(F.avg(doc), 4).alias("ratio"))
 
 
+@query("documented_ratio_whole", f"""
+SELECT repo_url, count(*) AS functions, round(avg((contains(body, chr(34)||chr(34)||chr(34)) OR contains(body, ''''''''))::INTEGER), 4) AS ratio
+FROM {FUNCTIONS} WHERE lower(language) = 'python' OR regexp_matches(file_path, '(?i)\\.pyi?$') GROUP BY repo_url""")
+def documented_ratio_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes of a docstring anywhere in a body, in all functions that are Python by their language or their path."""
+    doc = (F.col("body").contains('"""') | F.col("body").contains("'''")).cast("int")
+    python = (F.lower("language") == "python") | F.col("file_path").rlike(r"(?i)\.pyi?$")
+    return functions(spark, d).where(python).groupBy("repo_url").agg(F.count("*").alias("functions"), F.round(F.avg(doc), 4).alias("ratio"))
+
+
 @query("severity_counts", """
 WITH i AS (SELECT status, branch, repo_url FROM (SELECT DISTINCT * FROM analysis_jobs))
 SELECT 'status' AS dimension, status AS value, count(*) AS n FROM i GROUP BY status UNION ALL SELECT 'branch', branch, count(*) FROM i GROUP BY branch
@@ -166,7 +176,21 @@ SELECT repo_url, fp AS fingerprint, count(*) AS copies, (list(name ORDER BY func
 FROM g WHERE len >= 80 GROUP BY repo_url, fp HAVING count(*) >= 2""")
 def duplicate_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Groups of functions with the same fingerprint: names of the first four, lines but for the first."""
-    rows = functions(spark, d).select("repo_url", "name", "function_id", T.line_count(F.col("body")).alias("n"), T.fingerprint(F.col("body")).alias("fingerprint")).where("fingerprint is not null")
+    return _duplicates(spark, d, T.fingerprint(F.col("body")))
+
+
+@query("duplicate_bodies_whole", f"""
+WITH f AS (SELECT repo_url, name, function_id, len(string_split(body, chr(10))) AS n, lower(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) AS t FROM {FUNCTIONS}),
+g AS (SELECT repo_url, name, function_id, n, sha256(regexp_replace(t, '\\s+', ' ', 'g')) AS fp, length(regexp_replace(t, '\\s+', ' ', 'g')) AS len FROM f)
+SELECT repo_url, fp AS fingerprint, count(*) AS copies, (list(name ORDER BY function_id))[1:4] AS names, (sum(n) - arg_min(n, function_id))::BIGINT AS duplicate_lines
+FROM g WHERE len >= 80 GROUP BY repo_url, fp HAVING count(*) >= 2""")
+def duplicate_bodies_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of functions whose whole bodies are equal but for case and blanks."""
+    return _duplicates(spark, d, T.whole_fingerprint(F.col("body")))
+
+
+def _duplicates(spark: SparkSession, d: str, fingerprint: Column) -> DataFrame:
+    rows = functions(spark, d).select("repo_url", "name", "function_id", T.line_count(F.col("body")).alias("n"), fingerprint.alias("fingerprint")).where("fingerprint is not null")
     from pyspark.sql import Window
 
     first = rows.withColumn("_q_r", F.row_number().over(Window.partitionBy("repo_url", "fingerprint").orderBy("function_id")))

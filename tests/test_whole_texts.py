@@ -76,3 +76,12 @@ def test_a_long_file_does_not_use_up_the_stack(spark, folder):
     df = spark.createDataFrame([("r", "a.py", text), ("r", "b.py", text + "fetch()\n")], "repo_url string, file_path string, source string")
     none = spark.createDataFrame([], "repo_url string, file_path string, start_line int, body string")
     assert [(r.file_path, r.type) for r in rules.performance(df, none, "source").collect()] == [("b.py", "no_cache")]
+
+
+def test_functions_are_read_whole(spark, tmp_path):
+    head = "def f(a):\n" + "    step(a)\n" * 40
+    columns = "function_id long, file_id long, repo_url string, file_path string, name string, start_line int, end_line int, parameters array<string>, body string, language string, ord int"
+    bodies = [(1, head + "    return 1", "python"), (2, head + "    return 2", "Python"), (3, head + "    return  2", None), (4, 'def g(\n' + "    a,\n" * 60 + '):\n    """Tells."""', "PYTHON")]
+    spark.createDataFrame([(i, 1, "r", "a.py", f"f{i}", 1, 2, [], b, lang, 0) for i, b, lang in bodies], columns).write.parquet(f"{tmp_path}/code_functions.parquet")
+    assert [(r["copies"], r["names"]) for r in rows(spark, str(tmp_path), "duplicate_bodies_whole")] == [(2, ["f2", "f3"])]
+    assert [(r["functions"], r["ratio"]) for r in rows(spark, str(tmp_path), "documented_ratio_whole")] == [(4, 0.25)]
