@@ -65,27 +65,31 @@ def dictionary(df: DataFrame, id: str, text: str, tokenizers: str = TOKENIZERS,
     return cut(counts.mapInPandas(encode, f"{_S}word string, {_S}n bigint, {_S}ids array<int>"))
 
 
-def encode(df: DataFrame, id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, ids): the token ids of every document.
+def _uses(df: DataFrame, id: str, text: str, words: DataFrame, value: str) -> DataFrame:
+    """(document, position, value): every occurrence of a word with a column of the dictionary.
 
-    Most occurrences are of few words: those find their ids in a broadcast table of bounded size and
+    Most occurrences are of few words: those find their value in a broadcast table of bounded size and
     do not move.  The others are joined with the dictionary by word, long frequent ones salted.
     """
-    words = dictionary(df, id, text, tokenizers, vocabulary)
     top = words.where(F.length(_S + "word") <= HOT_LENGTH).orderBy(F.desc(_S + "n"), _S + "word").limit(HOT)
     # proven bound: HOT words of at most HOT_LENGTH characters
-    hot = F.broadcast(top.select(_S + "word", F.col(_S + "ids").alias(_S + "hot")))
+    hot = F.broadcast(top.select(_S + "word", F.col(value).alias(_S + "hot")))
     uses = pretokens(df, id, text).join(hot, _S + "word", "left")
-    rows = uses.where(F.col(_S + "hot").isNotNull()).select(_S + "doc", _S + "pos", F.col(_S + "hot").alias(_S + "ids"))
-    if words.count() > top.count():
-        salts = F.ceil(F.col(_S + "n") / SALTED).cast("int")
-        rest = words.join(hot, _S + "word", "left_anti").select(_S + "word", _S + "ids", salts.alias(_S + "salts"))
-        copies = rest.select(_S + "word", _S + "ids", F.explode(F.sequence(F.lit(0), F.col(_S + "salts") - 1)).alias(_S + "salt"))
-        # words with several salts: their number is bounded by all rows over SALTED
-        many = F.broadcast(rest.where(F.col(_S + "salts") > 1).select(_S + "word", _S + "salts"))
-        cold = uses.where(F.col(_S + "hot").isNull()).join(many, _S + "word", "left")
-        cold = cold.withColumn(_S + "salt", F.expr(f"cast(pmod(xxhash64({_S}doc), coalesce({_S}salts, 1)) as int)"))
-        rows = rows.unionByName(cold.join(copies, [_S + "word", _S + "salt"]).select(_S + "doc", _S + "pos", _S + "ids"))
+    rows = uses.where(F.col(_S + "hot").isNotNull()).select(_S + "doc", _S + "pos", F.col(_S + "hot").alias(value))
+    salts = F.ceil(F.col(_S + "n") / SALTED).cast("int")
+    rest = words.join(hot, _S + "word", "left_anti").select(_S + "word", value, salts.alias(_S + "salts"))
+    copies = rest.select(_S + "word", value, F.explode(F.sequence(F.lit(0), F.col(_S + "salts") - 1)).alias(_S + "salt"))
+    # words with several salts: their number is bounded by all rows over SALTED
+    many = F.broadcast(rest.where(F.col(_S + "salts") > 1).select(_S + "word", _S + "salts"))
+    cold = uses.where(F.col(_S + "hot").isNull()).join(many, _S + "word", "left")
+    cold = cold.withColumn(_S + "salt", F.expr(f"cast(pmod(xxhash64({_S}doc), coalesce({_S}salts, 1)) as int)"))
+    return rows.unionByName(cold.join(copies, [_S + "word", _S + "salt"]).select(_S + "doc", _S + "pos", value))
+
+
+def encode(df: DataFrame, id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, ids): the token ids of every document."""
+    words = dictionary(df, id, text, tokenizers, vocabulary)
+    rows = _uses(df, id, text, words, _S + "ids")
     # a task holds whole documents, so their rows are put together before the shuffle
     placed = rows.groupBy(_S + "doc").agg(F.array_sort(F.collect_list(F.struct(F.col(_S + "pos").alias("p"), F.col(_S + "ids").alias("ids")))).alias(_S + "all"))
     full = placed.select(F.col(_S + "doc").alias(id), F.flatten(F.transform(_S + "all", lambda w: w["ids"])).alias("ids"))
@@ -93,6 +97,13 @@ def encode(df: DataFrame, id: str = "doc_id", text: str = "text", tokenizers: st
     return full.unionByName(blank)
 
 
+def sizes(df: DataFrame, id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, tokens): the number of token ids of every document that has any; sums of the words' sizes, no lists."""
+    words = dictionary(df, id, text, tokenizers, vocabulary).withColumn(_S + "size", F.size(_S + "ids").cast("bigint"))
+    rows = _uses(df, id, text, words, _S + "size")
+    return rows.groupBy(F.col(_S + "doc").alias(id)).agg(F.sum(_S + "size").alias("tokens"))
+
+
 def token_bytes(spark, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """The table of the vocabulary: token id and its bytes in hexadecimal (50,256 rows)."""
     lines = spark.read.text(os.path.join(tokenizers, vocabulary)).select(F.split("value", " ").alias("s"))

@@ -35,8 +35,27 @@ def test_mixture(spark):
     drawn, shares = mixture.mixed(df, plans, targets)
     rows, table = drawn.collect(), {(r.plan_id, r.source): r for r in shares.collect()}
     assert max(r.times for r in rows if (r.plan_id, r.source) == ("p", "big")) == 1 and max(r.times for r in rows if (r.plan_id, r.source) == ("p", "small")) <= 3
-    assert len({(r.plan_id, r.source, r.doc_id) for r in rows}) == len(rows) and 100 not in {r.doc_id for r in rows}
+    assert len({(r.plan_id, r.source, r.doc_id) for r in rows}) == len(rows) and {r.source for r in rows if r.doc_id == 100} == {"small"}
     big, small = table[("p", "big")], table[("p", "small")]
     assert abs(big.reached_tokens - big.target_tokens) <= 12 and small.reached_tokens < small.target_tokens and abs(big.reached_share + small.reached_share - 1) < 1e-9
     assert table[("q", "none")].reached_tokens == 0 and table[("q", "big")].reached_tokens == 0 and abs(table[("q", "small")].reached_tokens - table[("q", "small")].target_tokens) <= 12
     assert {tuple(r) for r in mixture.mixed(df, plans, targets)[0].collect()} == {tuple(r) for r in rows}
+
+
+def test_uses_have_no_upper_level():
+    assert mixture.flow([3, 2], [{0: None}, {0: None}], [500]) == [{0: 300}, {0: 200}]
+    assert mixture.flow([3], [{0: 150, 1: None}], [450, 30]) == [{0: 450, 1: 30}]
+
+
+def test_a_source_gives_way_to_another():
+    # both sources are open to the first pattern, only one to the second: what the first gave moves on
+    assert mixture.flow([10, 10], [{0: 1, 1: 1}, {0: 1}], [10, 10]) == [{1: 10}, {0: 10}]
+
+
+def test_every_copy_can_be_drawn(spark):
+    docs = spark.createDataFrame([(i, "the same text", "a") for i in range(40)] + [(50, "the same text", "b"), (51, "other words", "b")], "doc_id int, text string, source string")
+    plans = spark.createDataFrame([("p", 1.0)], "plan_id string, budget_ratio double")
+    targets = spark.createDataFrame([("p", "a", 40.0, 1), ("p", "b", 2.0, None)], "plan_id string, source string, weight double, max_repeats int")
+    rows = mixture.mixed(docs, plans, targets)[0].collect()
+    assert {r.doc_id for r in rows if r.source == "a"} == set(range(40)) and {r.doc_id for r in rows if r.source == "b"} <= {50, 51}
+    assert {r.times for r in rows if r.source == "a"} == {1}
