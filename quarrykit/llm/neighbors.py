@@ -9,8 +9,8 @@ Defined results: only vectors of ``width`` finite numbers that are not all zero
 counts once, by its latest row; equal vectors are neighbours with similarity 1; ties in the
 rank go to the smaller id.  Equal vectors are folded first: only one of them is searched for,
 and its copies are added to what was found.  Accuracy is measured against brute force in the
-tests.  Where no least similarity bounds the search, the curves miss neighbours: ``nearest``
-compares all vectors with all instead, and its work grows with the square of their number.
+tests and by :func:`recall`.  Where no least similarity bounds the search, all members of a cluster
+are about equally near: :func:`nearest` has curves in a fitted subspace and wider windows.
 """
 
 from __future__ import annotations
@@ -31,8 +31,13 @@ WINDOW, BLOCK = 64, 256
 #: How far a code's similarity may lie below the wanted one; over three standard deviations of its error.
 MARGIN = 0.06
 SEED = 11
-#: Rows that are compared at once with a tile of all others; how far a product of 32-bit numbers may be off.
-ROWS, TILE, SLACK = 4096, 1024, 1e-5
+#: Curves of the search without a least similarity: their number, the fitted subspace, dimensions and bits of a key,
+#: and the greatest number of vectors on which the subspace is fitted.
+TURNS, SPACE, TURNED, FINE, FIT = 5, 32, 20, 3, 20_000
+#: Rows before and behind a row that it is compared with, rows taken at once, and windows in a task's stretch.
+REACH, STEP, STRETCH = 2560, 1024, 16
+#: Queries of the exact search in a block, and vectors in a tile of all.
+ROWS, TILE = 1024, 1024
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -240,11 +245,155 @@ def with_copies(lists: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return rows.select("id", F.col("e.neighbor").alias("neighbor"), (F.col("at") + 1).alias("rank"), (-F.col("e.minus")).alias("similarity"))
 
 
+def fitted(sample: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per curve of :func:`nearest` the directions and the offsets of its cells.
+
+    The directions lie in the subspace in which a sample of unit vectors varies most, turned
+    differently for each curve, and the cells are shifted: what one curve parts, another keeps.
+    """
+    width = sample.shape[1]
+    centred = sample - (sample.mean(axis=0) if len(sample) else 0)
+    base = np.linalg.eigh(centred.T.astype(np.float64) @ centred)[1][:, ::-1][:, : min(SPACE, width)]
+    rng, out = np.random.default_rng(SEED), []
+    for _ in range(TURNS):
+        turn = np.linalg.qr(rng.standard_normal((base.shape[1],) * 2))[0][:, :TURNED]
+        q = (base @ turn).astype(np.float32)
+        y = sample @ q if len(sample) else np.zeros((1, q.shape[1]), np.float32)
+        low, high = np.quantile(y, 0.001), np.quantile(y, 0.999)
+        scale = 0.84 / max(high - low, 1e-6)
+        out.append((q * np.float32(scale), (0.08 - low * scale + rng.uniform(-0.08, 0.08, q.shape[1])).astype(np.float32)))
+    return out
+
+
+def windows(places: DataFrame, k: int) -> DataFrame:
+    """(x, ys, sims): per row of each curve the ``k`` most similar ones of the window around it.
+
+    A task walks along a stretch of a curve; a row is held until REACH rows lie behind it, and gives
+    its list then.  Similarities are those of the whole vectors.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, curve = None, -1
+        no, unit = np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
+        sims, ys = np.zeros((0, k), np.float32), np.zeros((0, k), np.int64)
+
+        def given(n: int) -> pa.RecordBatch:
+            nonlocal no, unit, sims, ys
+            full = sims[:n] > -2
+            ends = pa.array(np.concatenate([[0], np.cumsum(full.sum(axis=1))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v[:n][full])) for v in (ys, sims)]
+            out = pa.RecordBatch.from_arrays([pa.array(no[:n]), *lists], ["x", "ys", "sims"])
+            no, unit, sims, ys = no[n:], unit[n:], sims[n:], ys[n:]
+            return out
+
+        def add(new: np.ndarray, vectors: np.ndarray) -> None:
+            nonlocal no, unit, sims, ys
+            held = len(no)
+            no, unit = np.concatenate([no, new]), np.concatenate([unit, vectors])
+            score = vectors @ unit.T
+            score[np.arange(len(new)), held + np.arange(len(new))] = -3
+            # what the new rows find: the best of the window
+            own, other = np.full((len(new), k), -3, np.float32), np.zeros((len(new), k), np.int64)
+            m = min(k, score.shape[1])
+            at = np.argpartition(-score, m - 1, axis=1)[:, :m]
+            own[:, :m], other[:, :m] = np.take_along_axis(score, at, axis=1), no[at]
+            # what the rows before them find among the new: all that beats the last of their lists
+            i, j = np.nonzero(score[:, :held] > sims.min(axis=1)[None, :])
+            row, sim, name = np.concatenate([np.repeat(np.arange(held), k), j]), np.concatenate([sims.ravel(), score[i, j]]), np.concatenate([ys.ravel(), new[i]])
+            order = np.lexsort((-sim, row))
+            first = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
+            sims, ys = np.concatenate([sim[first].reshape(held, k), own]), np.concatenate([name[first].reshape(held, k), other])
+
+        for b in batches:
+            curves, numbers = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            v = _matrix(b.column(2), np.int16).astype(np.float32)
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            if width is None:
+                width, unit = v.shape[1], np.zeros((0, v.shape[1]), np.float32)
+            starts = [0, *(np.flatnonzero(np.diff(curves)) + 1), len(curves)]
+            for s, e in zip(starts, starts[1:]):
+                if s < e and curves[s] != curve:
+                    if len(no):
+                        yield given(len(no))
+                    curve = curves[s]
+                for i in range(s, e, STEP):
+                    add(numbers[i : min(i + STEP, e)], v[i : min(i + STEP, e)])
+                    if len(no) > REACH:
+                        yield given(len(no) - REACH)
+        if len(no):
+            yield given(len(no))
+
+    return places.select("curve", "no", "vec").mapInArrow(scan, "x bigint, ys array<bigint>, sims array<float>")
+
+
 def nearest(df: DataFrame, id: str, vector: str, version: str, k: int = 10, width: int = 384) -> DataFrame:
-    """(id, neighbor, rank, similarity): the ``k`` most similar others of each id, whatever their similarity; exact."""
+    """(id, neighbor, rank, similarity): the ``k`` most similar others of each id that some curve brings near.
+
+    Every vector takes part.  The curves' directions are fitted on at most FIT vectors (those of the
+    least hash); windows of REACH rows before and behind a row are compared by whole vectors, so that
+    work and shuffle grow with the number of vectors.
+    """
+    kept = _kept(df, id, vector, version, width)
+    return with_copies(_lists(kept, k, width), kept.select("id", "rep", "n"), k)
+
+
+def _kept(df: DataFrame, id: str, vector: str, version: str, width: int) -> DataFrame:
+    """(id, rep, n, vec, no): one written table, so that the vectors move once; copies have no vector there."""
     vectors = usable(df, id, vector, version, width)
-    # one table of both, so that the vectors move once; copies have no vector there
-    kept = written(vectors.join(folded(vectors), "id").select("id", "rep", "n", F.when(F.col("n") == 1, F.col("vec")).alias("vec")))
+    return written(vectors.join(folded(vectors), "id").select("id", "rep", "n", F.when(F.col("n") == 1, F.col("vec")).alias("vec"), F.monotonically_increasing_id().alias("no")))
+
+
+def _lists(kept: DataFrame, k: int, width: int) -> DataFrame:
+    """(x, y, similarity): at most ``k`` others of each distinct vector."""
+    own = kept.where("n = 1")
+    rows = own.orderBy(F.xxhash64("id"), "id").select("vec").limit(FIT).toArrow()
+    sample = _matrix(rows.column(0), np.int16).astype(np.float32) if rows.num_rows else np.zeros((0, width), np.float32)
+    curves = fitted(sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-9))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = _matrix(b.column(1), np.int16).astype(np.float32)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                for c, (q, offset) in enumerate(curves):
+                    cells = np.floor((v @ q + offset) * (1 << FINE))
+                    key = hilbert_keys(np.clip(cells, 0, (1 << FINE) - 1).astype(np.int64), FINE)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column(0), b.column(1)], ["curve", "place", "no", "vec"])
+
+    places = own.select("no", "vec").mapInArrow(place, "curve int, place bigint, no bigint, vec binary")
+    # stretches many times as long as a window: rows at their ends are in the middle on other curves
+    parts = max(1, -(-own.count() * TURNS // (STRETCH * REACH)))
+    order = ["curve", "place", "no"]
+    lists = windows(places.repartitionByRange(parts, *order).sortWithinPartitions(*order), k)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ys, sims = b.column(1), b.column(2)
+            row = np.repeat(np.arange(b.num_rows), np.diff(ys.offsets.to_numpy()))
+            y, sim = ys.flatten().to_numpy(zero_copy_only=False), sims.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((-sim, y, row))
+            row, y, sim = row[order], y[order], sim[order]
+            once = np.concatenate([[True], (row[1:] != row[:-1]) | (y[1:] != y[:-1])])[: len(row)]
+            row, y, sim = row[once], y[once], sim[once]
+            order = np.lexsort((y, -sim, row))
+            row, y, sim = row[order], y[order], sim[order]
+            top = np.arange(len(row)) - np.searchsorted(row, row) < k
+            x = b.column(0).to_numpy(zero_copy_only=False)[row[top]]
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y[top]), pa.array(np.round(sim[top].astype(np.float64), 6))], ["x", "y", "similarity"])
+
+    # at most k of each curve come together
+    merged = lists.groupBy("x").agg(F.flatten(F.collect_list("ys")).alias("ys"), F.flatten(F.collect_list("sims")).alias("sims")).mapInArrow(best, "x bigint, y bigint, similarity double")
+    names = lambda c: own.select(F.col("no").alias(c), F.col("id").alias(f"{c}_id"))
+    return merged.join(names("x"), "x").join(names("y"), "y").select(F.col("x_id").alias("x"), F.col("y_id").alias("y"), "similarity")
+
+
+def recall(df: DataFrame, id: str, vector: str, version: str, k: int = 10, width: int = 384, every: int = 50) -> DataFrame:
+    """(queries, wanted, found, recall): the lists of :func:`nearest` against the exact search of a stated set of queries.
+
+    The queries, one in ``every`` of the distinct vectors by hash, are cut into blocks, and each block
+    passes over all vectors once.
+    """
+    kept = _kept(df, id, vector, version, width)
     files = sorted(kept.inputFiles())
 
     def tiles() -> Iterator[pa.RecordBatch]:
@@ -256,58 +405,31 @@ def nearest(df: DataFrame, id: str, vector: str, version: str, k: int = 10, widt
                 for b in parquet.ParquetFile(f).iter_batches(TILE, columns=["id", "vec"]):
                     yield b.filter(b.column("vec").is_valid())
 
-    def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        v = _matrix(b.column(1), np.int16)
-        unit = v.astype(np.float32)
-        square = np.einsum("ij,ij->i", unit, unit, dtype=np.float64)
-        return np.array(b.column(0).to_pylist(), dtype=str), v, square, unit / np.sqrt(square)[:, None].astype(np.float32)
-
-    def search(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, own, square, unit = read(b)
-        bar = np.full(len(ids), -2.0)
-        best = (np.zeros(0, int), np.zeros(0), np.zeros(0, ids.dtype))
-        new: list[tuple] = []
-
-        def merge() -> None:
-            nonlocal best
-            row, sim, name = (np.concatenate(x) for x in zip(best, *new))
-            new.clear()
-            order = np.lexsort((name, -sim, row))
-            row, sim, name = row[order], sim[order], name[order]
-            at = np.arange(len(row)) - np.searchsorted(row, row)
-            bar[row[at == k - 1]] = sim[at == k - 1]
-            best = tuple(x[at < k] for x in (row, sim, name))
-
-        for tile in tiles():
-            if not tile.num_rows:
-                continue
-            names, other, other_square, other_unit = read(tile)
-            score = unit @ other_unit.T
-            least = bar - SLACK
-            if len(names) > k + 1 and (bar == -2).any():
-                # no list is full yet: the tile's own first k, and the row itself, bound it
-                least = np.maximum(least, np.partition(score, -k - 1, axis=1)[:, -k - 1] - SLACK)
-            i, j = np.nonzero(score >= least.astype(np.float32)[:, None])
-            differ = ids[i] != names[j]
-            i, j = i[differ], j[differ]
-            for s in range(0, len(i), 1 << 16):
-                x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                dot = np.einsum("ij,ij->i", own[x].astype(np.float64), other[y].astype(np.float64))
-                new.append((x, dot / np.sqrt(square[x] * other_square[y]), names[y]))
-            if (bar == -2).any() or sum(len(x[0]) for x in new) > len(ids) * k // 2:
-                merge() if new else None
-        if new:
-            merge()
-        row, sim, name = best
-        return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.string()), pa.array(name, pa.string()), pa.array(sim)], ["x", "y", "similarity"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, ROWS):
-                yield search(b.slice(s, ROWS))
-
-    lists = spread(kept.where("n = 1").select("id", "vec")).mapInArrow(scan, "x string, y string, similarity double")
-    return with_copies(lists, kept.select("id", "rep", "n"), k)
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        v = _matrix(b.column("vec"), np.int16).astype(np.float32)
+        return np.array(b.column("id").to_pylist(), dtype=object), v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in batches:
+            for s in range(0, block.num_rows, ROWS):
+                ids, unit = read(block.slice(s, ROWS))
+                best, names = np.full((len(ids), k), -3, np.float32), np.full((len(ids), k), None, object)
+                for tile in tiles():
+                    if tile.num_rows:
+                        other, vectors = read(tile)
+                        score = unit @ vectors.T
+                        score[ids[:, None] == other[None, :]] = -3
+                        all_, who = np.concatenate([best, score], axis=1), np.concatenate([names, np.broadcast_to(other, score.shape)], axis=1)
+                        at = np.argpartition(-all_, k - 1, axis=1)[:, :k]
+                        best, names = np.take_along_axis(all_, at, axis=1), np.take_along_axis(who, at, axis=1)
+                row, col = np.nonzero(best > -2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.string()), pa.array(names[row, col], pa.string())], ["id", "neighbor"])
+
+    asked = spread(kept.where("n = 1").where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "vec"))
+    true = asked.mapInArrow(search, "id string, neighbor string")
+    got = _lists(kept, k, width).select(F.col("x").alias("id"), F.col("y").alias("neighbor"), F.lit(1).alias("hit"))
+    rows = true.join(got, ["id", "neighbor"], "left")
+    return rows.agg(F.countDistinct("id").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
 def _sides(pairs: DataFrame, score: str, k: int) -> DataFrame:

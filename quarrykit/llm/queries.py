@@ -37,6 +37,12 @@ def nearest_chunks(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.nearest(table(spark, d, "code_chunks"), "id", "embedding", "created_at", k=10)
 
 
+@registry.query("p6_recall")
+def recall_of_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of p6_neighbors against the exact search of a stated set of queries."""
+    return neighbors.recall(table(spark, d, "code_chunks"), "id", "embedding", "created_at", k=10)
+
+
 @registry.query("p2_found")
 def documented(spark: SparkSession, d: str) -> DataFrame:
     return docs.pairs(table(spark, d, "code_functions")).where("tells").select("function_id").distinct()

@@ -71,7 +71,7 @@ def test_all_nearest_are_found_without_a_least_similarity(spark):
     df = spark.createDataFrame([(f"{i:05d}", x.tolist(), None, "") for i, x in enumerate(v)], SCHEMA)
     got = {(r.id, r.neighbor, r["rank"]) for r in neighbors.nearest(df, "id", "embedding", "created_at", 10).collect()}
     want = _brute(v, 10)[1]
-    # 16-bit coordinates may exchange neighbours of almost the same similarity
+    # 16-bit coordinates may exchange neighbours of almost the same similarity; all rows lie in one window
     assert len(got) == len(want) == 15000 and len({x[:2] for x in got} & {x[:2] for x in want}) >= 0.999 * 15000
 
 
@@ -82,3 +82,14 @@ def test_the_registered_query_gives_every_usable_chunk_ten(spark):
     rows = registry.queries["p6_neighbors"](spark, DATA)
     n = neighbors.usable(spark.read.parquet(f"{DATA}/code_chunks.parquet"), "id", "embedding", "created_at", 384).count()
     assert [tuple(r) for r in rows.groupBy("id").count().groupBy("count").count().collect()] == [(10, n)]
+
+
+def test_recall_of_the_curves_when_windows_are_narrow(spark, monkeypatch):
+    # forty clusters whose members are about equally near to each other; a window holds a tenth of all rows
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((40, 384))[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 384)) * 0.9
+    df = spark.createDataFrame([(f"{i:05d}", x.tolist(), None, "") for i, x in enumerate(v.astype(np.float32))], SCHEMA)
+    monkeypatch.setattr(neighbors, "REACH", 400)
+    monkeypatch.setattr(neighbors, "STEP", 200)
+    (row,) = neighbors.recall(df, "id", "embedding", "created_at", 10).collect()
+    assert row.wanted == row.queries * 10 and row.queries >= 40 and row.recall >= 0.9
