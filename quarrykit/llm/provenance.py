@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,18 +24,22 @@ from pyspark.sql import functions as F
 
 from quarrykit.session import cut, spread
 
-_TOKEN = re.compile(
-    r"""(?P<c>//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>\"\"\".*?\"\"\"|'''.*?'''|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)|(?P<n>\d[\w.]*)|(?P<w>[^\W\d]\w*)|(?P<p>[^\s\w])""", re.S
-)
+_HASH = r"|\#(?!\[)[^\n]*"
+_FORMS = r"""(?P<c>//[^\n]*%s|/\*.*?(?:\*/|\Z))|(?P<s>\"\"\".*?\"\"\"|'''.*?'''|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)|(?P<n>\d[\w.]*)|(?P<w>[^\W\d]\w*)|(?P<p>[^\s\w])"""
+_TOKEN, _TOKEN_PLAIN = re.compile(_FORMS % _HASH, re.S), re.compile(_FORMS % "", re.S)
+#: Endings and languages in which ``#`` begins no comment.
+NO_HASH = ("js", "mjs", "jsx", "ts", "tsx", "java", "go", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "kt", "swift", "scala", "javascript", "typescript", "rust", "c++", "csharp", "c#", "kotlin")
+#: Files whose grammars are inferred side by side.
+FILES = 256
 #: Rules whose expansion is at least so long take part in the search for copies.
 LONG = 24
 #: Grammar size against tokens below which a file of at least so many tokens is generated.
 REUSE, TOKENS = 0.2, 120
-#: Share of a file's characters in literals (documentation aside) from which it is data, and its least size;
-#: its text hardly compresses or it has at least so many tokens.
-LITERALS, DATA, PACKED, VALUES = 0.6, 1200, 0.62, 250
-#: Mean and longest line from which code is minified.
-LINE, LONGEST = 150, 400
+#: Share of a file's characters in literals (documentation aside) from which it is data, and its least size; the grammar
+#: of the literals' characters is at least so large against them, or that of the tokens so small.
+LITERALS, DATA, PACKED, TABLE = 0.6, 1200, 0.62, 0.2
+#: Mean and longest line from which code whose names repeat (grammar of at most DENSE) is minified.
+LINE, LONGEST, DENSE = 150, 400, 0.35
 #: Share of a file's tokens under rules of other repositories from which it is a copy, and its least tokens.
 SHARED, COPY = 0.6, 80
 
@@ -50,22 +55,31 @@ _VERSION = re.compile(r"(?im)^[\s/*#!;-]*(?:@license\s+)?[\w.@/-]+ v?\d+\.\d+(?:
 _OUTPUT = re.compile(r"(?i)(?:\.min\.(?:js|css)|\.bundle\.js|(?:^|/)bundle(?:\.\w+)?\.js|\.(?:pb|g|designer|generated|gen)\.\w+|_(?:generated|pb2|pb2_grpc|gen)\.\w+|\.pb\.go|_string\.go|\.(?:pb\.(?:cc|h)))$")
 
 
-def tokens(text: str) -> tuple[list[str], list[int], str, int]:
-    """(kinds, codes, head comment, characters in literals): kinds abstract names and literals, codes keep the words."""
-    kinds, codes, literals, head, began = [], [], 0, [], False
-    for m in _TOKEN.finditer(text):
+class Tokens(NamedTuple):
+    """The tokens of one text."""
+
+    kinds: list[str]  # names and literals abstract
+    words: list[int]  # checksums of the tokens themselves
+    head: str  # the comments before the first token
+    literals: str  # the literals, documentation aside
+
+
+def tokens(text: str, hashes: bool = True) -> Tokens:
+    """Tokens of a text; ``hashes`` tells whether ``#`` begins a comment in its language."""
+    kinds, words, literals, head, began = [], [], [], [], False
+    for m in (_TOKEN if hashes else _TOKEN_PLAIN).finditer(text):
         kind, s = m.lastgroup, m.group(0)
         if kind == "c" or (not began and kind == "s" and s.startswith(('"""', "'''"))):
             if not began:
                 head.append(s)
             continue
         if kind == "n" or kind == "s" and not s.startswith(('"""', "'''")):
-            literals += len(s)
+            literals.append(s)
         if s not in ("<", "?", "php", ">"):
             began = True
         kinds.append(s if kind == "p" or s in _KEPT else kind)
-        codes.append(zlib.crc32(s.encode("utf-8", "replace")))
-    return kinds, codes, "\n".join(head), literals
+        words.append(zlib.crc32(s.encode("utf-8", "replace")))
+    return Tokens(kinds, words, "\n".join(head), "".join(literals))
 
 
 #: Words of programming languages that stay as they are.
@@ -75,119 +89,172 @@ _KEPT = frozenset(
 )
 
 
-def grammar(sequence: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[int]]:
-    """(rest, rules, lengths): Re-Pair in rounds; each round replaces all locally most frequent pairs."""
-    seq = sequence.astype(np.int64)
-    rules: list[tuple[int, int]] = []
-    base = int(seq.max(initial=0)) + 1
-    length = [1] * base
-    while len(seq) > 3:
-        key = seq[:-1] * (base + len(rules)) + seq[1:]
-        unique, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        p = count[inverse]
-        if p.max() < 2:
-            break
-        left, right = np.concatenate([[0], p[:-1]]), np.concatenate([p[1:], [0]])
-        take = (p >= 2) & (p >= left) & (p >= right)
+class Grammar(NamedTuple):
+    """Re-Pair grammars of many sequences: what is left of each, its rules, and the rules' uses."""
+
+    values: np.ndarray  # the terminal behind each of the first symbols; the rules' symbols follow
+    left: np.ndarray  # the two symbols of each rule
+    right: np.ndarray
+    rest: np.ndarray
+    of: np.ndarray  # the sequence of each symbol in ``rest``
+    owner: np.ndarray  # the sequence of each rule
+    uses: np.ndarray  # how often each rule stands in the rest and in other rules
+    length: np.ndarray  # tokens under each symbol of ``rest``
+    digest: np.ndarray  # a hash of what each symbol of ``rest`` stands for
+
+    def size(self, n: int) -> np.ndarray:
+        """Symbols of each of ``n`` grammars: the rest and two for each rule."""
+        return np.bincount(self.of, minlength=n) + 2 * np.bincount(self.owner, minlength=n)
+
+
+_U = np.uint64
+_mix = lambda x: ((x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)) ^ (x >> _U(17))
+
+
+def grammar(sequences: list[list[int]] | list[np.ndarray]) -> Grammar:
+    """Re-Pair of many sequences side by side, in rounds that replace all locally most frequent pairs.
+
+    Pairs are counted within their sequence; the rules of one know nothing of the others.
+    """
+    seq = np.concatenate([np.asarray(x, np.int64) for x in sequences]) if sequences else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(sequences)), [len(x) for x in sequences])
+    values, seq = np.unique(seq, return_inverse=True)
+    digest, length = [_mix(values.astype(np.uint64) + _U(1))], [np.ones(len(values), np.int64)]
+    base, owner, uses, lefts, rights = len(values), [], [], [], []
+    while len(seq) > 1:
+        same = of[:-1] == of[1:]
+        keys, inverse = np.unique((of[:-1] * base + seq[:-1]) * base + seq[1:], return_inverse=True)
+        count = np.bincount(inverse[same], minlength=len(keys))
+        p = np.where(same, count[inverse], 0)
+        take = (p >= 2) & (p >= np.concatenate([[0], p[:-1]])) & (p >= np.concatenate([p[1:], [0]]))
         # of neighbours that both could be taken, every second one from the start of the run
-        run = np.arange(len(take)) - np.maximum.accumulate(np.where(~take, np.arange(len(take)), -1)) - 1
-        take &= run % 2 == 0
-        kept = np.unique(inverse[take], return_counts=True)
-        often = np.zeros(len(unique), bool)
-        often[kept[0][kept[1] >= 2]] = True
-        take &= often[inverse]
-        if not take.any():
-            break
+        at = np.arange(len(take))
+        take &= (at - np.maximum.accumulate(np.where(~take, at, -1)) - 1) % 2 == 0
+        taken = np.bincount(inverse[take], minlength=len(count))
+        take &= taken[inverse] >= 2
         at = np.flatnonzero(take)
-        fresh = np.unique(inverse[at])
-        number = {int(u): base + len(rules) + i for i, u in enumerate(fresh)}
-        first = {}
-        for a in at:
-            first.setdefault(int(inverse[a]), a)
-        for u in fresh:
-            a = first[int(u)]
-            rules.append((int(seq[a]), int(seq[a + 1])))
-            length.append(length[int(seq[a])] + length[int(seq[a + 1])])
+        if not len(at):
+            break
+        fresh, first, number = np.unique(inverse[at], return_index=True, return_inverse=True)
+        left, right = seq[at[first]], seq[at[first] + 1]
+        known, size = np.concatenate(digest), np.concatenate(length)
+        digest = [known, _mix(known[left] * _U(31) + known[right])]
+        length = [size, size[left] + size[right]]
+        lefts.append(left), rights.append(right)
+        owner.append(of[at[first]])
+        uses.append(taken[fresh])
         seq = seq.copy()
-        seq[at] = [number[int(u)] for u in inverse[at]]
-        drop = np.ones(len(seq), bool)
-        drop[at + 1] = False
-        seq = seq[drop]
-    return seq, rules, length
+        seq[at] = base + number
+        base += len(fresh)
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        seq, of = seq[keep], of[keep]
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return Grammar(values, join(lefts), join(rights), seq, of, join(owner), join(uses), np.concatenate(length)[seq], np.concatenate(digest)[seq])
 
 
-def phrases(codes: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, lengths) of the phrases of a file in a pairing that depends on content only.
+def long_rules(g: Grammar, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digests, lengths, sequences) of rules of at least ``long`` tokens.
 
-    Neighbours are paired where the pair's hash is least among its neighbours, level by level, so
-    that equal stretches of different files end in equal rules; those of at least ``long`` tokens
-    are kept, each stretch under its longest.
+    What Re-Pair leaves, pairs that stand once in their file, is paired on by content: neighbours
+    whose pair has the least hash among its neighbours, level by level, so that equal stretches of
+    different files end in equal rules.  Each stretch stands under its longest rule.
     """
-    mix = lambda x: ((x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(17))
-    h, size = mix(codes.astype(np.uint64) + np.uint64(1)), np.ones(len(codes), np.int64)
-    while len(h) > 1 and size.max() < 4 * long:
-        pair = mix(h[:-1] * np.uint64(31) + h[1:])
-        low = np.concatenate([[np.uint64(2**64 - 1)], pair[:-1]])
-        high = np.concatenate([pair[1:], [np.uint64(2**64 - 1)]])
-        take = np.flatnonzero((pair < low) & (pair < high) & (size[:-1] + size[1:] <= 4 * long))
+    h, size, of, most = g.digest, g.length, g.of, _U(2**64 - 1)
+    while len(h) > 1:
+        pair = _mix(h[:-1] * _U(31) + h[1:])
+        open_ = (of[:-1] == of[1:]) & (size[:-1] + size[1:] <= 4 * long)
+        rank = np.where(of[:-1] == of[1:], pair, most)
+        take = np.flatnonzero(open_ & (rank < np.concatenate([[most], rank[:-1]])) & (rank < np.concatenate([rank[1:], [most]])))
         if not len(take):
             break
         h, size = h.copy(), size.copy()
         h[take], size[take] = pair[take], size[take] + size[take + 1]
         keep = np.ones(len(h), bool)
         keep[take + 1] = False
-        h, size = h[keep], size[keep]
+        h, size, of = h[keep], size[keep], of[keep]
     big = size >= long
-    return h[big], size[big]
+    return h[big], size[big], of[big]
+
+
+_SCHEMA = (
+    "repo string, path string, n int, grammar double, reuse int, literals double, packed double, chars bigint, mean_line double, longest int, made boolean, licensed boolean, rules array<bigint>, sizes array<int>"
+)
 
 
-def profile(df: DataFrame, id: str = "file_id", path: str = "file_path", source: str = "source", repo: str = "repo_url") -> DataFrame:
-    """Per file: tokens, grammar size and reuse, literal share and its compression, lines, head marks, long rules."""
+def _profiles(files: pd.DataFrame) -> pd.DataFrame:
+    """The profile of some files: three grammars each, of abstract tokens, of the tokens themselves and of literals' characters."""
+    texts = files["text"].fillna("").tolist()
+    found = [tokens(t, bool(h)) for t, h in zip(texts, files["hashes"])]
+    names: dict[str, int] = {}
+    count, n = len(texts), np.array([len(f.kinds) for f in found], np.int64)
+    kinds = grammar([[names.setdefault(k, len(names)) for k in f.kinds] for f in found])
+    reuse = np.zeros(count, np.int64)
+    np.maximum.at(reuse, kinds.owner, kinds.uses)
+    solid = np.array([max(len("".join(t.split())), 1) for t in texts])
+    share = np.array([len(f.literals) for f in found]) / solid
+    # only where literals are most of a text their characters tell something
+    dense = [np.frombuffer(f.literals.encode("utf-8", "replace"), np.uint8) if s >= LITERALS else np.zeros(0, np.uint8) for f, s in zip(found, share)]
+    packed = grammar(dense).size(count) / np.maximum([len(x) for x in dense], 1)
+    h, size, of = long_rules(grammar([f.words for f in found]))
+    bounds = np.searchsorted(of, np.arange(count + 1))
+    lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    tops = ["\n".join([f.head, *t.split("\n", 3)[:3]]) for f, t in zip(found, texts)]
+    rows = {
+        "n": n, "grammar": kinds.size(count) / np.maximum(n, 1), "reuse": reuse, "literals": share, "packed": packed, "chars": np.where(files["text"].isna(), files["stated"].fillna(0).clip(lower=0), [len(t) for t in texts]),
+        "mean_line": [len(t) / max(len(x), 1) for t, x in zip(texts, lines)], "longest": [max(map(len, x), default=0) for x in lines], "made": [bool(_MADE.search(f.head)) for f in found],
+        "licensed": [bool(_LICENSED.search(t) and _VERSION.search(f.head)) for t, f in zip(tops, found)],
+        "rules": [h[s:e].astype(np.int64).tolist() for s, e in zip(bounds, bounds[1:])], "sizes": [size[s:e].tolist() for s, e in zip(bounds, bounds[1:])],
+    }
+    return pd.concat([files[["id", "repo", "path"]], pd.DataFrame(rows, index=files.index)], axis=1)
+
+
+def profile(df: DataFrame, id: str = "file_id", path: str = "file_path", source: str = "source", repo: str = "repo_url", language: str = "language", size: str = "size_bytes") -> DataFrame:
+    """Per file: tokens, grammar size and reuse, literal share and the size of its grammar, lines, head marks, long rules."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                t = t or ""
-                kinds, codes, head, literals = tokens(t)
-                names = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
-                rest, rules, length = grammar(np.array([names[k] for k in kinds], np.int64))
-                reused = np.bincount(np.array([x for r in rules for x in r] + rest.tolist(), np.int64), minlength=len(length))[len(names) :] if rules else np.zeros(0)
-                raw = t.encode("utf-8", "replace")
-                lines = [x for x in t.split("\n") if x.strip()]
-                h, size = phrases(np.array(codes, np.int64))
-                top = "\n".join([head[:1500], *t.split("\n")[:3]])
-                rows.append(
-                    (len(kinds), (len(rest) + 2 * len(rules)) / max(len(kinds), 1), float(reused.max(initial=0)), literals / max(len(re.sub(r"\s+", "", t)), 1), len(zlib.compress(raw)) / max(len(raw), 1), len(t),
-                     len(t) / max(len(lines), 1), max(map(len, lines), default=0), bool(_MADE.search(head[:1500])), bool(_LICENSED.search(top) and _VERSION.search(head[:600])),
-                     h.astype(np.int64).tolist(), size.tolist())
-                )
-            names = ["n", "grammar", "reuse", "literals", "packed", "chars", "mean_line", "longest", "made", "licensed", "rules", "sizes"]
-            yield pd.concat([b[["id", "repo", "path"]], pd.DataFrame(rows, columns=names, index=b.index)], axis=1)
-
-    files = df.groupBy(F.col(id).alias("id")).agg(F.max_by(F.struct(F.col(repo).alias("repo"), F.col(path).alias("path"), F.col(source).alias("text")), F.coalesce(F.length(source), F.lit(-1))).alias("f"))
-    files = spread(files.select("id", "f.*"), "id")
+            for s in range(0, len(b), FILES):
+                yield _profiles(b.iloc[s : s + FILES])
+
+    # of a file that is written several times the longest text, and among those the greatest stated size
+    rank = F.struct(F.coalesce(F.length(source), F.lit(-1)), F.coalesce(F.col(size), F.lit(-1)))
+    row = F.struct(F.col(repo).alias("repo"), F.col(path).alias("path"), F.lower(F.trim(language)).alias("language"), F.col(size).alias("stated"), F.col(source).alias("text"))
+    files = df.groupBy(F.col(id).alias("id")).agg(F.max_by(row, rank).alias("f")).select("id", "f.*")
+    ending = F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    # the ending tells the language; without one, what is stated
+    files = files.withColumn("hashes", ~F.coalesce(F.when(ending != "", ending), F.col("language"), F.lit("")).isin(*NO_HASH))
+    files = spread(files, "id")
     kind = dict(files.dtypes)["id"]
-    schema = f"id {kind}, repo string, path string, n int, grammar double, reuse double, literals double, packed double, chars int, mean_line double, longest int, made boolean, licensed boolean, rules array<bigint>, sizes array<int>"
-    return files.mapInPandas(read, schema)
+    return files.select("id", "repo", "path", "stated", "text", "hashes").mapInPandas(read, f"id {kind}, {_SCHEMA}")
 
 
-def judged(df: DataFrame, id: str = "file_id", path: str = "file_path", source: str = "source", repo: str = "repo_url") -> DataFrame:
-    """(id, reason, shared, ...): every file with the reason why it is not hand-written, or null."""
-    files = cut(profile(df, id, path, source, repo))  # read three times below
+def judged(df: DataFrame, id: str = "file_id", path: str = "file_path", source: str = "source", repo: str = "repo_url", language: str = "language", size: str = "size_bytes") -> DataFrame:
+    """(id, reason, evidence, shared, ...): every file with the reason why it is not hand-written, or null, and all that tells so.
+
+    ``evidence`` lists reuse (a short grammar), literals (near-incompressible or in a table), layout
+    (dense code on long lines), shared (rules of other repositories), mark (words of a tool at the
+    head), licence (a version and a licence at the head) and path.
+    """
+    files = cut(profile(df, id, path, source, repo, language, size))  # read three times below
     rules = files.select("id", "repo", F.explode(F.arrays_zip("rules", "sizes")).alias("r")).select("id", F.coalesce("repo", F.lit("")).alias("repo"), F.col("r.rules").alias("rule"), F.col("r.sizes").alias("size"))
     # a rule belongs to several repositories; two aggregates with map-side combine, no pairs of files
     common = rules.groupBy("rule").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("rule")
     shared = rules.join(common, "rule", "left_semi").groupBy("id").agg(F.sum("size").alias("shared_tokens"))
     rows = files.drop("rules", "sizes").join(shared, "id", "left").withColumn("shared", F.coalesce(F.col("shared_tokens") / F.greatest("n", F.lit(1)), F.lit(0.0)))
     where = F.coalesce(F.col("path"), F.lit(""))
+    dense = (F.col("literals") >= LITERALS) & (F.col("chars") >= DATA)
+    signs = {
+        "reuse": (F.col("grammar") < REUSE) & (F.col("n") >= TOKENS) & ~dense,
+        "literals": dense & ((F.col("packed") >= PACKED) | (F.col("grammar") < TABLE)),
+        "layout": (F.col("mean_line") > LINE) & (F.col("longest") > LONGEST) & (F.col("grammar") < DENSE) & (F.col("n") >= TOKENS) & ~dense,
+        "shared": (F.col("shared") >= SHARED) & (F.col("n") >= COPY),
+        "mark": F.col("made"), "licence": F.col("licensed"), "output path": where.rlike(_OUTPUT.pattern), "foreign path": where.rlike(_FOREIGN.pattern),
+    }
+    rows = rows.withColumn("evidence", F.filter(F.array(*[F.when(v, k) for k, v in signs.items()]), lambda x: x.isNotNull()))
+    has = lambda *k: F.arrays_overlap("evidence", F.array(*map(F.lit, k)))
     reason = (
-        F.when(F.col("made") | where.rlike(_OUTPUT.pattern), "generated")
-        .when(where.rlike(_FOREIGN.pattern), "copied")
-        .when((F.col("mean_line") > LINE) & (F.col("longest") > LONGEST) & (F.col("literals") < LITERALS) & (F.col("n") >= TOKENS), "minified")
-        .when((F.col("literals") >= LITERALS) & (F.col("chars") >= DATA) & ((F.col("packed") >= PACKED) | (F.col("n") >= VALUES)), "data")
-        .when((F.col("grammar") < REUSE) & (F.col("n") >= TOKENS), "generated")
-        .when(F.col("licensed"), "copied")
-        .when((F.col("shared") >= SHARED) & (F.col("n") >= COPY), "copied")
-    )
+        F.when(has("mark", "output path"), "generated").when(has("foreign path", "shared", "licence"), "copied")
+        .when(has("literals"), "data").when(has("layout"), "minified").when(has("reuse"), "generated")
+    )
     return rows.withColumn("reason", reason)

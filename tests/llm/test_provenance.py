@@ -8,26 +8,28 @@ from quarrykit.llm import provenance
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=80))
-def test_a_grammar_expands_to_its_text(sequence):
-    s = np.array(sequence, np.int64)
-    rest, rules, length = provenance.grammar(s)
-    base = int(s.max(initial=0)) + 1
+@given(st.lists(st.lists(st.integers(0, 4), max_size=60), min_size=1, max_size=4))
+def test_grammars_expand_to_their_sequences(sequences):
+    g = provenance.grammar(sequences)
+    base = len(g.values)
 
     def expand(x):
-        return [x] if x < base else [z for y in rules[x - base] for z in expand(y)]
+        return [int(g.values[x])] if x < base else [z for y in (g.left[x - base], g.right[x - base]) for z in expand(y)]
 
-    assert [z for x in rest.tolist() for z in expand(x)] == sequence
-    assert all(len(expand(base + i)) == length[base + i] for i in range(len(rules)))
+    for i, s in enumerate(sequences):
+        assert [z for x in g.rest[g.of == i].tolist() for z in expand(x)] == s
+        alone = provenance.grammar([s])
+        assert alone.size(1)[0] == g.size(len(sequences))[i] and sorted(alone.digest.tolist()) == sorted(g.digest[g.of == i].tolist())
+    assert [len(expand(x)) for x in g.rest.tolist()] == g.length.tolist() and (g.uses >= 2).all()
 
 
-def test_equal_stretches_end_in_equal_phrases():
+def test_equal_stretches_end_in_equal_rules():
     rng = np.random.default_rng(1)
     a, common = rng.integers(0, 2**32, 400), rng.integers(0, 2**32, 600)
-    x, size = provenance.phrases(np.concatenate([a, common]))
-    y, _ = provenance.phrases(np.concatenate([common, a[:100]]))
-    shared = sum(n for h, n in zip(x.tolist(), size.tolist()) if h in set(y.tolist()))
-    assert shared >= 450 and not set(provenance.phrases(a)[0].tolist()) & set(provenance.phrases(common)[0].tolist())
+    h, size, of = provenance.long_rules(provenance.grammar([np.concatenate([a, common]), np.concatenate([common, a[:100]]), a, common]))
+    both = set(h[of == 0].tolist()) & set(h[of == 1].tolist())
+    assert sum(n for x, n in zip(h[of == 0].tolist(), size[of == 0].tolist()) if x in both) >= 450
+    assert not set(h[of == 2].tolist()) & set(h[of == 3].tolist())
 
 
 def test_reasons(spark):
@@ -44,5 +46,6 @@ def test_reasons(spark):
         ("r1", "a/ids.java", "class A {\n" + "\n".join(f"  public static final int {word()} = {i};" for i in range(60)) + "\n}\n", "generated"), ("r1", "tools/generators/build.py", 'log("do not edit while running")\n' + hand(), None),
         ("r1", "a/empty.py", "", None), ("r1", None, None, None), (None, "a/levels.py", 'L = [\n  (0, "a b", 1),\n  (1, "c d", 2),\n]\n', None),
     ]
-    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)] + [(0, *rows[0][:3])], "file_id int, repo_url string, file_path string, source string")
+    rows.append(("r2", "a/banner.go", "// " + "free text of a licence. " * 200 + "\n// Code generated by maker. DO NOT EDIT.\n" + hand(), "generated"))  # a mark behind a long head
+    df = spark.createDataFrame([(i, *r[:3], None, None) for i, r in enumerate(rows)] + [(0, *rows[0][:3], "Python", 7)], "file_id int, repo_url string, file_path string, source string, language string, size_bytes bigint")
     assert {r.id: r.reason for r in provenance.judged(df).collect()} == {i: r[3] for i, r in enumerate(rows)}
