@@ -52,19 +52,19 @@ def batch_tumbling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_files").select("file_id", "file_path", "language", "source", "source_preview").distinct()
+    return table(spark, d, "source_files").select("file_id", "file_path", "language", "source").dropDuplicates(["file_id"])
 
 
 @query("parsed_declarations")
 def parsed_declarations(spark: SparkSession, d: str) -> DataFrame:
     """Functions and classes read from the texts of all files."""
-    return code.declarations(_sources(spark, d), "file_id")
+    return code.declarations(_sources(spark, d), "file_id", path="file_path")
 
 
 @query("built_chunks")
 def built_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = _sources(spark, d)
-    return code.chunks(rows, code.declarations(rows, "file_id"), "file_id")
+    return code.chunks(rows, code.declarations(rows, "file_id", path="file_path"), "file_id")
 
 
 @query("report_sections", """

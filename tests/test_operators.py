@@ -177,14 +177,50 @@ def test_source_tree(spark, tmp_path):
     (tmp_path / "README.md").write_text("hello")
     files = code.tree(spark, str(tmp_path))
     assert {(r.file_path, r.language) for r in files.collect()} == {("pkg/a.py", "python"), ("b.js", "javascript"), ("bad.py", "python")}
-    found = code.declarations(files, "file_path")
+    found = code.declarations(files, "file_path", path="file_path")
     assert {(r.file_path, r.kind, r.name, r.start_line, r.end_line, tuple(r.parts)) for r in found.collect()} == {
         ("pkg/a.py", "class", "A", 1, 3, ("B", "c.D")), ("pkg/a.py", "function", "f", 2, 3, ("self", "x")), ("pkg/a.py", "function", "g", 5, 5, ()), ("b.js", "function", "go", 1, 3, ("a", "b")),
     }
     assert [r.name for r in code.configuration(spark, str(tmp_path)).collect()] == ["README.md"]
-    renamed = files.withColumnRenamed("source", "source_preview").withColumn("id", F.col("file_path"))
-    kinds = [r.chunk_type for r in code.chunks(renamed, found.withColumnRenamed("file_path", "id"), "id").collect()]
-    assert sorted(kinds) == ["class", "file", "file", "file", "function", "function", "function"]
+    renamed = files.withColumn("id", F.col("file_path"))
+    rows = code.chunks(renamed, found.withColumnRenamed("file_path", "id"), "id").collect()
+    assert sorted(r.chunk_type for r in rows) == ["class", "file", "file", "file", "function", "function", "function"]
+    assert [r.content for r in rows if r.chunk_type == "class"] == ["# File: pkg/a.py\n# Class: A (bases: [B, c.D])\n# Methods: f"]
+
+
+def test_declarations_agree_with_the_parser_of_python(spark):
+    import ast
+    import re
+
+    df = spark.read.parquet("/root/testdata/sf0.01/source_files.parquet").dropDuplicates(["file_id"]).where("file_path like '%.py' and source is not null")
+    got = {}
+    for r in code.declarations(df, "file_id", path="file_path").collect():
+        got.setdefault(r.file_id, set()).add((r.kind, r.name, r.start_line, r.end_line, tuple(r.parts)))
+    checked = 0
+    for r in df.collect():
+        try:
+            found = ast.parse(re.sub(r"\r\n?", "\n", r.source))
+        except (SyntaxError, ValueError):
+            continue
+        want = set()
+        for n in ast.walk(found):
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                want.add(("function", n.name, n.lineno, n.end_lineno, tuple(a.arg for a in n.args.args + n.args.kwonlyargs)))
+            elif isinstance(n, ast.ClassDef):
+                want.add(("class", n.name, n.lineno, n.end_lineno, tuple(map(ast.unparse, n.bases))))
+        assert got.get(r.file_id, set()) == want
+        checked += len(want)
+    assert checked > 200
+
+
+def test_declarations_by_braces_and_ends(spark):
+    texts = [
+        ("b.js", "javascript", "function go(a, b) {\n  if (a) { return b } else {\n  }\n}\nfunction one(x) { return x }\nasync function z(\n  p = 1,\n  q\n)\n{\n" + "  x\n" * 400 + "}\n"), ("c.go", None, "func (s *S) Load(x []int, y string) int {\n\treturn 1\n}\n"),
+        ("d.rb", "Ruby", "class X\n  def f(a, b = 1)\n    1\n  end\n\n  def g\n    2\n  end\nend\n"), ("e.cs", "csharp", "class A\n{\n    public int P(int a, string b)\n    {\n        return a;\n    }\n}\n"), ("h.php", "php", "<?php\nfunction f($a) {\n return 1;\n"),
+        ("n.py", "python", None), ("e.py", "python", ""), (None, None, "x"),
+    ]
+    got = {(r.k, r.name, r.start_line, r.end_line, tuple(r.parts)) for r in code.declarations(spark.createDataFrame(texts, "k string, language string, source string"), "k", path="k").collect()}
+    assert got == {("b.js", "go", 1, 4, ("a", "b")), ("b.js", "one", 5, 5, ("x",)), ("b.js", "z", 6, 411, ("p", "q")), ("c.go", "Load", 1, 3, ("x", "y")), ("d.rb", "X", 1, 9, ()), ("d.rb", "f", 2, 4, ("a", "b")), ("d.rb", "g", 6, 8, ()), ("e.cs", "P", 3, 6, ("a", "b")), ("h.php", "f", 2, 3, ("$a",))}
 
 
 def test_stores_and_tools(spark, tmp_path):
