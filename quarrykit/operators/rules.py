@@ -88,7 +88,7 @@ LIMITS = {"medium": 12, "high": 20, "worst": 30, "deep": 5, "name": 40, "params"
 TIGHT = {"medium": 4, "high": 5, "worst": 6, "deep": 3, "name": 20, "params": 2, "module": 5, "large": 7, "broad": 1, "dead": 1}
 
 
-def quality(files: DataFrame, functions: DataFrame, limits: dict[str, int] = LIMITS, text: str = "source_preview") -> DataFrame:
+def quality(files: DataFrame, functions: DataFrame, limits: dict[str, int] = LIMITS, text: str = "source") -> DataFrame:
     """Issues of structure: complexity, nesting, long names, many parameters, large modules, broad handlers, dead comments, star imports."""
     f = functions.select(
         "repo_url", "file_path", F.col("start_line").alias("at"), F.col("name").alias("subject"), T.complexity(F.col("body")).alias("cc"), T.nesting(F.col("body")).alias("deep"),
@@ -133,7 +133,7 @@ def magic_numbers(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return df.select(*keys, odd.alias("n")).where(F.size("n") >= 5).select(*keys, F.size("n").alias("count"), F.slice("n", 1, 3).alias("first"))
 
 
-def performance(files: DataFrame, functions: DataFrame, text: str = "source_preview") -> DataFrame:
+def performance(files: DataFrame, functions: DataFrame, text: str = "source") -> DataFrame:
     """Slow patterns in functions and files, one row per place and type."""
     b, p = F.col("body"), F.col(text)
     loops = F.regexp_count(b, F.lit(r"\bfor\b")) + F.regexp_count(b, F.lit(r"\bwhile\b"))
@@ -153,7 +153,7 @@ def performance(files: DataFrame, functions: DataFrame, text: str = "source_prev
     return f.unionByName(s).select("repo_url", "file_path", "line", "i.type", "i.severity").dropDuplicates(["repo_url", "file_path", "type", "line"])
 
 
-def endpoints(files: DataFrame, text: str = "source_preview") -> DataFrame:
+def endpoints(files: DataFrame, text: str = "source") -> DataFrame:
     """(repo_url, method, endpoint, framework, file_path): routes that files declare, the first of each method and path."""
     p = F.col(text)
     verb = r"(get|post|put|delete|patch)"
@@ -171,7 +171,7 @@ def endpoints(files: DataFrame, text: str = "source_preview") -> DataFrame:
     return tables.one_per_key(rows, ["repo_url", "method", "endpoint"], ["file_path", "pos"]).drop("pos")
 
 
-def models(files: DataFrame, text: str = "source_preview") -> DataFrame:
+def models(files: DataFrame, text: str = "source") -> DataFrame:
     """(repo_url, file_path, name, orm): data models that files declare."""
     p = F.col(text)
     kinds = {"SQLAlchemy": r"class\s+(\w+)\s*\([^\n]*?(?:Base|Model|db\.Model)[^\n]*?\):", "Django ORM": r"class\s+(\w+)\s*\([^\n]*?models\.Model[^\n]*?\):", "Prisma": r"model\s+(\w+)\s*\{[^}]+\}", "TypeORM": r"@Entity\(\)\s*class\s+(\w+)"}

@@ -138,7 +138,7 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_files").select("file_id", "repo_url", "file_path", "language", "source").distinct()
+    return table(spark, d, "source_files").select("file_id", "repo_url", "file_path", "language", "source").dropDuplicates(["file_id"])
 
 
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
@@ -157,37 +157,52 @@ def python_imports(spark: SparkSession, d: str) -> DataFrame:
     return graph.imports(rows, ["file_id"], "source").groupBy("file_id", "import").agg(F.count("*").alias("n"))
 
 
-@query("longest_prefix_resolution", f"""
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def deps_sql(languages: tuple[str, ...]) -> str:
+    """The dependencies of files by the imports of some languages."""
+    both = " UNION ALL ".join(
+        f"SELECT repo_url, file_path, generate_subscripts(regexp_extract_all(source, {_q(graph.IMPORTS[g])}, 1), 1) AS pos, unnest(regexp_extract_all(source, {_q(graph.IMPORTS[g])}, 1)) AS a, unnest(regexp_extract_all(source, {_q(graph.IMPORTS[g])}, 2)) AS b FROM s WHERE lower(language) = '{g}'"
+        for g in languages
+    )
+    return f"""
 WITH f AS (SELECT DISTINCT repo_url, file_path FROM source_files), p AS (SELECT repo_url, file_path, string_split(regexp_replace(regexp_replace(file_path, '\\.[^./]+$', ''), '/__init__$', ''), '/') AS parts FROM f),
 n0 AS (SELECT repo_url, file_path, parts, unnest(range(1, len(parts) + 1)) AS i FROM p), names AS (SELECT repo_url, array_to_string(parts[i:], '.') AS name, max(file_path) AS dst FROM n0 GROUP BY ALL),
-s AS (SELECT DISTINCT repo_url, file_path, source FROM source_files WHERE lower(language) = 'python'),
-i0 AS (SELECT repo_url, file_path, generate_subscripts({_PY.format(g=1)}, 1) AS pos, unnest({_PY.format(g=1)}) AS a, unnest({_PY.format(g=2)}) AS b FROM s),
-i AS (SELECT repo_url, file_path AS src, pos, list_filter(string_split(CASE WHEN a <> '' THEN a ELSE b END, '.'), lambda x: x <> '') AS q FROM i0),
+s AS (SELECT DISTINCT repo_url, file_path, language, source FROM source_files), i0 AS ({both}),
+i AS (SELECT repo_url, file_path AS src, pos, list_filter(string_split(regexp_replace(CASE WHEN a <> '' THEN a ELSE b END, '[/:\\\\]+', '.', 'g'), '.'), lambda x: x <> '') AS q FROM i0),
 t AS (SELECT repo_url, src, pos, q, unnest(range(1, len(q) + 1)) AS k FROM i), u AS (SELECT repo_url, src, pos, len(q) - k AS o, array_to_string(q[1:k], '.') AS name FROM t UNION ALL SELECT repo_url, src, pos, len(q) + 1, q[-1] FROM i WHERE len(q) > 0),
 b AS (SELECT repo_url, src, pos, arg_min(dst, o) AS dst FROM u JOIN names USING (repo_url, name) GROUP BY ALL)
-SELECT DISTINCT repo_url, src, dst FROM b WHERE src <> dst""")
+SELECT DISTINCT repo_url, src, dst FROM b WHERE src <> dst"""
+
+
+DEPENDENCIES = deps_sql(tuple(graph.IMPORTS))
+
+
+@query("longest_prefix_resolution", deps_sql(("python",)))
 def longest_prefix_resolution(spark: SparkSession, d: str) -> DataFrame:
     rows = sources(spark, d)
     return graph.resolve_imports(graph.imports(rows.where("lower(language) = 'python'"), ["repo_url", "file_path"], "source"), rows)
 
 
-@query("file_dependencies")
+@query("file_dependencies", DEPENDENCIES)
 def file_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return dependencies(spark, d)
 
 
-_CALLS = f"""
+CALLS = f"""
 WITH f AS (SELECT * FROM {FUNCTIONS}), u AS (SELECT DISTINCT repo_url, file_path, own, src, called FROM (SELECT repo_url, file_path, name AS own, file_path || '::' || name AS src, unnest(regexp_extract_all(body, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) AS called FROM f) WHERE called <> own),
 l AS (SELECT DISTINCT repo_url, file_path, name, file_path || '::' || name AS near FROM f), g AS (SELECT repo_url, name, arg_min(file_path || '::' || name, function_id) AS far FROM f GROUP BY ALL)
 SELECT DISTINCT u.repo_url, u.src, coalesce(near, far) AS dst FROM u LEFT JOIN l ON l.repo_url = u.repo_url AND l.file_path = u.file_path AND l.name = u.called LEFT JOIN g ON g.repo_url = u.repo_url AND g.name = u.called WHERE coalesce(near, far) IS NOT NULL"""
 
 
-@query("call_edges", _CALLS)
+@query("call_edges", CALLS)
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.calls(functions(spark, d))
 
 
-@query("most_called", f"SELECT dst AS id, count(*) AS callers FROM ({_CALLS}) GROUP BY dst ORDER BY callers DESC, id LIMIT 10")
+@query("most_called", f"SELECT dst AS id, count(*) AS callers FROM ({CALLS}) GROUP BY dst ORDER BY callers DESC, id LIMIT 10")
 def most_called(spark: SparkSession, d: str) -> DataFrame:
     return graph.calls(functions(spark, d)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers")).orderBy(F.desc("callers"), "id").limit(10)
 
@@ -229,7 +244,7 @@ def knowledge_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("edge_overwrite", f"""
-WITH c AS ({_CALLS}), b AS (SELECT DISTINCT repo_url, file_path || '::' || name AS src, file_path AS dst FROM {FUNCTIONS}), u AS (SELECT *, 'belongs_to' AS type, 0 AS stage FROM b UNION ALL SELECT *, 'calls', 1 FROM c UNION ALL SELECT repo_url, dst, src, 'returns', 2 FROM c)
+WITH c AS ({CALLS}), b AS (SELECT DISTINCT repo_url, file_path || '::' || name AS src, file_path AS dst FROM {FUNCTIONS}), u AS (SELECT *, 'belongs_to' AS type, 0 AS stage FROM b UNION ALL SELECT *, 'calls', 1 FROM c UNION ALL SELECT repo_url, dst, src, 'returns', 2 FROM c)
 SELECT type, count(*) AS n FROM (SELECT repo_url, src, dst, arg_max(type, stage) AS type FROM u GROUP BY ALL) GROUP BY type""")
 def edge_overwrite(spark: SparkSession, d: str) -> DataFrame:
     f = functions(spark, d)
@@ -242,7 +257,7 @@ def edge_overwrite(spark: SparkSession, d: str) -> DataFrame:
 _M = lambda c: MODULE.replace("file_path", c)
 
 
-@query("module_interactions", f"SELECT repo_url, {_M('src')} AS source, {_M('dst')} AS target, count(*) AS n FROM ({_CALLS}) WHERE {_M('src')} <> {_M('dst')} GROUP BY ALL")
+@query("module_interactions", f"SELECT repo_url, {_M('src')} AS source, {_M('dst')} AS target, count(*) AS n FROM ({CALLS}) WHERE {_M('src')} <> {_M('dst')} GROUP BY ALL")
 def module_interactions(spark: SparkSession, d: str) -> DataFrame:
     e = graph.calls(functions(spark, d)).select("repo_url", T.module(F.col("src")).alias("source"), T.module(F.col("dst")).alias("target"))
     return e.where("source <> target").groupBy("repo_url", "source", "target").agg(F.count("*").alias("n"))

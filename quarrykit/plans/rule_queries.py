@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
-from quarrykit.operators import rules, tables
+from quarrykit.operators import graph, rules, scores, tables
 from quarrykit.plans import Registry
 from quarrykit.plans.corpus_queries import PARENT, sql_any, sql_count
-from quarrykit.plans.data import FILES, FUNCTIONS, PREVIEW, WHOLE, files, functions, text_query
+from quarrykit.plans.data import CONFIGURATION, FILES, FUNCTIONS, WHOLE, configuration, files, functions, text_query
+from quarrykit.plans.graph_queries import CALLS, DEPENDENCIES, dependencies
 
 registry = Registry()
 query = registry.query
@@ -141,106 +142,109 @@ def string_literal_names(spark: SparkSession, d: str, text: str) -> DataFrame:
     return files(spark, d, text).select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-# Words that stand for parts of a production system.
-SIGNS = {
-    "logging": ("logging.", "logger.", "console.log", "log.", "Log.", "slog."), "config": (".env", "dotenv", "config.", "settings.", "os.environ", "process.env"),
-    "async": ("async def", "async function", "await ", "Promise", "CompletableFuture"),
-}
-LOW_SIGNS = {
-    "validation": ("validate", "sanitize", "escape", "parameterized", "prepared"), "caching": ("cache", "redis", "memcache", "lru_cache", "@cache"),
-    "pooling": ("pool", "connection_pool", "pool_size", "max_connections"), "queues": ("celery", "rabbitmq", "kafka", "queue", "pubsub", "sns", "sqs"), "cors": ("cors",),
-}
-# How errors are handled, and how SQL is put together from text.
-HANDLING = ("try:", "except", "try {", "catch", ".catch(", "rescue", "recover")
-RAW_SQL = (r"""f["'].*(?:SELECT|INSERT|UPDATE|DELETE).*\{""", r"""(?:execute|query)\s*\(\s*f["']""", r"\.format\(.*(?:SELECT|INSERT|UPDATE|DELETE)")
-
-
 def _signs_sql() -> str:
     p = "source_preview"
-    cols = [f"coalesce(bool_or({sql_any(p, v)}), false) AS {k}" for k, v in SIGNS.items()] + [f"coalesce(bool_or({sql_any(f'lower({p})', v)}), false) AS {k}" for k, v in LOW_SIGNS.items()]
-    cols += ["(" + " + ".join(f"coalesce(bool_or(contains({p}, '{h}')), false)::INTEGER" for h in HANDLING) + ") AS handling"]
+    cols = [f"coalesce(bool_or({sql_any(p, v)}), false) AS {k}" for k, v in scores.SIGNS.items()] + [f"coalesce(bool_or({sql_any(f'lower({p})', v)}), false) AS {k}" for k, v in scores.LOW_SIGNS.items()]
+    cols += ["(" + " + ".join(f"coalesce(bool_or(contains({p}, '{h}')), false)::INTEGER" for h in scores.HANDLING) + ") AS handling"]
     cols += [f"(" + " + ".join(f"coalesce(bool_or(regexp_matches({p}, {_quoted('(?i)' + r.pattern)})), false)::INTEGER" for r in rules.SECRETS) + ") AS secrets"]
-    cols += ["(" + " OR ".join(f"coalesce(bool_or(regexp_matches({p}, {_quoted('(?i)' + r)})), false)" for r in RAW_SQL) + ") AS raw_sql"]
+    cols += ["(" + " OR ".join(f"coalesce(bool_or(regexp_matches({p}, {_quoted('(?i)' + r)})), false)" for r in scores.RAW_SQL) + ") AS raw_sql"]
     cols += [f"coalesce(sum((length({p}) - length(replace({p}, 'global ', ''))) // 7 + (length({p}) - length(replace({p}, '_instance = None', ''))) // 16), 0)::BIGINT AS globals"]
     cols += ["count(*) FILTER (contains(lower(file_path), 'test') OR contains(lower(file_path), 'spec')) AS tests", "count(*) AS files"]
     return f"SELECT repo_url, {', '.join(cols)} FROM {FILES} GROUP BY repo_url"
 
 
-def signs(spark: SparkSession, d: str, text: str = PREVIEW) -> DataFrame:
-    """Per repository whether any text has the signs of a production system: aggregates, no joined corpus."""
-    p, path = F.col(text), F.lower("file_path")
-    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    cols = [some(T.any_of(p, v)).alias(k) for k, v in SIGNS.items()] + [some(T.any_of(F.lower(p), v)).alias(k) for k, v in LOW_SIGNS.items()]
-    handling = sum((some(p.contains(h)).cast("int") for h in HANDLING), F.lit(0))
-    secret = sum((some(p.rlike("(?i)" + r.pattern)).cast("int") for r in rules.SECRETS), F.lit(0))
-    raw = F.lit(False)
-    for r in RAW_SQL:
-        raw = raw | some(p.rlike("(?i)" + r))
-    times = lambda w: F.floor((F.length(p) - F.length(F.replace(p, F.lit(w), F.lit("")))) / len(w))
-    return files(spark, d, text).groupBy("repo_url").agg(
-        *cols, handling.alias("handling"), secret.alias("secrets"), raw.alias("raw_sql"), F.coalesce(F.sum(times("global ") + times("_instance = None")), F.lit(0)).alias("globals"),
-        F.count_if(path.contains("test") | path.contains("spec")).alias("tests"), F.count("*").alias("files"),
-    )
-
-
 @of_texts("production_signs", _signs_sql())
 def production_signs(spark: SparkSession, d: str, text: str) -> DataFrame:
-    return signs(spark, d, text)
-
-
+    return scores.signs(files(spark, d, text), text)
+
+
+_C = "lower(content)"
+_P = "file_path"
+_CONFIG_SQL = f"""SELECT collection, bool_or({sql_any(_P, scores.SIGNS['config'])}) AS c_config, bool_or({sql_any('lower(file_path)', ('dockerfile', 'docker-compose'))}) AS c_docker, bool_or(contains(lower(file_path), 'docker')) AS c_contained,
+ bool_or({sql_any(_P, scores.PIPELINES)}) AS c_pipeline, bool_or(ends_with('/' || file_path, '/.gitignore') AND contains(content, '.env')) AS c_ignored, bool_or(contains(file_path, '.env')) AS c_env,
+ {", ".join(f"bool_or({sql_any(_C, scores.LOW_SIGNS[k])}) AS c_{k}" for k in ("caching", "pooling", "queues"))},
+ ({" + ".join(f"coalesce(bool_or(regexp_matches(content, {_quoted('(?i)' + r.pattern)})), false)::INTEGER" for r in rules.SECRETS)}) AS c_secrets,
+ sum(CASE WHEN regexp_matches(file_path, '(^|/)docker-compose\\.ya?ml$') AND contains(content, 'services:') THEN len(regexp_extract_all(content, 'image:')) + len(regexp_extract_all(content, 'build:')) END) AS c_services FROM {CONFIGURATION} GROUP BY collection"""
+_LINES = "len(string_split(body, chr(10)))"
+_QUALITY_SQL = f"""SELECT s.repo_url, s.lines, s.files, coalesce(f.n, 0) AS functions, round(greatest(0, 10 - CASE WHEN f.mean > 40 THEN 2.0 WHEN f.mean > 25 THEN 1.0 ELSE 0 END - CASE WHEN very_long > 0 THEN 1.5 WHEN long > 0 THEN 0.5 ELSE 0 END
+  - CASE WHEN greatest(snake, camel) / n::DOUBLE < 0.7 THEN 1.0 ELSE 0 END - least(1.5, large * 0.3) - CASE WHEN crowded > 0 THEN 1.0 ELSE 0 END - CASE WHEN documented < 0.2 THEN 0.5 ELSE 0 END)::DOUBLE, 1) AS quality
+ FROM (SELECT repo_url, count(*) FILTER (line_count > 500) AS large, coalesce(sum(line_count), 0)::BIGINT AS lines, count(*) AS files FROM {FILES} GROUP BY repo_url) s
+ LEFT JOIN (SELECT repo_url, count(*) FILTER (k > 20) AS crowded FROM (SELECT repo_url, {PARENT} AS folder, count(*) AS k FROM {FILES} GROUP BY ALL) GROUP BY repo_url) d ON d.repo_url IS NOT DISTINCT FROM s.repo_url
+ LEFT JOIN (SELECT repo_url, count(*) AS n, avg({_LINES}) AS mean, count(*) FILTER ({_LINES} > 50) AS long, count(*) FILTER ({_LINES} > 100) AS very_long, count(*) FILTER (regexp_matches(name, '^[a-z_][a-z0-9_]*$')) AS snake,
+  count(*) FILTER (regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') AND NOT contains(name, '_')) AS camel, avg((contains(body, chr(34)||chr(34)||chr(34)) OR contains(body, ''''''''))::INTEGER) FILTER (lower(language) = 'python') AS documented FROM {FUNCTIONS} GROUP BY repo_url) f ON f.repo_url IS NOT DISTINCT FROM s.repo_url"""
 _SCORES = f"""
-WITH s AS ({_signs_sql()}), x AS (SELECT repo_url,
- round(least(10, logging::INTEGER * 2 + CASE WHEN handling >= 3 THEN 2 WHEN handling >= 1 THEN 1 ELSE 0 END + config::INTEGER * 2 + CASE WHEN tests = 0 THEN 0 WHEN tests / files::DOUBLE > 0.15 THEN 2 ELSE 1 END)::DOUBLE, 1) AS production,
- round(greatest(0, 10 - 2.5 * secrets - CASE WHEN validation THEN 0 ELSE 1 END - CASE WHEN raw_sql THEN 2 ELSE 0 END - CASE WHEN cors THEN 0 ELSE 0.5 END)::DOUBLE, 1) AS security,
- round(greatest(0, 5 + async::INTEGER * 2 + caching::INTEGER + pooling::INTEGER + queues::INTEGER - CASE WHEN globals > 5 THEN 2 WHEN globals > 0 THEN 0.5 ELSE 0 END)::DOUBLE, 1) AS scalability FROM s)
-SELECT repo_url, production, security, scalability, round((production + security + scalability) / 3, 4) AS overall FROM x"""
+WITH s AS ({_signs_sql()}), c AS ({_CONFIG_SQL}), q AS ({_QUALITY_SQL}), j AS (SELECT s.*, c.* EXCLUDE (collection), q.quality, q.lines, q.functions FROM s LEFT JOIN c ON c.collection = 'repo_' || substr(md5(s.repo_url), 1, 12) JOIN q ON q.repo_url IS NOT DISTINCT FROM s.repo_url),
+x AS (SELECT repo_url, quality, floor((files * 0.5 + functions * 0.2 + lines * 0.005) * CASE WHEN files > 500 THEN 2.5 WHEN files > 100 THEN 1.5 ELSE 1.0 END)::BIGINT AS minutes,
+ round(least(10, logging::INTEGER * 2 + CASE WHEN handling >= 3 THEN 2 WHEN handling >= 1 THEN 1 ELSE 0 END + (config OR coalesce(c_config, false))::INTEGER * 2 + coalesce(c_docker, false)::INTEGER + coalesce(c_pipeline, false)::INTEGER + CASE WHEN tests = 0 THEN 0 WHEN tests / files::DOUBLE > 0.15 THEN 2 ELSE 1 END)::DOUBLE, 1) AS production,
+ round(greatest(0, 10 - 2.5 * secrets - 1.5 * coalesce(c_secrets, 0) - CASE WHEN validation THEN 0 ELSE 1 END - CASE WHEN raw_sql THEN 2 ELSE 0 END - CASE WHEN cors THEN 0 ELSE 0.5 END - CASE WHEN coalesce(c_env, false) AND NOT coalesce(c_ignored, false) THEN 1 ELSE 0 END)::DOUBLE, 1) AS security,
+ round(least(10, greatest(0, 5 + async::INTEGER * 2 + (caching OR coalesce(c_caching, false))::INTEGER + (pooling OR coalesce(c_pooling, false))::INTEGER + (queues OR coalesce(c_queues, false))::INTEGER - CASE WHEN globals > 5 THEN 2 WHEN globals > 0 THEN 0.5 ELSE 0 END + coalesce(c_contained, false)::INTEGER * 0.5))::DOUBLE, 1) AS scalability FROM j)
+SELECT repo_url, quality, production, security, scalability, round((quality + production + security + scalability) / 4, 1) AS overall, CASE WHEN minutes < 120 THEN '~' || minutes || ' minutes' ELSE '~' || (minutes // 60) || ' hours' END AS time_to_understand FROM x"""
 
 
 @of_texts("health_scores", _SCORES)
 def health_scores(spark: SparkSession, d: str, text: str) -> DataFrame:
-    one = lambda c: F.col(c).cast("int")
-    ratio = F.col("tests") / F.col("files")
-    production = one("logging") * 2 + F.when(F.col("handling") >= 3, 2).when(F.col("handling") >= 1, 1).otherwise(0) + one("config") * 2 + F.when(F.col("tests") == 0, 0).when(ratio > 0.15, 2).otherwise(1)
-    security = F.lit(10.0) - F.col("secrets") * 2.5 - (1 - one("validation")) - one("raw_sql") * 2 - (1 - one("cors")) * 0.5
-    scale = F.lit(5.0) + one("async") * 2 + one("caching") + one("pooling") + one("queues") - F.when(F.col("globals") > 5, 2.0).when(F.col("globals") > 0, 0.5).otherwise(0.0)
-    rows = signs(spark, d, text).select("repo_url", T.clamped(production.cast("double")).alias("production"), T.clamped(security).alias("security"), T.clamped(scale).alias("scalability"))
-    return rows.withColumn("overall", F.round((F.col("production") + F.col("security") + F.col("scalability")) / 3, 4))
+    return scores.health(files(spark, d, text), functions(spark, d), configuration(spark, d), text)
+
+
+@query("code_quality_scores", f"SELECT repo_url, quality, lines, files, functions FROM ({_QUALITY_SQL})")
+def code_quality_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scores.code_quality(files(spark, d), functions(spark, d))
 
 
 @query("complexity_score", f"""
-WITH c AS (SELECT repo_url, avg({sql_count('body', T.BRANCHES)}) AS mean, max({sql_count('body', T.BRANCHES)}) AS worst, count(*) AS functions FROM {FUNCTIONS} GROUP BY repo_url),
+WITH c AS (SELECT repo_url, avg({sql_count('body', T.BRANCHES)}) AS mean, max({sql_count('body', T.BRANCHES)}) AS worst FROM {FUNCTIONS} GROUP BY repo_url), e AS (SELECT repo_url, count(*) AS edges FROM ({DEPENDENCIES}) GROUP BY repo_url),
 f AS (SELECT repo_url, count(*) AS files, avg(len(string_split(file_path, '/'))) AS depth, max(len(string_split(file_path, '/'))) AS deepest FROM {FILES} GROUP BY repo_url),
-s AS (SELECT repo_url, round(least(10, least(3, coalesce(mean, 0) / 5) + least(2, depth / 4) + least(1.5, files / 200.0) + least(1.5, coalesce(worst, 0) / 20.0))::DOUBLE, 4) AS score, round(coalesce(mean, 0), 4) AS mean_complexity, coalesce(worst, 0)::INTEGER AS worst, deepest::INTEGER AS deepest FROM f LEFT JOIN c USING (repo_url))
+j AS (SELECT repo_url, files, depth, deepest, coalesce(mean, 0) AS mean, coalesce(worst, 0) AS worst, coalesce(edges, 0) / files::DOUBLE AS density FROM f LEFT JOIN c USING (repo_url) LEFT JOIN e USING (repo_url)),
+s AS (SELECT repo_url, round(least(10, least(3, mean / 5) + least(2, density / 3) + least(2, depth / 4) + least(1.5, files / 200.0) + least(1.5, worst / 20.0))::DOUBLE, 1) AS score, round(mean, 4) AS mean_complexity, worst::INTEGER AS worst, round(depth, 4) AS depth, deepest::INTEGER AS deepest, round(density, 4) AS density FROM j)
 SELECT *, CASE WHEN score >= 8 THEN 'critical' WHEN score >= 6 THEN 'high' WHEN score >= 4 THEN 'moderate' ELSE 'low' END AS level FROM s""")
 def complexity_score(spark: SparkSession, d: str) -> DataFrame:
-    cc = T.complexity(F.col("body"), T.BRANCHES)
-    c = functions(spark, d).groupBy("repo_url").agg(F.avg(cc).alias("mean"), F.max(cc).alias("worst"))
-    depth = F.size(F.split("file_path", "/"))
-    f = files(spark, d).groupBy("repo_url").agg(F.count("*").alias("files"), F.avg(depth).alias("depth"), F.max(depth).alias("deepest")).join(c, "repo_url", "left").fillna(0, ["mean", "worst"])
-    cap = lambda x, most: F.least(F.lit(float(most)), x)
-    score = cap(F.col("mean") / 5, 3) + cap(F.col("depth") / 4, 2) + cap(F.col("files") / 200, 1.5) + cap(F.col("worst") / 20, 1.5)
-    rows = f.select("repo_url", F.round(cap(score, 10), 4).alias("score"), F.round("mean", 4).alias("mean_complexity"), "worst", "deepest")
-    return rows.withColumn("level", F.when(F.col("score") >= 8, "critical").when(F.col("score") >= 6, "high").when(F.col("score") >= 4, "moderate").otherwise("low"))
+    return scores.complexity(files(spark, d), functions(spark, d), dependencies(spark, d))
 
 
-# Folders of layers, and words of event-driven systems.
-LAYERS = ("api", "routes", "service", "services", "repository", "repositories", "domain", "core", "infrastructure", "data", "presentation")
-EVENTS = ("event", "listener", "handler", "subscriber", "publish", "emit", "on_event", "event_bus", "message_queue", "celery", "kafka")
+@query("complex_functions", f"""
+SELECT repo_url, function_id, name, complexity, rank FROM (SELECT repo_url, function_id, name, complexity, row_number() OVER (PARTITION BY repo_url ORDER BY complexity DESC, function_id)::INTEGER AS rank FROM (SELECT *, {sql_count('body', T.BRANCHES)} AS complexity FROM {FUNCTIONS})) WHERE rank <= 10""")
+def complex_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most complex functions of each repository."""
+    rows = functions(spark, d).select("repo_url", "function_id", "name", T.complexity(F.col("body"), T.BRANCHES).alias("complexity"))
+    return tables.top_per_group(rows, ["repo_url"], [F.desc("complexity"), F.col("function_id")], 10)
 
 
-@of_texts("architecture_signs", f"""
+_MODE = "SELECT repo_url, {place} AS location, '{mode}' AS mode, '{chance}' AS probability, {stage} AS stage FROM {table} WHERE {where}"
+
+
+@of_texts("failure_modes", f"""
+WITH k AS (SELECT repo_url, dst, count(*) AS n FROM ({CALLS}) GROUP BY ALL), u AS (
+{_MODE.format(place='dst', mode='single point of failure', chance='high', stage=0, table='k', where=f'n > {scores.CALLERS}')} UNION ALL
+{_MODE.format(place="file_path || '::' || name", mode='unhandled async error', chance='medium', stage=1, table=FUNCTIONS, where=f"contains(body, 'async def') AND NOT contains(body, 'try:') AND {sql_any('body', scores.OUTSIDE)}")} UNION ALL
+{_MODE.format(place='file_path', mode='missing timeout', chance='medium', stage=1, table=FILES, where=f"regexp_matches(source_preview, '{scores.HTTP_CALL}') AND NOT regexp_matches(source_preview, '{scores.TIMEOUT}')")} UNION ALL
+{_MODE.format(place='file_path', mode='no retry', chance='medium', stage=2, table=FILES, where=f"regexp_matches(source_preview, '{scores.CONNECTION}') AND NOT regexp_matches(source_preview, '(?i){scores.RETRY}') AND {sql_any('lower(file_path)', scores.CLIENTS)}")} UNION ALL
+{_MODE.format(place='file_path', mode='endless loop', chance='low', stage=3, table=FILES, where="contains(source_preview, 'while True') AND NOT contains(source_preview, 'break')")})
+SELECT repo_url, location, mode, probability FROM (SELECT *, row_number() OVER (PARTITION BY repo_url, location ORDER BY stage) AS r FROM u) WHERE r = 1""")
+def failure_modes(spark: SparkSession, d: str, text: str) -> DataFrame:
+    f = functions(spark, d)
+    return scores.failure_modes(files(spark, d, text), f, graph.calls(f), text)
+
+
+_ARCHITECTURE = f"""
 WITH f AS (SELECT repo_url, lower({PARENT}) AS dir, lower(source_preview) AS p FROM {FILES}), g AS (SELECT repo_url,
  round(0.3 * bool_or(contains(dir, 'model'))::INTEGER + 0.3 * bool_or(contains(dir, 'view') OR contains(dir, 'template'))::INTEGER + 0.3 * bool_or(contains(dir, 'controller') OR contains(dir, 'handler'))::INTEGER + 0.1 * bool_or(contains(dir, 'route'))::INTEGER, 2)::DOUBLE AS mvc,
- count(DISTINCT regexp_extract(dir, '([^/]*)$', 1)) FILTER (regexp_extract(dir, '([^/]*)$', 1) IN ({", ".join(f"'{x}'" for x in LAYERS)})) AS layers,
- ({" + ".join(f"coalesce(bool_or(contains(p, '{e}')), false)::INTEGER" for e in EVENTS)}) AS events, count(DISTINCT split_part(dir, '/', 1)) AS tops FROM f GROUP BY repo_url)
-SELECT repo_url, mvc, layers, events, tops, mvc >= 0.6 AS is_mvc, layers >= 3 AS is_layered, events >= 3 AS is_event_driven FROM g""")
+ count(DISTINCT regexp_extract(dir, '([^/]*)$', 1)) FILTER (regexp_extract(dir, '([^/]*)$', 1) IN ({", ".join(f"'{x}'" for x in scores.LAYERS)})) AS layers,
+ ({" + ".join(f"coalesce(bool_or(contains(p, '{e}')), false)::INTEGER" for e in scores.EVENTS)}) AS events, count(DISTINCT split_part(dir, '/', 1)) AS tops FROM f GROUP BY repo_url) SELECT * FROM g"""
+
+
+@of_texts("architecture_signs", f"SELECT repo_url, mvc, layers, events, tops, mvc >= 0.6 AS is_mvc, layers >= 3 AS is_layered, events >= 3 AS is_event_driven FROM ({_ARCHITECTURE})")
 def architecture_signs(spark: SparkSession, d: str, text: str) -> DataFrame:
-    f = files(spark, d, text).select("repo_url", F.lower(T.parent(F.col("file_path"))).alias("dir"), F.lower(text).alias("p"))
-    some = lambda *w: F.bool_or(T.any_of(F.col("dir"), w)).cast("int")
-    last = T.file_name(F.col("dir"))
-    events = sum((F.coalesce(F.bool_or(F.col("p").contains(e)), F.lit(False)).cast("int") for e in EVENTS), F.lit(0))
-    g = f.groupBy("repo_url").agg(
-        F.round(some("model") * 0.3 + some("view", "template") * 0.3 + some("controller", "handler") * 0.3 + some("route") * 0.1, 2).alias("mvc"),
-        F.countDistinct(F.when(last.isin(*LAYERS), last)).alias("layers"), events.alias("events"), F.countDistinct(F.split_part("dir", F.lit("/"), F.lit(1))).alias("tops"),
-    )
+    g = scores.architecture(files(spark, d, text), text).drop("gateway", "stores")
     return g.select("*", (F.col("mvc") >= 0.6).alias("is_mvc"), (F.col("layers") >= 3).alias("is_layered"), (F.col("events") >= 3).alias("is_event_driven"))
+
+
+@of_texts("architecture_patterns", f"""
+WITH a AS ({_ARCHITECTURE}), b AS (SELECT repo_url, bool_or(contains(lower(file_path), 'gateway')) AS gateway, bool_or(contains(lower(file_path), 'repo')) AS stores FROM {FILES} GROUP BY repo_url), c AS ({_CONFIG_SQL}),
+j AS (SELECT a.repo_url, mvc, layers, events, tops, stores, CASE WHEN coalesce(c_services, 0) >= 2 THEN least(1.0, c_services / 5.0) ELSE 0.0 END + gateway::INTEGER * 0.2 AS micro FROM a JOIN b ON a.repo_url IS NOT DISTINCT FROM b.repo_url LEFT JOIN c ON c.collection = 'repo_' || substr(md5(a.repo_url), 1, 12)),
+u AS (SELECT repo_url, 'MVC' AS pattern, mvc::DOUBLE AS confidence, 0 AS place FROM j WHERE mvc >= 0.6 UNION ALL SELECT repo_url, 'Layered Architecture', round(least(1, layers / 4.0), 2)::DOUBLE, 1 FROM j WHERE layers >= 3 UNION ALL
+ SELECT repo_url, 'Microservices', round(least(1.0, micro), 2)::DOUBLE, 2 FROM j WHERE micro > 0.3 UNION ALL SELECT repo_url, 'Event-Driven', round(least(1, events / 6.0), 2)::DOUBLE, 3 FROM j WHERE events >= 3 UNION ALL SELECT repo_url, 'Repository Pattern', 0.7::DOUBLE, 4 FROM j WHERE stores),
+m AS (SELECT * FROM u UNION ALL SELECT repo_url, 'Monolith', 0.6::DOUBLE, 5 FROM j WHERE (tops <= 3 AND micro <= 0.3) OR NOT EXISTS (SELECT 1 FROM u WHERE u.repo_url IS NOT DISTINCT FROM j.repo_url))
+SELECT repo_url, pattern, confidence, row_number() OVER (PARTITION BY repo_url ORDER BY confidence DESC, place) = 1 AS is_primary FROM m""")
+def architecture_patterns(spark: SparkSession, d: str, text: str) -> DataFrame:
+    """Patterns of each repository with their confidence, the surest one primary."""
+    return scores.patterns(files(spark, d, text), configuration(spark, d), text)
