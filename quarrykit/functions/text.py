@@ -168,3 +168,13 @@ def is_keyword_query(query: Column) -> Column:
 
 def clamped(score: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)), 1)
+
+
+def short_name(node: Column) -> Column:
+    """``name.py::f`` of ``a/b/name.py::f``."""
+    return F.regexp_extract(node, r"([^/]*)$", 1)
+
+
+def json_object(text: Column) -> Column:
+    """A text as VARIANT: as it is, else from its first brace to its last, else null."""
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0)))

@@ -38,20 +38,20 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 
     Semi-naive: each round extends only the pairs that are new, until there are none.
     """
-    step = simple(edges)
-    known = written(step if seeds is None else step.join(seeds.select("src").distinct(), "src", "left_semi"))
-    frontier = known
+    step = cut(simple(edges))  # read in every round
+    frontier = written(step if seeds is None else step.join(seeds.select("src").distinct(), "src", "left_semi"))
+    known = frontier
     while True:
         longer = frontier.alias("f").join(step.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst").distinct()
         frontier = written(longer.join(known, ["src", "dst"], "left_anti"))
         if frontier.isEmpty():
             return known
-        known = written(known.unionByName(frontier))
+        known = known.unionByName(frontier)  # what was written stays as it is
 
 
 def levels(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """(start, node, level): nodes within ``depth`` steps of each start (column ``start``), with the least number of steps."""
-    step = simple(edges)
+    step = cut(simple(edges))
     a, b = ("dst", "src") if reverse else ("src", "dst")
     known = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("level")).distinct())
     frontier = known
@@ -67,7 +67,7 @@ def paths(edges: DataFrame, starts: DataFrame, cutoff: int, close: bool = False)
 
     A cycle is listed once, from its least node.
     """
-    step = simple(edges)
+    step = cut(simple(edges))
     now = starts.select("start", F.array(F.col("start")).alias("path")).distinct()
     found = None
     for _ in range(cutoff):
@@ -83,13 +83,17 @@ def paths(edges: DataFrame, starts: DataFrame, cutoff: int, close: bool = False)
     return found
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
-    """(id, rank): PageRank after ``rounds`` rounds; what nodes without edges hold is spread over all."""
-    step = simple(edges)
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(id, rank): PageRank after ``rounds`` rounds; what nodes without edges hold is spread over all.
+
+    With ``tolerance`` the rounds end when, in five of them, all ranks together change by less than
+    that times the number of nodes.
+    """
+    step = cut(simple(edges))
     out = step.groupBy("src").agg(F.count("*").alias("o"))
     ids = cut(nodes.select("id").distinct().join(out, F.col("id") == F.col("src"), "left").select("id", F.coalesce("o", F.lit(0)).alias("o")))
     n = ids.count()
-    rank = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    rank = before = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(rounds):
         sent = step.join(rank.where("o > 0"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("o")).alias("got"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("o") == 0, F.col("rank"))), F.lit(0.0)).alias("lost"))
@@ -97,19 +101,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float
         rank = rank.select("id", "o", (F.lit((1 - alpha) / max(n, 1)) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
         if i % 5 == 4:
             rank = cut(rank)
+            if tolerance is not None:
+                moved = rank.join(before.select("id", F.col("rank").alias("before")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+                if (moved or 0.0) < tolerance * n:
+                    break
+                before = rank
     return rank.select("id", "rank")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, score): exact normalised betweenness of a directed graph, by Brandes' sums for all sources at once.
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(id, score): normalised betweenness of a directed graph, by Brandes' sums for all sources at once.
 
     Forward, the shortest paths are counted level by level; backward, each level passes its
-    dependencies on.  The tables have one row per source and reachable node.
+    dependencies on.  The tables have one row per source and reachable node, so large graphs are
+    given a stated set of ``sources`` (id); the sums are scaled up then, and the result is an
+    unbiased estimate where the sources are chosen by hash.  Without it the result is exact.
     """
-    step = simple(edges)
+    step = cut(simple(edges))
     ids = nodes.select("id").distinct()
     n = ids.count()
-    known = cut(ids.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
+    first = ids if sources is None else ids.join(sources.select("id").distinct(), "id", "left_semi")
+    part_of = 1.0 if sources is None else n / max(first.count(), 1)
+    known = cut(first.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     frontier, depth, stages = known, 0, [known]
     while True:
         depth += 1
@@ -134,7 +147,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if total is None:
         return ids.withColumn("score", F.lit(0.0))
     sums = total.groupBy("id").agg(F.sum("score").alias("score"))
-    scale = (n - 1) * (n - 2) if n > 2 else 1
+    scale = ((n - 1) * (n - 2) if n > 2 else 1) / part_of
     return ids.join(sums, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) / scale).alias("score"))
 
 
@@ -169,6 +182,25 @@ IMPORTS = {
 }
 
 
+# Fixed value: how classes with bases are declared in Python.
+CLASS = r"(?m)^[ \t]*class[ \t]+(\w+)[ \t]*(?:\(([^()]*)\))?[ \t]*:"
+
+
+def classes(files: DataFrame, text: str, language: str = "language") -> DataFrame:
+    """(repo_url, file_path, pos, name, bases): the classes of Python files in order, with what stands in their brackets."""
+    pull = lambda g: F.regexp_extract_all(text, F.lit(CLASS), F.lit(g))
+    rows = files.where(F.lower(language) == "python").select("repo_url", "file_path", F.posexplode(F.arrays_zip(pull(1).alias("n"), pull(2).alias("b"))).alias("pos", "x"))
+    bases = F.filter(F.transform(F.split("x.b", ","), T.trim_all), lambda b: (b != "") & ~b.contains("="))
+    return rows.select("repo_url", "file_path", "pos", F.col("x.n").alias("name"), bases.alias("bases"))
+
+
+def inherits(found: DataFrame) -> DataFrame:
+    """(repo_url, src, dst): a class and the first class of the repository that bears the name of its base."""
+    node = F.concat_ws("::", "file_path", "name")
+    first = tables.one_per_key(found.select("repo_url", "name", "file_path", "pos"), ["repo_url", "name"], ["file_path", "pos"]).select("repo_url", F.col("name").alias("base"), node.alias("dst"))
+    return found.select("repo_url", node.alias("src"), F.explode("bases").alias("base")).join(first, ["repo_url", "base"]).where("src <> dst").select("repo_url", "src", "dst").distinct()
+
+
 def imports(files: DataFrame, keys: list[str], text: str, language: str = "language") -> DataFrame:
     """(keys..., pos, import): what files import, in order."""
     both = lambda r: F.filter(F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(r), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(r), F.lit(2)).alias("b")), lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"])), lambda x: x != "")

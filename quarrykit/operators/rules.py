@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
@@ -76,13 +76,6 @@ def scan(df: DataFrame, keys: Sequence[str], text: str, rules: Sequence[Rule], i
     return tables.one_per_key(hits, [*keys, "label", "line"], ["rule"]).drop("rule")
 
 
-def issue(df: DataFrame, keep: Column, severity: Column, category: str, line: Column | None = None) -> DataFrame:
-    """Rows of ``df`` that fulfil a condition as issues (repo_url, file_path, line, category, severity, subject)."""
-    at = F.lit(None).cast("int") if line is None else line.cast("int")
-    subject = F.col("subject") if "subject" in df.columns else F.lit(None).cast("string")
-    return df.where(keep).select("repo_url", "file_path", at.alias("line"), F.lit(category).alias("category"), severity.alias("severity"), subject.alias("subject"))
-
-
 #: Limits from which structure counts as an issue, and tighter ones for code bases of short functions.
 LIMITS = {"medium": 12, "high": 20, "worst": 30, "deep": 5, "name": 40, "params": 7, "module": 25, "large": 40, "broad": 3, "dead": 5}
 TIGHT = {"medium": 4, "high": 5, "worst": 6, "deep": 3, "name": 20, "params": 2, "module": 5, "large": 7, "broad": 1, "dead": 1}
@@ -94,30 +87,25 @@ def quality(files: DataFrame, functions: DataFrame, limits: dict[str, int] = LIM
         "repo_url", "file_path", F.col("start_line").alias("at"), F.col("name").alias("subject"), T.complexity(F.col("body")).alias("cc"), T.nesting(F.col("body")).alias("deep"),
         F.coalesce(F.size("parameters"), F.lit(0)).alias("params"), F.length("name").alias("len"),
     )
-    at, cc = F.col("at"), F.col("cc")
-    p = F.col(text)
-    s = files.select("repo_url", "file_path", F.col("file_path").alias("subject"), "language", p)
+    cc, p, x = F.col("cc"), F.col(text), limits
+    one = lambda keep, category, severity: F.when(keep, F.struct(F.lit(category).alias("category"), severity.alias("severity")))
+    medium, low = F.lit("medium"), F.lit("low")
+    # what is counted is counted once a row; each row gives all its issues
+    spread = lambda rows, line, *found: rows.select("repo_url", "file_path", line.alias("line"), "subject", F.explode(F.filter(F.array(*found), lambda i: i.isNotNull())).alias("i")).select("repo_url", "file_path", "line", "i.category", "i.severity", "subject")
+    of_functions = spread(
+        f, F.col("at"),
+        one(cc > x["medium"], "complexity", F.when(cc > x["worst"], "critical").when(cc > x["high"], "high").otherwise("medium")), one(F.col("deep") >= x["deep"], "nesting", medium),
+        one(F.col("len") > x["name"], "naming", low), one(F.col("params") > x["params"], "parameters", medium),
+    )
+    n = functions.groupBy("repo_url", "file_path").agg(F.count("*").alias("n")).withColumn("subject", F.col("file_path"))
+    nowhere = F.lit(None).cast("int")
+    of_modules = spread(n, nowhere, one(F.col("n") > x["module"], "module size", F.when(F.col("n") > x["large"], "high").otherwise("medium")))
     trimmed = F.transform(F.split(p, "\n"), T.trim_all)
-    dead = F.size(F.filter(trimmed, lambda x: (x.startswith("#") | x.startswith("//")) & T.any_of(x, CODE_WORDS)))
+    dead = F.size(F.filter(trimmed, lambda v: (v.startswith("#") | v.startswith("//")) & T.any_of(v, CODE_WORDS)))
     broad = F.regexp_count(p, F.lit(r"\bexcept\s*:")) + F.regexp_count(p, F.lit(r"\bexcept\s+Exception\s*:"))
-    n = functions.groupBy("repo_url", "file_path").agg(F.count("*").alias("n")).withColumn("subject", F.col("file_path"))
-    medium, low = F.lit("medium"), F.lit("low")
-    x = limits
-    parts = [
-        issue(f, cc > x["high"], F.when(cc > x["worst"], "critical").otherwise("high"), "complexity", at),
-        issue(f, (cc > x["medium"]) & (cc <= x["high"]), medium, "complexity", at),
-        issue(f, F.col("deep") >= x["deep"], medium, "nesting", at),
-        issue(f, F.col("len") > x["name"], low, "naming", at),
-        issue(f, F.col("params") > x["params"], medium, "parameters", at),
-        issue(n, F.col("n") > x["module"], F.when(F.col("n") > x["large"], "high").otherwise("medium"), "module size"),
-        issue(s, broad >= x["broad"], medium, "broad handlers"),
-        issue(s, dead >= x["dead"], low, "dead comments"),
-        issue(s, (F.col("language") == "python") & p.rlike(r"from\s+\S+\s+import\s+\*"), medium, "star import"),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    s = files.select("repo_url", "file_path", F.col("file_path").alias("subject"), broad.alias("broad"), dead.alias("dead"), ((F.col("language") == "python") & p.rlike(r"from\s+\S+\s+import\s+\*")).alias("star"))
+    of_files = spread(s, nowhere, one(F.col("broad") >= x["broad"], "broad handlers", medium), one(F.col("dead") >= x["dead"], "dead comments", low), one(F.col("star"), "star import", medium))
+    return of_functions.unionByName(of_modules).unionByName(of_files)
 
 
 def penalised(issues: DataFrame, *keys: str) -> DataFrame:
@@ -137,13 +125,14 @@ def performance(files: DataFrame, functions: DataFrame, text: str = "source") ->
     """Slow patterns in functions and files, one row per place and type."""
     b, p = F.col("body"), F.col(text)
     loops = F.regexp_count(b, F.lit(r"\bfor\b")) + F.regexp_count(b, F.lit(r"\bwhile\b"))
-    head = r"(?m)for\s+\w+\s+in\s+[^\n]*:\s*\n"
-    query = b.rlike(rf"{head}(?:[^\n]*\n)*?[^\n]*(?:\.query|\.filter|\.find|\.get|\.fetch|execute)")
-    concat = b.rlike(rf"""{head}(?:[^\n]*\n)*?[^\n]*\+\s*=\s*[^\n]*(?:str|["'])""")
+    # what follows the head of the first loop, searched once: no pattern that tries again from each head
+    inside = F.regexp_extract(b, r"for\s+\w+\s+in\s+[^\n]*:\s*\n(?s:(.*))", 1)
+    query = inside.rlike(r"\.query|\.filter|\.find|\.get|\.fetch|execute")
+    concat = inside.rlike(r"""\+\s*=\s*[^\n]*(?:str|["'])""")
     blocking = b.contains("async def") & b.rlike(r"\b(open|requests\.get|requests\.post|urllib|time\.sleep)\b")
     whole = p.rlike(r"\.read\(\s*\)") & ~p.rlike("(?i)chunk|stream|iter")
-    # no group repeats by line here: on a long file that would use up the stack
-    uncached = p.rlike(r"(?s)def\s+get_\w+[^\n]*:\s*\n.*?(?:\.query|requests\.|fetch|api)") & ~p.rlike("(?i)cache|lru_cache|memoize|redis")
+    getter = F.regexp_extract(p, r"def\s+get_\w+[^\n]*:\s*\n(?s:(.*))", 1)
+    uncached = getter.rlike(r"\.query|requests\.|fetch|api") & ~p.rlike("(?i)cache|lru_cache|memoize|redis")
     per = lambda keep, kind, severity: F.when(keep, F.struct(F.lit(kind).alias("type"), severity.alias("severity")))
     f = functions.select("repo_url", "file_path", F.col("start_line").alias("line"), F.explode(F.filter(F.array(
         per(query, "n_plus_one", F.lit("high")), per(loops >= 3, "heavy_loop", F.when(loops > 3, "high").otherwise("medium")),

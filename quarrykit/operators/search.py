@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
+from quarrykit.session import written
 
 
 def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -44,18 +47,66 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+#: Queries that are compared at once with a batch of vectors.
+BLOCK = 1024
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, id: str, vector: str, query_id: str, query_vector: str, k: int) -> DataFrame:
     """(query_id, id, similarity, rank): exact nearest vectors of a stated set of queries.
 
-    The queries are broadcast, so their number must be bounded by the caller; each task keeps the
-    best ``k`` of its rows before the shuffle (WindowGroupLimit).  Null vectors and vectors of
-    another length than the query's do not take part; ties by id.
+    The queries are written to the shared folder and read in blocks by every task, so their number is not
+    bounded by a broadcast; a block meets a batch of vectors in one matrix product, and the best ``k`` of
+    the batch go on.  Null vectors, vectors with nulls, and vectors of another length than the query's
+    do not take part, nor do those that are all zero; similarities have six places, ties go by id.
     """
-    asked = F.broadcast(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q_v")))
-    rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("_q_w")).where("_q_w is not null")
-    pairs = rows.join(asked, F.size("_q_w") == F.size("_q_v")).select("query_id", "id", F.round(cosine(F.col("_q_w"), F.col("_q_v")), 6).alias("similarity"))
+    whole = lambda df, c: df.where(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()))
+    asked = written(whole(queries, query_vector).where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v")))
+    rows = whole(vectors, vector).where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    files = sorted(asked.inputFiles())
+    kinds = {"id": dict(rows.dtypes)["id"], "query_id": dict(asked.dtypes)["query_id"]}
+
+    def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and unit vectors, for each length that occurs."""
+        lengths = np.diff(column.offsets.to_numpy())
+        flat, starts = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+        for n in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == n)
+            m = flat[starts[at][:, None] + np.arange(n)]
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((m * m).sum(axis=1))
+            good = np.isfinite(norm) & (norm > 0)
+            yield at[good], m[good] / norm[good][:, None]
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        for file in files:
+            system, path = fs.FileSystem.from_uri(file)
+            with system.open_input_file(path) as f:
+                yield from parquet.ParquetFile(f).iter_batches(BLOCK)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order = np.argsort(np.argsort(np.array(b.column(0).to_pylist(), dtype=object), kind="stable"))  # place of each id
+            mine = {m.shape[1]: (at, m) for at, m in by_length(b.column(1)) if len(at)}
+            for block in blocks():
+                for qat, q in by_length(block.column(1)):
+                    if not len(qat) or q.shape[1] not in mine:
+                        continue
+                    at, m = mine[q.shape[1]]
+                    score = np.round(q @ m.T, 6)
+                    n = min(k, score.shape[1])
+                    bar = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+                    row, col = np.nonzero(score >= bar[:, None])
+                    best = np.lexsort((order[at[col]], -score[row, col], row))
+                    row, col = row[best], col[best]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < k  # of equal ones the smaller ids
+                    row, col = row[first], col[first]
+                    yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(qat[row])), b.column(0).take(pa.array(at[col])), pa.array(score[row, col])], ["query_id", "id", "similarity"])
+
+    pairs = rows.mapInArrow(search, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.where("similarity is not null").withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def fused(lists: Mapping[str, DataFrame], weights: Mapping[str, float], key: Iterable[str], n: int, k: int = 60) -> DataFrame:
@@ -74,14 +125,24 @@ def fused(lists: Mapping[str, DataFrame], weights: Mapping[str, float], key: Ite
     return sums.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def hybrid_weights(query: str) -> dict[str, float]:
-    """Weights of the lists: keyword queries lean on keywords."""
-    import re
+def hybrid(words: DataFrame, near: DataFrame, queries: DataFrame, key: Iterable[str], n: int, keep: Column | None = None) -> DataFrame:
+    """(query_id, key..., score, sources, rank): keyword and vector candidates fused, 2n of each.
 
-    low = query.lower()
-    asks = any(low.startswith(w) or f" {w} " in f" {low} " for w in T.QUESTION_WORDS)
-    code = not asks and (re.search(r"[A-Z]{2}|_[a-z]|[a-z][A-Z]|\.\w+\(|::", query) or len(query.split()) <= 3)
-    return {"vector": 0.3, "bm25": 0.7} if code else {"vector": 0.6, "bm25": 0.4}
+    Queries that look like identifiers lean on keywords (0.7 to 0.3), others on vectors (0.6 to 0.4).
+    ``keep``, a condition on the candidates' columns, holds after their ranking: it lets no further
+    candidates in.  A query for which nothing is left gives no row.
+    """
+    key = list(key)
+    leans = queries.select("query_id", T.is_keyword_query(F.col("query")).alias("_q_k"))
+    parts = None
+    for name, rows, plain, code in (("bm25", words, 0.4, 0.7), ("vector", near, 0.6, 0.3)):
+        part = rows.where(F.col("rank") <= 2 * n)
+        part = (part if keep is None else part.where(keep)).join(leans, "query_id")
+        part = part.select("query_id", *key, (F.when(F.col("_q_k"), code).otherwise(plain) / (60 + F.col("rank"))).alias("s"), F.lit(name).alias("source"))
+        parts = part if parts is None else parts.unionByName(part)
+    sums = parts.groupBy("query_id", *key).agg(F.round(F.sum("s"), 6).alias("score"), F.array_sort(F.collect_set("source")).alias("sources"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *key))
+    return sums.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def by_kind(results: DataFrame, kind: str = "chunk_type") -> DataFrame:

@@ -14,10 +14,10 @@ def with_age(df: DataFrame, ts: str, age: str = "age_days") -> DataFrame:
 
 
 def span(first: Column, last: Column) -> Column:
-    """A span of time as years and months, months, or days."""
+    """A span of time: years and months where it is longer than a year, else days."""
     days = F.floor((F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 86_400_000_000)
     years, months = F.floor(days / 365), F.floor((days % 365) / 30)
-    return F.when(days >= 365, F.concat(years.cast("string"), F.lit("y "), months.cast("string"), F.lit("m"))).when(days >= 30, F.concat(F.floor(days / 30).cast("string"), F.lit("m"))).otherwise(F.concat(days.cast("string"), F.lit("d")))
+    return F.when(days > 365, F.concat(years.cast("string"), F.lit("y "), months.cast("string"), F.lit("m"))).otherwise(F.concat(days.cast("string"), F.lit(" days")))
 
 
 def active_modules(changes: DataFrame, module: str, file: str, recent: int) -> DataFrame:

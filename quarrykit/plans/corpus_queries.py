@@ -227,13 +227,15 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("collection_content_hash", """
-WITH c AS (SELECT DISTINCT collection, id, content FROM code_chunks), h AS (SELECT collection, id, sha256(coalesce(content, '')) AS h FROM c)
-SELECT collection, substr(sha256(string_agg(id || h, '' ORDER BY id, h)), 1, 16) AS content_hash, count(*) AS chunks FROM h GROUP BY collection""")
+WITH c AS (SELECT DISTINCT collection, id, content FROM code_chunks), h AS (SELECT collection, id, sha256(coalesce(content, '')) AS h, substr(md5(id), 1, 4) AS part FROM c),
+p AS (SELECT collection, part, sha256(string_agg(id || h, '' ORDER BY id, h)) AS h, count(*) AS n FROM h GROUP BY ALL)
+SELECT collection, substr(sha256(string_agg(part || h, '' ORDER BY part)), 1, 16) AS content_hash, sum(n)::BIGINT AS chunks FROM p GROUP BY collection""")
 def collection_content_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Hash of a collection by the sorted hashes of its chunks, so that no text is gathered."""
-    rows = table(spark, d, "code_chunks").select("collection", "id", "content").distinct().select("collection", "id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("h"))
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda x: F.concat(x["id"], x["h"])), "")
-    return rows.groupBy("collection").agg(F.substring(F.sha2(all_, 256), 1, 16).alias("content_hash"), F.count("*").alias("chunks"))
+    """Hash of a collection by the hashes of its parts: 65,536 at most, so that no collection is gathered whole."""
+    rows = table(spark, d, "code_chunks").select("collection", "id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("h")).distinct().withColumn("part", F.substring(F.md5("id"), 1, 4))
+    joined = lambda a, b: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: F.concat(x[a], x[b])), ""), 256)
+    parts = rows.groupBy("collection", "part").agg(joined("id", "h").alias("h"), F.count("*").alias("n"))
+    return parts.groupBy("collection").agg(F.substring(joined("part", "h"), 1, 16).alias("content_hash"), F.sum("n").alias("chunks"))
 
 
 @query("truncated_previews", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions import text as T
 from quarrykit.operators import graph, tables
 from quarrykit.plans import Registry
-from quarrykit.plans.corpus_queries import MODULE
+from quarrykit.plans.corpus_queries import MODULE, NAME
 from quarrykit.plans.data import FILES, FUNCTIONS, files, functions
 from quarrykit.session import table
 
@@ -216,29 +216,84 @@ def parameter_names(spark: SparkSession, d: str) -> DataFrame:
     return functions(spark, d).select(F.explode(T.clean_parameters(F.col("parameters"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("data_flow_edges")
+_GIVEN = f"SELECT DISTINCT t.repo_url, g.src, t.dst FROM t JOIN (SELECT repo_url, name, file_path || '::' || name AS src FROM f) g ON g.repo_url = t.repo_url AND g.name = t.name WHERE g.src <> t.dst"
+
+
+@query("data_flow_edges", f"{_FLOW} {_GIVEN} EXCEPT SELECT repo_url, src, dst FROM ({CALLS})")
 def data_flow_edges(spark: SparkSession, d: str) -> DataFrame:
     rows = functions(spark, d)
     return graph.data_flow(rows, graph.calls(rows))
 
 
+_CLASSES = f"""SELECT repo_url, file_path, generate_subscripts(regexp_extract_all(source, {_q(graph.CLASS)}, 1), 1) AS pos, unnest(regexp_extract_all(source, {_q(graph.CLASS)}, 1)) AS name, unnest(regexp_extract_all(source, {_q(graph.CLASS)}, 2)) AS inner_
+ FROM (SELECT DISTINCT file_id, repo_url, file_path, source FROM source_files WHERE lower(language) = 'python')"""
+INHERITS = f"""
+WITH c AS ({_CLASSES}), b AS (SELECT repo_url, file_path || '::' || name AS src, regexp_replace(unnest(string_split(inner_, ',')), '^\\s+|\\s+$', '', 'g') AS base FROM c),
+n AS (SELECT repo_url, name, arg_min(file_path || '::' || name, (file_path, pos)) AS dst FROM c GROUP BY ALL)
+SELECT DISTINCT b.repo_url, b.src, n.dst FROM b JOIN n ON n.repo_url = b.repo_url AND n.name = b.base WHERE b.base <> '' AND NOT contains(b.base, '=') AND b.src <> n.dst"""
+
+
+@query("class_bases", INHERITS)
+def class_bases(spark: SparkSession, d: str) -> DataFrame:
+    """Classes and the classes they inherit from."""
+    return graph.inherits(graph.classes(sources(spark, d), "source"))
+
+
+_BELONGS = f"SELECT DISTINCT repo_url, file_path || '::' || name AS src, file_path AS dst FROM {FUNCTIONS}"
+_CLASS_BELONGS = f"SELECT DISTINCT repo_url, file_path || '::' || name AS src, file_path AS dst FROM ({_CLASSES})"
+KNOWLEDGE = f"""
+{_FLOW}, e AS (SELECT *, 'belongs_to' AS type, 0 AS stage FROM ({_BELONGS}) UNION ALL SELECT *, 'belongs_to', 1 FROM ({_CLASS_BELONGS}) UNION ALL SELECT *, 'inherits', 2 FROM ({INHERITS}) UNION ALL SELECT *, 'imports', 3 FROM ({DEPENDENCIES}) UNION ALL SELECT *, 'calls', 4 FROM ({CALLS})),
+w AS (SELECT *, 'data_flow' AS type, 5 AS stage FROM ({_GIVEN} EXCEPT SELECT repo_url, src, dst FROM e))
+SELECT repo_url, src, dst, arg_max(type, stage) AS type FROM (SELECT * FROM e UNION ALL SELECT * FROM w) GROUP BY ALL"""
+
+
 def knowledge(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the knowledge graph: membership, imports, calls and data flow, one for each pair of ends."""
-    f = functions(spark, d)
+    """Edges of the knowledge graph: membership, inheritance, imports, calls and data flow, one for each pair of ends."""
+    f, c = functions(spark, d), graph.classes(sources(spark, d), "source")
     node = F.concat_ws("::", "file_path", "name")
-    belongs = f.select("repo_url", node.alias("src"), F.col("file_path").alias("dst")).distinct()
-    called = graph.calls(f)
-    stages = [("belongs_to", belongs), ("imports", dependencies(spark, d)), ("calls", called)]
-    have = stages[0][1].unionByName(stages[1][1]).unionByName(called)
+    belongs = lambda rows: rows.select("repo_url", node.alias("src"), F.col("file_path").alias("dst")).distinct()
+    stages = [("belongs_to", belongs(f)), ("belongs_to", belongs(c)), ("inherits", graph.inherits(c)), ("imports", dependencies(spark, d)), ("calls", graph.calls(f))]
+    have = stages[0][1]
+    for _, part in stages[1:]:
+        have = have.unionByName(part)
     return graph.overwritten([*stages, ("data_flow", graph.data_flow(f, have))])
 
 
-@query("knowledge_edges")
+NODES = f"""SELECT repo_url, file_path AS id, 'file' AS type, {NAME} AS name FROM {FILES} UNION SELECT repo_url, file_path || '::' || name, 'function', name FROM {FUNCTIONS}
+ UNION SELECT repo_url, file_path || '::' || name, 'class', name FROM ({_CLASSES}) UNION SELECT repo_url, {MODULE}, 'module', {MODULE} FROM {FILES}"""
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """(repo_url, id, type, name): files, functions, classes and modules."""
+    node = F.concat_ws("::", "file_path", "name")
+    f = files(spark, d)
+    parts = [f.select("repo_url", F.col("file_path").alias("id"), F.lit("file").alias("type"), T.file_name(F.col("file_path")).alias("name"))]
+    parts += [x.select("repo_url", node.alias("id"), F.lit(k).alias("type"), "name") for k, x in (("function", functions(spark, d)), ("class", graph.classes(sources(spark, d), "source")))]
+    parts += [f.select("repo_url", T.module(F.col("file_path")).alias("id"), F.lit("module").alias("type"), T.module(F.col("file_path")).alias("name"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+@query("knowledge_nodes", f"SELECT repo_url, type, count(*) AS n FROM ({NODES}) GROUP BY ALL")
+def knowledge_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the knowledge graph by repository and type."""
+    return nodes(spark, d).groupBy("repo_url", "type").agg(F.count("*").alias("n"))
+
+
+@query("node_search", f"SELECT repo_url, id, name FROM ({NODES}) WHERE type = 'function' AND contains(lower(name), 'merge') ORDER BY id, repo_url LIMIT 20")
+def node_search(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a type whose name contains a text, the first twenty."""
+    return nodes(spark, d).where((F.col("type") == "function") & F.lower("name").contains("merge")).orderBy("id", "repo_url").limit(20).select("repo_url", "id", "name")
+
+
+@query("knowledge_edges", KNOWLEDGE)
 def knowledge_edges(spark: SparkSession, d: str) -> DataFrame:
     return knowledge(spark, d)
 
 
-@query("knowledge_summary")
+@query("knowledge_summary", f"SELECT type, count(*) AS edges, count(DISTINCT repo_url) AS repos FROM ({KNOWLEDGE}) GROUP BY type")
 def knowledge_summary(spark: SparkSession, d: str) -> DataFrame:
     return knowledge(spark, d).groupBy("type").agg(F.count("*").alias("edges"), F.countDistinct("repo_url").alias("repos"))
 
@@ -263,6 +318,70 @@ def module_interactions(spark: SparkSession, d: str) -> DataFrame:
     return e.where("source <> target").groupBy("repo_url", "source", "target").agg(F.count("*").alias("n"))
 
 
+# --- operators on the call graph of all repositories ---------------------------------------------------
+
+_NODE = "coalesce(repo_url, '') || '|' || file_path || '::' || name"
+CALL_GRAPH = f"(SELECT DISTINCT coalesce(repo_url, '') || '|' || src AS src, coalesce(repo_url, '') || '|' || dst AS dst FROM ({CALLS}) WHERE src <> dst)"
+_ASKED = f"(SELECT DISTINCT {_NODE} AS id FROM {FUNCTIONS} WHERE function_id % 50 = 0)"
+
+
+def call_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, asked): functions and calls of all repositories; asked are those whose id is divisible by 50."""
+    f = functions(spark, d)
+    node = F.concat(F.coalesce("repo_url", F.lit("")), F.lit("|"), F.concat_ws("::", "file_path", "name"))
+    named = lambda c: F.concat(F.coalesce("repo_url", F.lit("")), F.lit("|"), c).alias(c)
+    e = graph.calls(f).select(named("src"), named("dst"))
+    return f.select(node.alias("id")).distinct(), graph.simple(e), f.where("function_id % 50 = 0").select(node.alias("id")).distinct()
+
+
+@query("call_degrees", f"""
+SELECT n.id, coalesce(i.k, 0) AS in_degree, coalesce(o.k, 0) AS out_degree, CASE WHEN i.k IS NULL AND o.k IS NULL THEN 'isolated' WHEN i.k IS NULL THEN 'entry' WHEN o.k IS NULL THEN 'leaf' ELSE 'inner' END AS role
+FROM (SELECT DISTINCT {_NODE} AS id FROM {FUNCTIONS}) n LEFT JOIN (SELECT dst, count(*) AS k FROM {CALL_GRAPH} GROUP BY dst) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS k FROM {CALL_GRAPH} GROUP BY src) o ON o.src = n.id""")
+def call_degrees(spark: SparkSession, d: str) -> DataFrame:
+    n, e, _ = call_graph(spark, d)
+    return graph.roles(graph.degrees(n, e))
+
+
+@query("call_reach", f"""
+WITH RECURSIVE e AS (SELECT * FROM {CALL_GRAPH}), c AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM {_ASKED}) UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c""")
+def call_reach(spark: SparkSession, d: str) -> DataFrame:
+    """All functions that each asked function reaches by calls."""
+    _, e, asked = call_graph(spark, d)
+    return graph.closure(e, asked.select(F.col("id").alias("src")))
+
+
+@query("call_dependents", f"""
+WITH RECURSIVE e AS (SELECT * FROM {CALL_GRAPH}), b AS (SELECT id AS start, id AS node, 0 AS level FROM {_ASKED} UNION SELECT b.start, e.src, b.level + 1 FROM b JOIN e ON e.dst = b.node WHERE b.level < 3)
+SELECT start, node, min(level)::INTEGER AS level FROM b GROUP BY start, node HAVING min(level) > 0""")
+def call_dependents(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that call each asked function, at most three steps away."""
+    _, e, asked = call_graph(spark, d)
+    return graph.levels(e, asked.select(F.col("id").alias("start")), 3, reverse=True)
+
+
+@query("call_paths", f"""
+WITH RECURSIVE e AS (SELECT * FROM {CALL_GRAPH}), p AS (SELECT id AS start, [id] AS path FROM {_ASKED} UNION ALL SELECT p.start, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.path[-1] WHERE len(p.path) <= 8 AND NOT list_contains(p.path, e.dst))
+SELECT start, path FROM p WHERE len(path) > 1""")
+def call_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Simple paths of calls of up to eight steps from each asked function."""
+    _, e, asked = call_graph(spark, d)
+    return graph.paths(e, asked.select(F.col("id").alias("start")), 8)
+
+
+@query("call_rank")
+def call_rank(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank of all functions, until the ranks stand still."""
+    n, e, _ = call_graph(spark, d)
+    return graph.pagerank(n, e, 100, tolerance=1e-6).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("call_betweenness")
+def call_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """Betweenness of all functions, by the shortest paths from the asked ones."""
+    n, e, asked = call_graph(spark, d)
+    return graph.betweenness(n, e, asked).select("id", F.round("score", 12).alias("score"))
+
+
 @query("folders_of_files", f"""
 WITH f AS (SELECT DISTINCT repo_url, file_path FROM {FILES}), m AS (SELECT DISTINCT repo_url, regexp_replace(file_path, '/[^/]*$', '') AS folder FROM f WHERE contains(file_path, '/') AND length(file_path) - length(replace(file_path, '/', '')) = 1)
 SELECT f.repo_url, f.file_path, m.folder FROM f JOIN m ON m.repo_url = f.repo_url AND starts_with(f.file_path, m.folder || '/')""")

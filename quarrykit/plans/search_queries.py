@@ -37,7 +37,7 @@ CHUNKS = "(SELECT id, any_value(content) AS content, any_value(file_path) AS fil
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, each id once; what differs between repeated rows is the time only."""
-    return table(spark, d, "code_chunks").select("id", "content", "file_path", "chunk_type", "language", "start_line", "collection").distinct()
+    return table(spark, d, "code_chunks").select("id", "content", "file_path", "chunk_type", "language", "start_line", "collection").dropDuplicates(["id"])
 
 
 @query("term_statistics", f"""
@@ -113,18 +113,44 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     return search.fused({"all": words, "functions": code}, {"all": 0.6, "functions": 0.4}, ["place"], 8)
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their latest vector, each id once."""
+    rows = table(spark, d, "code_chunks").where("embedding is not null and id is not null")
+    return rows.groupBy("id").agg(F.max_by(F.struct("embedding", "content", "chunk_type", "file_path", "start_line"), F.struct("created_at", F.size("embedding"))).alias("c")).select("id", "c.*")
+
+
+def _hybrid(spark: SparkSession, d: str, n: int, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every question with the vector of the chunk that answers it best by keywords, against all chunks."""
+    rows = _vectors(spark, d)
+    kinds = rows.select("id", "chunk_type")
+    words = search.bm25(rows, asked(spark), "id", "content", "query_id", "query", 2 * n)
+    meant = words.where("rank = 1").join(rows.select("id", "embedding"), "id").select(F.col("query_id").alias("q"), F.col("embedding").alias("qv"))
+    near = search.vector_top(rows, meant, "id", "embedding", "q", "qv", 2 * n).withColumnsRenamed({"q": "query_id"})
+    keep = None if kind is None else F.col("chunk_type") == kind
+    lists = [x.select("query_id", "id", "rank").join(kinds, "id") for x in (words, near)]
+    return search.hybrid(*lists, asked(spark), ["id"], n, keep), rows
+
+
 @query("hybrid_search")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword and vector candidates of chunks fused; the query vector is that of a given chunk."""
-    rows = table(spark, d, "code_chunks").where("embedding is not null").select("id", "content", "embedding", "chunk_type", "file_path", "start_line").dropDuplicates(["id"])
-    text = TEXTS["q1"]
-    words = search.bm25(rows, asked(spark).where("query_id = 'q1'"), "id", "content", "query_id", "query", 16)
-    first = rows.where(F.size("embedding") == 384).orderBy("id").limit(1).select(F.lit("q1").alias("q"), F.col("embedding").alias("qv"))
-    near = search.vector_top(rows, first, "id", "embedding", "q", "qv", 16)
-    both = search.fused({"bm25": words.select("query_id", "id", "rank"), "vector": near.select("query_id", "id", "rank")}, search.hybrid_weights(text), ["id"], 8)
+    """Keyword and vector candidates of chunks fused, functions first."""
+    both, rows = _hybrid(spark, d, 8)
     return search.by_kind(both.join(rows.select("id", "chunk_type", "file_path", "start_line"), "id"))
 
 
+@query("hybrid_search_functions")
+def hybrid_search_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The same for functions only; the filter holds after both rankings."""
+    return _hybrid(spark, d, 8, "function")[0]
+
+
+@query("search_code")
+def search_code(spark: SparkSession, d: str) -> DataFrame:
+    """The best four chunks of every question with the first 500 characters of each, the length of a snippet."""
+    both, rows = _hybrid(spark, d, 4)
+    return both.join(rows.select("id", "file_path", F.substring("content", 1, 500).alias("snippet")), "id").select("query_id", "rank", "id", "file_path", "score", "snippet")
+
+
 @query("answer_context", f"""
 WITH a AS ({bm25_sql(CHUNKS, 'id', 'content', _ASKED, 8)}), k AS (SELECT a.*, c.chunk_type, c.file_path, c.content FROM a JOIN {CHUNKS} c USING (id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE chunk_type WHEN 'function' THEN 0 WHEN 'class' THEN 1 ELSE 2 END, rank) AS position FROM k)

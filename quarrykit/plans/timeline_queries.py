@@ -71,7 +71,7 @@ _DAYS = "((epoch_us(b) - epoch_us(a)) // 86400000000)"
 
 @query("time_span", f"""
 WITH s AS (SELECT module, min(ts) AS a, max(ts) AS b, count(*) AS n FROM {CHANGES} GROUP BY module)
-SELECT module, n, CASE WHEN {_DAYS} >= 365 THEN ({_DAYS} // 365) || 'y ' || (({_DAYS} % 365) // 30) || 'm' WHEN {_DAYS} >= 30 THEN ({_DAYS} // 30) || 'm' ELSE {_DAYS} || 'd' END AS span FROM s""")
+SELECT module, n, CASE WHEN {_DAYS} > 365 THEN ({_DAYS} // 365) || 'y ' || (({_DAYS} % 365) // 30) || 'm' ELSE {_DAYS} || ' days' END AS span FROM s""")
 def time_span(spark: SparkSession, d: str) -> DataFrame:
     s = changes(spark, d).groupBy("module").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
     return s.select("module", "n", timeline.span(F.col("a"), F.col("b")).alias("span"))

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.session import exists
+
 
 def save_collection(chunks: DataFrame, path: str, collection: str = "collection") -> None:
     """Write chunks partitioned by collection; only the collections that are written are replaced."""
@@ -15,7 +17,13 @@ def save_collection(chunks: DataFrame, path: str, collection: str = "collection"
 
 def has_collection(spark: SparkSession, path: str, collection: str, content_hash: str, hashes: DataFrame) -> bool:
     """Whether a collection with this content is stored already (``hashes``: collection, content_hash)."""
-    return not hashes.where((F.col("collection") == collection) & (F.col("content_hash") == content_hash)).isEmpty() and os.path.exists(path)
+    return not hashes.where((F.col("collection") == collection) & (F.col("content_hash") == content_hash)).isEmpty() and exists(spark, path)
+
+
+def drop_collection(spark: SparkSession, path: str, name: str, collection: str = "collection") -> bool:
+    """Remove a stored collection, its folder on any file system; whether there was one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path, f"{collection}={name}")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def append_jobs(jobs: DataFrame, path: str) -> None:

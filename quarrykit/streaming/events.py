@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.session import shared_dir
+from quarrykit.session import exists, shared_dir
 
 
 def source(spark: SparkSession, path: str, ts: str, delay: str) -> DataFrame:
@@ -57,7 +57,7 @@ def latest_state(stream: DataFrame, keys: list[str], order: str, target: str) ->
         spark = batch.sparkSession
         old = f"{target}/{number - 1}"
         rows = batch
-        if number and os.path.exists(old):
+        if number and exists(spark, old):
             rows = batch.unionByName(spark.read.parquet(old))
         one_per_key(rows, keys, [order], last=True).write.mode("overwrite").parquet(f"{target}/{number}")
 
