@@ -1,9 +1,11 @@
 """Credentials in code, comments and configuration: finding and masking.
 
-Token formats, key armor, connection strings and names of secrets are one deterministic automaton
-over bytes.  It scans all texts of a batch as overlapping chunks side by side; where it stops, the
-lines around are read once more for the exact span of the value, and what is a placeholder or a
-reference is dropped.  Spans that overlap are merged, then placeholders are spliced in.
+Token formats, key armor, connection strings, logins and names of secrets are one deterministic
+automaton over bytes.  It scans all texts of a batch as overlapping chunks side by side.  Where it ends a
+token, an armor or a connection string, the same grammar read backwards from there gives the start, and
+both the span of the value; where it ends the name of a secret, the literal bound to that name is taken.
+What is a placeholder or a reference is dropped.  Spans that overlap, as those of several grammars or of
+neighbouring chunks, are merged, then placeholders are spliced in.
 
 Defined results: null and empty texts have no spans and come out as they are; repeated rows of a
 key are found once; a value over several lines counts on its first.
@@ -15,6 +17,7 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,31 +28,34 @@ from quarrykit.llm.automaton import Automaton
 
 MASK = "[REDACTED]"
 
-# Where the automaton stops.  Formats of tokens, key armor, connection strings,
-# logins on a command line, and names of secrets with what joins them to a value.
-TRIGGERS = (
-    r"gh[pousr]_|github_pat_|AKIA[0-9A-Z]|ASIA[0-9A-Z]|AIza|eyJ[A-Za-z0-9_-]|xox[a-z]-[0-9]|sk-[A-Za-z0-9]|glpat-|npm_|hf_|SG\.",
-    r"(tk|pat|tok|sec|live|test|prod|sk)[-_][A-Za-z0-9]",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY",
-    r"://[A-Za-z0-9_.%-]*:[^/ \n]",
-    r"-u [\"']?[A-Za-z0-9_.-]+:",
-    r"(?i)(passw|pwd|passphrase|pass|secret|token|credential|api[_ -]?key|auth|key)[a-z0-9_.-]*[\"'\])]*[ \t]*[:=,(]",
-    r"(?i)(password|passwd|passphrase|secret|token|key|login) ",
-)
+class Rule(NamedTuple):
+    """A grammar of the automaton: what its match is, and where in the match the value begins."""
 
-# Public formats of tokens.
-FORMATS = re.compile(
-    r"""(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|AIza[0-9A-Za-z_-]{35}
-      |xox[abeoprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}|sk-(?:[a-z]+-)?[A-Za-z0-9]{32,}|[a-z]{2,4}_(?:live|test)_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}
-      |SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})""",
-    re.X,
-)
-#: Tokens of services that have their own prefix, as ab-pat-... or abtk_...: a long random tail.
-_PREFIXED = re.compile(r"(?<![A-Za-z0-9_/+=-])[a-z]{2,6}(?:[-_](?:pat|tok|token|sec|secret|key|live|test|prod|sk))?[-_]([A-Za-z0-9]{24,})(?![A-Za-z0-9])")
-_ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
-_OTHER_ARMOR = re.compile(r"-----BEGIN (?:CERTIFICATE|(?:[A-Z0-9]+ )*PUBLIC KEY|CERTIFICATE REQUEST|X509 CRL)[^-]*-----.*?(?:-----END [^-\n]*-----|\Z)", re.S)
-_CONNECT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@\"'<>`]*):([^\s\"'<>`]+)@(?=[\w\[])")
-_LOGIN = re.compile(r"(?:^|\s)-u\s+[\"']?[\w.-]+:([^\s\"'`]+)")
+    kind: str
+    pattern: str
+
+
+_B = "[^A-Za-z0-9]"  # no token begins in the middle of a word
+# Public formats of tokens; tokens of services with their own prefix, as ab-pat-... or abtk_...; key armor;
+# connection strings; logins on a command line; names of secrets with what joins them to a value, and words before one.
+RULES = (
+    *[
+        Rule("token", _B + p)
+        for p in (
+            r"gh[pousr]_[A-Za-z0-9]{30,}", r"github_pat_[A-Za-z0-9_]{30,}", r"AIza[0-9A-Za-z_-]{35}", r"xox[abeoprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}", r"sk-(?:[a-z]+-)?[A-Za-z0-9]{32,}", r"[a-z]{2,4}_(?:live|test)_[A-Za-z0-9]{20,}",
+            r"glpat-[A-Za-z0-9_-]{20,}", r"npm_[A-Za-z0-9]{36}", r"hf_[A-Za-z0-9]{30,}", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+        )
+    ],
+    Rule("word", _B + r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
+    Rule("prefixed", r"[^A-Za-z0-9_/+=-][a-z]{2,6}(?:[-_](?:pat|tok|token|sec|secret|key|live|test|prod|sk))?[-_][A-Za-z0-9]{24,}"),
+    Rule("key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"), Rule("key end", r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"),
+    Rule("public", r"-----BEGIN (?:CERTIFICATE|(?:[A-Z0-9]+ )*PUBLIC KEY|CERTIFICATE REQUEST|X509 CRL)[^\n-]*-----"), Rule("public end", r"-----END [^\n-]*-----"),
+    Rule("connection", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'<>`]*:[^\s\"'<>`]+@[\w\[]"),
+    Rule("login", r"\s-u\s+[\"']?[\w.-]+:[^\s\"'`]+"),
+    Rule("name", r"(?i)(?:passw|pwd|passphrase|pass|secret|token|credential|api[_ -]?key|auth|key)[a-z0-9_.-]*[\"'\])]*[ \t]*[:=,(]"),
+    Rule("name", r"(?i)(?:password|passwd|passphrase|secret|token|key|login|credential)s? "),
+)
+_DULL = re.compile(r"(?i)x{6}|\*{3}|0{8}|1234567|abcdefg")
 _NAME = re.compile(
     r"""(?i)(?P<name>(?:[\w$.-]*?(?<![a-z]))?(?:passw(?:or)?d|passwd|passphrase|pwd|pass|secrets?|tokens?|credentials?|auth|api[_ -]?key|access[_-]?key|(?:(?<=[a-z])|[_.-]|\b)key)(?![a-z])[\w.-]*|[\w$.-]*?[a-z](?-i:Pass|Pwd|Password|Passwd|Secret|Token|Key|Auth)(?![a-z])[\w.-]*|authorization)
         ["'`\])]*\s*(?P<join>:=|=>|==?|\?\?|\?:|\|\||\bor\b|:|,|\()\s*""",
@@ -87,7 +93,7 @@ def looks_secret(value: str, strong: bool = True) -> bool:
     if re.fullmatch(r"[A-Za-z_$][\w$]*(?:(?:\.|::|->)[\w$]+)*\(.*", value) or re.fullmatch(r"[a-z_]\w*(?:\.[a-z_]\w*)+", value):
         return False  # a call, an attribute
     if not strong:
-        return len(value) >= 8 and digit and (mark or (low and up) or bool(FORMATS.match(value)) or bool(re.fullmatch(r"[a-z]+(?:-[a-z]+)+-\d+", value)) or len(value) >= 32)
+        return len(value) >= 8 and digit and (mark or (low and up) or bool(re.fullmatch(r"[a-z]+(?:-[a-z]+)+-\d+", value)) or len(value) >= 32)
     return digit and (low or up) or mark and (low or up) and len(value) >= 8 or low and up and len(value) >= 12 and not re.fullmatch(r"[A-Z]?[a-z]+(?:[-_]?[A-Z][a-z]+)*", value)
 
 
@@ -113,11 +119,16 @@ def _after(text: str, at: int, name: str, config: bool) -> Iterator[tuple[int, i
     if first:
         found = [first]
         rest = line[first.end() :]
-        if re.match(r"\s*(?:\|\||\?\?|\?:|or\b)", rest):
-            found += list(_QUOTED.finditer(line, first.end()))[:1]
+        while re.match(r"\s*(?:\|\||\?\?|\?:|or\b)", rest):  # each default behind another
+            more = next(_QUOTED.finditer(line, found[-1].end()), None)
+            if more is None:
+                break
+            found.append(more)
+            rest = line[more.end() :]
     elif re.match(r"[\w$.:>-]+\s*[(\[.]|\S+\s*(?:\|\||\?\?|\?:|\bor\b)|\$?\w+\(|\(", line) and not (comment or config and not re.match(r"[\w$.:>-]+\(", line)):
         found = list(_QUOTED.finditer(line))  # a default beside a reference
-        found = found[-1:] if len(found) > 1 or re.search(r"\|\||\?\?|\?:|\bor\b", line) else []
+        choice = re.search(r"\|\||\?\?|\?:|\bor\b", line)
+        found = [q for q in found if q.start() > choice.start()] if choice else found[-1:] if len(found) > 1 else []
     elif comment or config:
         m = re.match(r"[^\s\"'`;,<>(){}]+", line) if comment else re.match(r"[^\s\"'`;,<>]+", line)
         if m and looks_secret(m.group(0).rstrip(".)"), strong) and not re.match(r"\s*\(", line[m.end() :]):
@@ -147,88 +158,135 @@ def _after(text: str, at: int, name: str, config: bool) -> Iterator[tuple[int, i
             yield s, s + len(value)
 
 
-def spans(text: str, hits: list[int], config: bool = False) -> list[tuple[int, int]]:
-    """Spans of the values of credentials around the places where the automaton stopped."""
-    found: list[tuple[int, int]] = []
-    public = [m.span() for m in _OTHER_ARMOR.finditer(text)] if "-----BEGIN" in text else []
-    for m in _ARMOR.finditer(text) if "PRIVATE KEY" in text else ():
-        body = re.sub(r"\\n|\\r|[\s\"'+,#*/>|-]", "", m.group(1))
-        if len(body) >= 20 and re.match(r"(?:[A-Za-z0-9+/=:]|\.)+", body) and not _PLACEHOLDER.search(body[:20]):
-            found.append(m.span())
-    lines, seen = [], -1
+@lru_cache(maxsize=1)
+def _automata() -> tuple[Automaton, list[Automaton]]:
+    """The automaton of all rules, and each rule read backwards from its end."""
+    return Automaton([r.pattern for r in RULES]), [Automaton([r.pattern], anchored=True, backward=True) for r in RULES]
+
+
+def _matches(data: bytes, ends: np.ndarray, masks: np.ndarray) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the longest match of each rule at each place where it ends for good."""
+    backward = _automata()[1]
+    for i, rule in enumerate(RULES):
+        own = ends[(masks >> i) & 1 == 1]
+        if rule.kind == "name":
+            yield from (("name", int(e), int(e) + 1) for e in own)
+            continue
+        # a match that the next byte makes longer ends there
+        for e in own[np.append(np.diff(own) != 1, True)[: len(own)]].tolist():
+            begin = data.rfind(b"\n", 0, e) if data[e] != 10 else e
+            begin = max(begin, 0)
+            n = backward[i].longest(data[begin : e + 1][::-1])
+            if n:
+                yield rule.kind, e + 1 - n, e + 1
+
+
+def _value(kind: str, data: bytes, start: int, end: int) -> tuple[int, int] | None:
+    """The span of the value within a match, or null where it is none."""
+    if kind in ("token", "word", "prefixed"):
+        start += 1  # the byte before it
+        value = data[start:end].decode("ascii", "replace")
+        if kind == "word" and data[end : end + 1].isalnum() or kind == "prefixed" and (not _random(re.split("[-_]", value)[-1]) or re.match(r"(?i)sha|md5|col|rev|id_|uuid", value)):
+            return None
+        return None if kind != "prefixed" and _DULL.search(value) else (start, end)
+    if kind == "connection":
+        start, end = data.index(b":", data.index(b"://", start) + 3) + 1, end - 2
+        value = data[start:end].decode("utf-8", "replace")
+        return (start, end) if len(value) >= 4 and not _PLACEHOLDER.search(value) and not re.fullmatch(r"(?i)pass(?:word)?|pw|secret", value) else None
+    start = data.index(b":", start) + 1  # a login
+    return (start, end) if looks_secret(data[start:end].decode("utf-8", "replace")) else None
+
+
+def _armored(data: bytes, matches: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of private keys, and of public armor, from its first line to its last or the end of the text."""
+    out: list[list[tuple[int, int]]] = []
+    for kind in ("key", "public"):
+        spans, heads, tails = [], sorted(m[1:] for m in matches if m[0] == kind), sorted(m[1:] for m in matches if m[0] == f"{kind} end")
+        for start, end in heads:
+            if spans and start < spans[-1][1]:
+                continue
+            tail = next((t for t in tails if t[0] >= end), None)
+            inner = data[end : tail[0] if tail else len(data)].decode("utf-8", "replace")
+            body = re.sub(r"\\n|\\r|[\s\"'+,#*/>|-]", "", inner)
+            if kind == "public" or len(body) >= 20 and re.match(r"[A-Za-z0-9+/=:.]+", body) and not _PLACEHOLDER.search(body[:20]):
+                spans.append((start, tail[1] if tail else len(data)))
+        out.append(spans)
+    return out[0], out[1]
+
+
+def _named(text: str, hits: list[int], config: bool) -> Iterator[tuple[int, int]]:
+    """Spans of the literals bound to names of secrets, on the lines where the automaton ended one."""
+    seen = -1
     for h in hits:
-        if h > seen:
-            begin = text.rfind("\n", 0, h) + 1
-            seen = text.find("\n", h)
-            seen = len(text) if seen < 0 else seen
-            lines.append((begin, seen))
-    for begin, end in lines:
-        for m in FORMATS.finditer(text, begin, end):
-            if not re.search(r"(?i)x{6}|\*{3}|0{8}|1234567|abcdefg", m.group(0)):
-                found.append(m.span())
-        for m in _PREFIXED.finditer(text, begin, end):
-            if _random(m.group(1)) and not re.match(r"(?i)sha|md5|col|rev|id_|uuid", m.group(0)):
-                found.append(m.span())
-        for m in _CONNECT.finditer(text, begin, end):
-            if not _PLACEHOLDER.search(m.group(2)) and not re.fullmatch(r"(?i)pass(?:word)?|pw|secret", m.group(2)) and len(m.group(2)) >= 4:
-                found.append(m.span(2))
-        for m in _LOGIN.finditer(text, begin, end):
-            if looks_secret(m.group(1)):
-                found.append(m.span(1))
-        for m in _NAME.finditer(text, begin, end):
+        if h <= seen:
+            continue
+        begin, seen = text.rfind("\n", 0, h) + 1, text.find("\n", h)
+        seen = len(text) if seen < 0 else seen
+        for m in _NAME.finditer(text, begin, seen):
             if m.group("join") in (",", "(") and not re.search(r"[\"'`][\])]*\s*,|\(\s*$", m.group(0)) and not _COMMENT.search(text[begin : m.start()]):
                 continue
-            if _HARMLESS.search(m.group("name")):
-                continue
-            found += _after(text, m.end(), m.group("name"), config)
-        if _COMMENT.search(text[begin:end]):  # "old token, rotate later: <value>"
+            if not _HARMLESS.search(m.group("name")):
+                yield from _after(text, m.end(), m.group("name"), config)
+        if _COMMENT.search(text[begin:seen]):  # "old token, rotate later: <value>"
             for pattern in (_REMARK, _STATED):
-                m = pattern.search(text, begin, end)
-                if m and looks_secret(m.group(1), False):
-                    found.append(m.span(1))
-    merged: list[tuple[int, int]] = []
-    for s, e in sorted(set(found)):
-        if any(a <= s and e <= b for a, b in public):
+                yield from (m.span(1) for m in pattern.finditer(text, begin, seen) if looks_secret(m.group(1), False))
+
+
+def located(texts: list[str], configs: list[bool]) -> Iterator[list[tuple[int, int]]]:
+    """Per text the spans of the values of its credentials, in characters, in order and apart."""
+    coded = [t.encode("utf-8", "replace") for t in texts]
+    # each text stands between line ends
+    whole = b"\n" + b"\n".join([*coded, b""])
+    offsets = 1 + np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])]).astype(np.int64)
+    ends, masks = _automata()[0].ends(np.frombuffer(whole, np.uint8))
+    cuts = np.searchsorted(ends, offsets)
+    for i, (text, data, config) in enumerate(zip(texts, coded, configs)):
+        if cuts[i] == cuts[i + 1]:
+            yield []
             continue
-        if merged and s < merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-        else:
-            merged.append((s, e))
-    return merged
+        # the line end before the text is a part of it here, so that a match can begin with it
+        data = b"\n" + data
+        matches = list(_matches(data, ends[cuts[i] : cuts[i + 1]] - offsets[i] + 1, masks[cuts[i] : cuts[i + 1]]))
+        keys, public = _armored(data, matches)
+        spans = keys + [v for kind, s, e in matches if kind in ("token", "word", "prefixed", "connection", "login") for v in [_value(kind, data, s, e)] if v]
+        place = np.arange(len(data) + 1) if len(data) == len(text) + 1 else np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+        as_text = lambda s: max(int(place[s]) - 1, 0)  # noqa: E731, B023
+        found = [(as_text(s), as_text(e)) for s, e in spans]
+        found += _named(text, sorted(as_text(s) for kind, s, _ in matches if kind == "name"), config)
+        hidden = [(as_text(s), as_text(e)) for s, e in public]
+        merged: list[tuple[int, int]] = []
+        for s, e in sorted(set(found)):
+            if any(a <= s and e <= b for a, b in hidden):
+                continue
+            if merged and s < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+            else:
+                merged.append((s, e))
+        yield merged
 
 
-@lru_cache(maxsize=1)
-def _automaton() -> Automaton:
-    return Automaton(list(TRIGGERS))
+#: Texts that are scanned together.
+TEXTS = 2000
 
 
-def _stops(texts: list[str]) -> Iterator[list[int]]:
-    """Per text the places, in characters, where the automaton stops."""
-    coded = [t.encode("utf-8", "replace") for t in texts]
-    lengths = np.array([len(c) + 1 for c in coded], np.int64)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    stops = _automaton().ends(np.frombuffer(b"\n".join([*coded, b""]), np.uint8))
-    cuts = np.searchsorted(stops, offsets)
-    for i, (t, c) in enumerate(zip(texts, coded)):
-        own = (stops[cuts[i] : cuts[i + 1]] - offsets[i]).tolist()
-        yield own if len(c) == len(t) else [len(c[:h].decode("utf-8", "ignore")) for h in own]
+def _spans(text: Column, path: Column) -> Column:
+    """Spans [start, end) with their lines; only the texts go to the Python worker, only the spans come back."""
+
+    @F.pandas_udf("array<struct<start:int,stop:int,line:int>>")
+    def scan(texts: pd.Series, configs: pd.Series) -> pd.Series:
+        out: list[list[dict]] = []
+        for at in range(0, len(texts), TEXTS):
+            some = texts.iloc[at : at + TEXTS].tolist()
+            for t, own in zip(some, located(some, configs.iloc[at : at + TEXTS].tolist())):
+                out.append([{"start": s, "stop": e, "line": t.count("\n", 0, s) + 1} for s, e in own])
+        return pd.Series(out, dtype=object)
+
+    return scan(F.coalesce(text, F.lit("")), F.coalesce(path.rlike(_CONFIG.pattern), F.lit(False)))
 
 
 def scanned(df: DataFrame, key: Column, text: str, path: str) -> DataFrame:
     """(row_key, text, spans): each text with the spans [start, end) and lines of its credentials."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].fillna("").tolist()
-            rows = []
-            for t, hits, c in zip(texts, _stops(texts), b["config"]):
-                own = spans(t, hits, bool(c)) if hits else []
-                rows.append([{"start": s, "stop": e, "line": t.count("\n", 0, s) + 1} for s, e in own])
-            yield pd.DataFrame({"row_key": b["row_key"], "text": b["text"], "spans": rows})
-
-    config = F.coalesce(F.col(path).rlike(_CONFIG.pattern), F.lit(False))
-    rows = df.select(key.cast("string").alias("row_key"), F.col(text).alias("text"), config.alias("config"))
-    return rows.mapInPandas(scan, "row_key string, text string, spans array<struct<start:int,stop:int,line:int>>")
+    return df.select(key.cast("string").alias("row_key"), F.col(text).alias("text"), _spans(F.col(text), F.col(path)).alias("spans"))
 
 
 def found(df: DataFrame, key: Column, text: str, path: str) -> DataFrame:
