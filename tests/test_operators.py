@@ -61,7 +61,7 @@ def test_each_smell_and_its_near_miss(spark):
 
 def test_endpoints_and_models(spark):
     text = '@app.get("/a")\nrouter.post(\'/b\', h)\n@bp.route("/c", methods=["GET", "put"])\n@GetMapping("/d")\nclass User(Base):\n'
-    df = spark.createDataFrame([("r", "f.py", text), ("r", "g.py", None)], "repo_url string, file_path string, source_preview string")
+    df = spark.createDataFrame([("r", "f.py", text), ("r", "g.py", None)], "repo_url string, file_path string, source string")
     assert {(r.method, r.endpoint) for r in rules.endpoints(df).collect()} == {("GET", "/a"), ("POST", "/b"), ("GET", "/c"), ("PUT", "/c"), ("GET", "/d")}
     assert [(r.name, r.orm) for r in rules.models(df).collect()] == [("User", "SQLAlchemy")]
 
