@@ -52,13 +52,14 @@ RULES = (
     Rule("public", r"-----BEGIN (?:CERTIFICATE|(?:[A-Z0-9]+ )*PUBLIC KEY|CERTIFICATE REQUEST|X509 CRL)[^\n-]*-----"), Rule("public end", r"-----END [^\n-]*-----"),
     Rule("connection", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'<>`]*:[^\s\"'<>`]+@[\w\[]"),
     Rule("login", r"\s-u\s+[\"']?[\w.-]+:[^\s\"'`]+"),
-    Rule("name", r"(?i)(?:passw|pwd|passphrase|pass|secret|token|credential|api[_ -]?key|auth|key)[a-z0-9_.-]*[\"'\])]*[ \t]*[:=,(]"),
+    Rule("element", r"(?i)<[a-z0-9_.:-]*(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|credential)[a-z0-9_.-]*>[^<>\s]{6,}</"),
+    Rule("name", r"(?i)(?:passw|pwd|passphrase|pass|secret|token|credential|api[_ -]?key|auth|key)[a-z0-9_.-]*[\"'\])]*(?:[ \t]+string)?[ \t]*[:=,(]"),
     Rule("name", r"(?i)(?:password|passwd|passphrase|secret|token|key|login|credential)s? "),
 )
 _DULL = re.compile(r"(?i)x{6}|\*{3}|0{8}|1234567|abcdefg")
 _NAME = re.compile(
     r"""(?i)(?P<name>(?:[\w$.-]*?(?<![a-z]))?(?:passw(?:or)?d|passwd|passphrase|pwd|pass|secrets?|tokens?|credentials?|auth|api[_ -]?key|access[_-]?key|(?:(?<=[a-z])|[_.-]|\b)key)(?![a-z])[\w.-]*|[\w$.-]*?[a-z](?-i:Pass|Pwd|Password|Passwd|Secret|Token|Key|Auth)(?![a-z])[\w.-]*|authorization)
-        ["'`\])]*\s*(?P<join>:=|=>|==?|\?\?|\?:|\|\||\bor\b|:|,|\()\s*""",
+        ["'`\])]*(?:[ \t]+string\b)?\s*(?P<join>:=|=>|==?|\?\?|\?:|\|\||\bor\b|:|,|\()\s*""",
     re.X,
 )
 #: Names that are near a secret but hold none, by their last part; and all that is public or a count.
@@ -67,6 +68,9 @@ _HARMLESS = re.compile(
     r"|public[_-]?key|verify[_-]?key|max[_-]?token|host[_-]?key|cache[_-]?key|sort[_-]?key|primary[_-]?key|foreign[_-]?key|partition[_-]?key"
 )
 _STRONG = re.compile(r"(?i)passw|pwd|passphrase|pass(?![a-z])|secret|credential|api[_-]?key|access[_-]?key|private|signing|auth|(?:api|access|auth|refresh|bearer|session|private|bot|deploy|service)[_-]?(?:token|key)")
+#: Names whose quoted literal may be small letters only, and words that no such password is made of.
+_PASSWORD = re.compile(r"(?i)passw|pwd|passphrase")
+_ORDINARY = re.compile(r"pass|pwd|secret|token|required|hidden|string|text|empty|missing|invalid|default|unknown|example|sample|dummy|change|replace|insert|plain|input|field|label|value|reset|update|verify|forgot|confirm|login")
 #: Comments that state a secret: "old token, rotate later: <value>", "works with password <value>".
 _REMARK = re.compile(r"(?i)\b(?:password|passwd|secret|token|key|credential)s?\b[^:=\n]{0,60}[:=]\s*([^\s\"'`;,<>(){}]+)\s*$", re.M)
 _STATED = re.compile(r"(?i)\b(?:password|passwd|passphrase|secret|token|key|login)\s+(?:is\s+|was\s+)?[\"'`]?([^\s\"'`;,<>(){}]{6,})[\"'`]?(?=[\s.,;)]|$)", re.M)
@@ -115,6 +119,9 @@ def _after(text: str, at: int, name: str, config: bool) -> Iterator[tuple[int, i
             at, line = nxt, q.group(0)
         else:
             return
+    typed = None if comment else re.match(r"&?[A-Za-z_][\w.<>\[\]|? ]*=\s*(?=[\"'`])", line)
+    if typed:  # name: type = "value"
+        at, line = at + typed.end(), line[typed.end() :]
     first = _QUOTED.match(line)
     if first:
         found = [first]
@@ -154,7 +161,7 @@ def _after(text: str, at: int, name: str, config: bool) -> Iterator[tuple[int, i
                 if ":" in inner and looks_secret(inner.split(":", 1)[1]):
                     yield s, s + len(value)
                 continue
-        if looks_secret(value, strong):
+        if looks_secret(value, strong) or not comment and _PASSWORD.search(name) and re.fullmatch(r"[a-z]{6,}", value) and not _ORDINARY.search(value):
             yield s, s + len(value)
 
 
@@ -193,7 +200,10 @@ def _value(kind: str, data: bytes, start: int, end: int) -> tuple[int, int] | No
         start, end = data.index(b":", data.index(b"://", start) + 3) + 1, end - 2
         value = data[start:end].decode("utf-8", "replace")
         return (start, end) if len(value) >= 4 and not _PLACEHOLDER.search(value) and not re.fullmatch(r"(?i)pass(?:word)?|pw|secret", value) else None
-    start = data.index(b":", start) + 1  # a login
+    if kind == "element":
+        start, end = data.index(b">", start) + 1, end - 2
+    else:
+        start = data.index(b":", start) + 1  # a login
     return (start, end) if looks_secret(data[start:end].decode("utf-8", "replace")) else None
 
 
@@ -248,7 +258,7 @@ def located(texts: list[str], configs: list[bool]) -> Iterator[list[tuple[int, i
         data = b"\n" + data
         matches = list(_matches(data, ends[cuts[i] : cuts[i + 1]] - offsets[i] + 1, masks[cuts[i] : cuts[i + 1]]))
         keys, public = _armored(data, matches)
-        spans = keys + [v for kind, s, e in matches if kind in ("token", "word", "prefixed", "connection", "login") for v in [_value(kind, data, s, e)] if v]
+        spans = keys + [v for kind, s, e in matches if kind in ("token", "word", "prefixed", "connection", "login", "element") for v in [_value(kind, data, s, e)] if v]
         place = np.arange(len(data) + 1) if len(data) == len(text) + 1 else np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
         as_text = lambda s: max(int(place[s]) - 1, 0)  # noqa: E731, B023
         found = [(as_text(s), as_text(e)) for s, e in spans]
