@@ -53,6 +53,10 @@ _NAME = {"php": r"\$?[A-Za-z_\x80-\U0010ffff\\][\w\\]*", "ruby": r"@{0,2}\$?[A-Z
 _SOFT = regex.compile(r"(?:match|case)[ \t]+(?![=.,:)\]]|(?:in|is|and|or|if)\b)[^\n]*:[ \t]*(?:\#[^\n]*)?(?:\r?\n|\Z)|case[ \t]+[^\n]*:|match[ \t]*\([^\n]*\)[ \t]*:|type[ \t]+\w+[^\n]*=")
 #: What follows a name but not a word between operands.
 _NAMED = regex.compile(r"\s*(?:[.,)=:;\]&|?+]|\Z)")
+_INDENT, _GAP, _SLASHED = regex.compile(r"[ \t\f]*"), regex.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)*", regex.S), regex.compile(_SLASH)
+#: What begins an operand on the next line, words that go on with the line before, and numbers as a whole.
+_BEGINS, _JOINS = regex.compile(r"[\p{L}\p{N}_$\"'`{@#!~]"), regex.compile(r"(?:in|of|instanceof|as|from|extends|implements|satisfies)\b")
+_NUMERAL = regex.compile(r"\.?[\d_.]+(?:[eE][+-]?\d+)?[a-zA-Z]{0,5}\d{0,3}|0[xXbBoO][\da-fA-F_]+\w*")
 _OPENERS = frozenset("def class module begin do case".split())
 _MODIFIERS = frozenset("if unless while until for".split())
 
@@ -83,7 +87,7 @@ def tokens(text: str, language: str) -> list[tuple[str, int]]:
     if text.startswith("#!", at) and language in ("javascript", "typescript", "php", "ruby", "python"):
         end = text.find("\n", at)
         at = n if end < 0 else end
-    slashes = regex.compile(_SLASH) if language in ("javascript", "typescript", "ruby") else None
+    slashes = _SLASHED if language in ("javascript", "typescript", "ruby") else None
     if language == "php":
         at = text.find("<?php")
         if at < 0:
@@ -97,7 +101,7 @@ def tokens(text: str, language: str) -> list[tuple[str, int]]:
     while at < n:
         last = out[-1][0]
         if language == "python" and opening and deep == 0:  # the indent of a logical line
-            m = regex.compile(r"[ \t\f]*").match(text, at)
+            m = _INDENT.match(text, at)
             nxt = text[m.end() : m.end() + 1]
             if nxt not in ("\n", "\r", "#", ""):
                 width = len(m.group(0).expandtabs(8))
@@ -150,11 +154,11 @@ def tokens(text: str, language: str) -> list[tuple[str, int]]:
             continue
         if kind == "_S":
             if "\n" in s and language in ("javascript", "typescript") and last in ("N", "L", "V", "RP", "RB", "RC", "J", "I", "R"):
-                nxt = regex.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)*", regex.S).match(text, m.end()).end()
-                if nxt < n and regex.match(r"[\p{L}\p{N}_$\"'`{@#!~]", text[nxt]) and not regex.match(r"(?:in|of|instanceof|as|from|extends|implements|satisfies)\b", text[nxt:]) and not (last in ("RP", "N", "RC") and text[nxt] == "{") and not text.startswith("!=", nxt):
+                nxt = _GAP.match(text, m.end()).end()
+                if nxt < n and _BEGINS.match(text, nxt) and not _JOINS.match(text, nxt) and not (last in ("RP", "N", "RC") and text[nxt] == "{") and not text.startswith("!=", nxt):
                     add("SEMI")
         elif kind == "_L":
-            if m.groupdict().get("rest") is not None and language == "ruby":  # the line goes on behind the mark of a heredoc
+            if language == "ruby" and m.group("rest") is not None:  # the line goes on behind the mark of a heredoc
                 add("L")
                 for k, _ in tokens(m.group("rest"), "ruby")[1:-1]:
                     add(k)
@@ -165,7 +169,7 @@ def tokens(text: str, language: str) -> list[tuple[str, int]]:
             at = n
             continue
         elif kind == "_N":
-            add("L" if language == "python" or regex.fullmatch(r"\.?[\d_.]+(?:[eE][+-]?\d+)?[a-zA-Z]{0,5}\d{0,3}|0[xXbBoO][\da-fA-F_]+\w*", s) else "X")
+            add("L" if language == "python" or _NUMERAL.fullmatch(s) else "X")
         elif kind == "_W":
             word = s
             if language == "ruby" and last != "DOT" and not text.startswith(":", m.end()) or language == "ruby" and last != "DOT" and text.startswith("::", m.end()):

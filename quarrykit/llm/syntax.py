@@ -2,8 +2,8 @@
 
 Files are lexed into rows of tokens.  Adjacent pairs are held against the pairs that the
 language's grammar permits; bracket nesting and statement productions are validated with windows
-over the rows of a file.  The texts are spread by file before lexing, and all windows keep that
-partitioning: there is one shuffle of the texts and none of the tokens.
+over the rows of a file.  Texts are lexed where they are read, one row of tokens per file is shuffled, and
+all windows keep that partitioning: there is no shuffle of single tokens.
 
 Defined results: null and empty sources and endings of unknown languages are not checked; PHP
 without an opening tag is plain output and valid; repeated rows of a file count once; a null
@@ -42,8 +42,10 @@ def tokens(df: DataFrame, id: str = "file_id", path: str = "file_path", source:
         return pd.Series([" ".join(f"{k},{n}" for k, n in lexer.tokens(t, g)) for t, g in zip(texts, tongues)])
 
     files = df.where(F.length(source) > 0).select(F.col(id).alias("_q_id"), language_of(path).alias("tongue"), F.col(source).alias("_q_text")).where("tongue is not null")
-    files = spread(files.groupBy("_q_id").agg(F.max_by(F.struct("tongue", "_q_text"), F.length("_q_text")).alias("f")).select("_q_id", "f.*"), "_q_id")
-    rows = files.select(F.col("_q_id").alias(id), "tongue", F.posexplode(F.split(lex("_q_text", "tongue"), " ")).alias("pos", "t"))
+    # lexed where they are read: what moves is one row per file, and the partitioning by file holds for all that follows
+    lexed = spread(files.select("_q_id", F.struct("tongue", lex("_q_text", "tongue").alias("t")).alias("f"), F.length("_q_text").alias("n")), "_q_id")
+    files = lexed.groupBy("_q_id").agg(F.max_by("f", "n").alias("f")).select("_q_id", "f.*")
+    rows = files.select(F.col("_q_id").alias(id), "tongue", F.posexplode(F.split("t", " ")).alias("pos", "t"))
     return rows.select(id, "tongue", "pos", F.substring_index("t", ",", 1).alias("kind"), F.substring_index("t", ",", -1).cast("int").alias("line"))
 
 
