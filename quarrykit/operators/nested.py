@@ -72,18 +72,17 @@ def _step(c: Column) -> Column:
     return F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
 
 
-#: What stands below one node: per key of an object, per position of an array; scalars are dropped.
 _KIND = "substring(schema_of_variant({v}), 1, 5)"
-_CHILDREN = f"""filter(flatten(transform(acc.open, n ->
-  if(n.kind = 'OBJEC',
-     transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), e -> named_struct(
-       'path', concat(n.path, '.', e.key), 'owner', if(n.element, n.path, n.owner),
-       'element', false, 'kind', {_KIND.format(v="e.value")}, 'v', e.value)),
-     transform(try_variant_get(n.v, '$', 'array<variant>'), (x, i) -> named_struct(
-       'path', concat(n.path, '[', cast(i as string), ']'), 'owner', if(n.element, n.path, n.owner),
-       'element', {_KIND.format(v="x")} = 'OBJEC', 'kind', {_KIND.format(v="x")}, 'v', x))))),
-  c -> c.kind in ('OBJEC', 'ARRAY'))"""
-_DONE = "transform(filter({nodes}, c -> c.element), c -> named_struct('path', c.path, 'owner', c.owner, 'v', c.v))"
+#: A node: its members if it is an object, its items if it is an array; each value is looked at once, one level deep.
+_MADE = """named_struct('path', {path}, 'owner', {owner}, 'item', {item},
+  'members', map_entries(try_variant_get({v}, '$', 'map<string,variant>')), 'items', try_variant_get({v}, '$', 'array<variant>'), 'v', {v})"""
+_OWNER = "if(n.item and n.members is not null, n.path, n.owner)"
+#: What stands below the nodes of a level: per key of an object, per position of an array; scalars are dropped.
+_CHILDREN = f"""filter(flatten(transform(acc.open, n -> concat(
+  transform(coalesce(n.members, array()), e -> {_MADE.format(path="concat(n.path, '.', e.key)", owner=_OWNER, item="false", v="e.value")}),
+  transform(coalesce(n.items, array()), (x, i) -> {_MADE.format(path="concat(n.path, '[', cast(i as string), ']')", owner=_OWNER, item="true", v="x")})))),
+  c -> c.members is not null or c.items is not null)"""
+_DONE = "transform(filter({nodes}, c -> c.item and c.members is not null), c -> named_struct('path', c.path, 'owner', c.owner, 'v', c.v))"
 
 
 def element_objects(df: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:
@@ -95,10 +94,10 @@ def element_objects(df: DataFrame, key: str, columns: Iterable[str]) -> DataFram
     name.  ``value`` is the object as VARIANT.  Rows of the input are taken as records: pick one
     row per key first (:func:`latest`).
     """
-    node = "array<struct<path:string,owner:string,element:boolean,kind:string,v:variant>>"
+    node = "array<struct<path:string,owner:string,item:boolean,members:array<struct<key:string,value:variant>>,items:array<variant>,v:variant>>"
     done = "array<struct<path:string,owner:string,v:variant>>"
     start = f"""named_struct(
-      'open', cast(array(named_struct('path', {_NAME}, 'owner', {_NAME}, 'element', false, 'kind', {_KIND.format(v=_VALUE)}, 'v', {_VALUE})) as {node}),
+      'open', cast(array({_MADE.format(path=_NAME, owner=_NAME, item="false", v=_VALUE)}) as {node}),
       'done', cast(array() as {done}))"""
     step = f"""transform(array({_CHILDREN}), kids -> named_struct(
       'open', cast(kids as {node}), 'done', cast(concat(acc.done, {_DONE.format(nodes="kids")}) as {done})))[0]"""
