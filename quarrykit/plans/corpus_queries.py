@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions import text as T
 from quarrykit.operators import tables
 from quarrykit.plans import Registry
-from quarrykit.plans.data import FILES, FUNCTIONS, files, functions, text_query
+from quarrykit.plans.data import FILES, FUNCTIONS, PREVIEW, files, functions, text_query
 from quarrykit.session import table
 
 registry = Registry()
@@ -241,7 +241,7 @@ def collection_content_hash(spark: SparkSession, d: str) -> DataFrame:
 @query("truncated_previews", f"""
 SELECT file_id, CASE WHEN length(source_preview) > 300 THEN substr(source_preview, 1, 300) || chr(10) || '... [truncated]' ELSE source_preview END AS text FROM {FILES}""")
 def truncated_previews(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).select("file_id", T.truncated(F.col("source_preview"), 300).alias("text"))
+    return files(spark, d, PREVIEW).select("file_id", T.truncated(F.col(PREVIEW), 300).alias("text"))
 
 
 @query("short_names", f"""
