@@ -20,6 +20,14 @@ def simple(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
 
 
+def between(edges: DataFrame, nodes: DataFrame, node: str = "id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Edges both of whose ends are nodes (within the same ``keys``)."""
+    ids = nodes.select(*keys, F.col(node).alias("_q_n")).distinct()
+    for end in ("src", "dst"):
+        edges = edges.join(ids.withColumnRenamed("_q_n", end), [*keys, end], "left_semi")
+    return edges
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """(id, in_degree, out_degree) of every node, zero where it has no edge."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))

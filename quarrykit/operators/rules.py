@@ -166,4 +166,25 @@ def models(files: DataFrame, text: str = "source") -> DataFrame:
     kinds = {"SQLAlchemy": r"class\s+(\w+)\s*\([^\n]*?(?:Base|Model|db\.Model)[^\n]*?\):", "Django ORM": r"class\s+(\w+)\s*\([^\n]*?models\.Model[^\n]*?\):", "Prisma": r"model\s+(\w+)\s*\{[^}]+\}", "TypeORM": r"@Entity\(\)\s*class\s+(\w+)"}
     named = lambda kind: lambda n: F.struct(n.alias("name"), F.lit(kind).alias("orm"))
     parts = F.concat(*[F.transform(F.regexp_extract_all(p, F.lit(r), F.lit(1)), named(k)) for k, r in kinds.items()])
-    return files.where(p.isNotNull()).select("repo_url", "file_path", F.explode(parts).alias("m")).select("repo_url", "file_path", "m.*").distinct()
+    # a schema of Mongoose bears the name of the variable it is bound to
+    bound = F.transform(F.regexp_extract_all(p, F.lit(r"(\w+)\s*=\s*new\s+(?:mongoose\.)?Schema\s*\(\s*\{"), F.lit(1)), named("Mongoose"))
+    return files.where(p.isNotNull()).select("repo_url", "file_path", F.explode(F.concat(parts, bound)).alias("m")).select("repo_url", "file_path", "m.*").distinct()
+
+
+def relations(files: DataFrame, text: str = "source") -> DataFrame:
+    """(repo_url, file_path, model, kind, target): what models of SQLAlchemy and Django refer to, known models or columns only.
+
+    A model's body reaches from its head to the next class or the end of the text.
+    """
+    found = models(files, text).where(F.col("orm").isin("SQLAlchemy", "Django ORM")).select("repo_url", "file_path", "name").distinct()
+    texts = files.where(F.col(text).isNotNull()).select("repo_url", "file_path", F.explode(F.split(text, r"(?m)^(?=[ \t]*class[ \t])")).alias("part"))
+    parts = texts.select("repo_url", "file_path", F.regexp_extract("part", r"^[ \t]*class[ \t]+(\w+)[ \t]*\(", 1).alias("name"), "part").where("name <> ''")
+    pull = lambda r, g=1: F.regexp_extract_all("part", F.lit(r), F.lit(g))
+    as_kind = lambda kind, x: F.transform(x, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("target")))
+    field = r"""models\.(ForeignKey|OneToOneField|ManyToManyField)\s*\(\s*["']?(\w+)"""
+    django = F.transform(F.arrays_zip(pull(field, 1).alias("k"), pull(field, 2).alias("t")), lambda x: F.struct(x["k"].alias("kind"), x["t"].alias("target")))
+    all_ = F.concat(as_kind("relationship", pull(r"""relationship\s*\(\s*["'](\w+)["']""")), as_kind("foreign_key", pull(r"""(?<!models\.)ForeignKey\s*\(\s*["']([^"']+)["']""")), django)
+    rows = parts.join(found, ["repo_url", "file_path", "name"], "left_semi").select("repo_url", "file_path", F.col("name").alias("model"), F.explode(all_).alias("r")).select("repo_url", "file_path", "model", "r.*")
+    known = found.select("repo_url", F.col("name").alias("target"), F.lit(True).alias("known")).distinct()
+    rows = rows.join(known, ["repo_url", "target"], "left").where(F.col("known") | F.col("target").contains("."))
+    return rows.select("repo_url", "file_path", "model", "kind", "target").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
-from quarrykit.operators import graph
+from quarrykit.operators import graph, search
 
 Tables = Mapping[str, DataFrame]
 
@@ -55,9 +55,32 @@ def module_info(t: Tables, q: str) -> DataFrame:
     return rows.groupBy("module").agg(F.count("*").alias("files"), F.sum("line_count").alias("lines"), F.array_sort(F.collect_set("language")).alias("languages"))
 
 
+# Short names of the sections of an analysis.
+SECTIONS = {
+    "overview": "repo_overview", "tech_stack": "tech_stack", "tech": "tech_stack", "modules": "modules", "security": "security_analysis", "production": "production_readiness", "health": "health_dashboard",
+    "dependencies": "dependencies", "flow": "system_flow", "cost": "cost_analysis", "quality": "code_quality", "knowledge_graph": "knowledge_graph", "recommendations": "recommendations",
+}
+
+
+def get_analysis_section(t: Tables, q: str) -> DataFrame:
+    """(job_id, section, text): a section of every job's result, by its name or a short name; jobs without it give no row."""
+    key = SECTIONS.get(q.lower().strip(), q.lower().strip())
+    value = F.try_variant_get(T.json_object(F.col("result")), f'$["{key}"]', "variant")
+    rows = t["results"].select("job_id", F.lit(key).alias("section"), value.alias("v"))
+    return rows.where(F.col("v").isNotNull() & ~F.is_variant_null("v")).select("job_id", "section", F.to_json("v").alias("text"))
+
+
+def search_code(t: Tables, q: str) -> DataFrame:
+    """The best four chunks for a question with the first 500 characters of each, the length of a snippet."""
+    chunks = t["chunks"]
+    asked = chunks.sparkSession.createDataFrame([("q", q)], "query_id string, query string")
+    found = search.bm25(chunks, asked, "id", "content", "query_id", "query", 4)
+    return found.join(chunks.select("id", "file_path", F.substring("content", 1, 500).alias("snippet")), "id").select("rank", "id", "file_path", "score", "snippet")
+
+
 TOOLS: dict[str, Callable[[Tables, str], DataFrame]] = {
     "search_files": search_files, "read_file": read_file, "find_functions": find_functions, "read_function": read_function,
-    "trace_dependencies": trace_dependencies, "trace_flow": trace_flow, "get_module_info": module_info,
+    "trace_dependencies": trace_dependencies, "trace_flow": trace_flow, "get_module_info": module_info, "get_analysis_section": get_analysis_section, "search_code": search_code,
 }
 
 

@@ -318,6 +318,36 @@ def module_interactions(spark: SparkSession, d: str) -> DataFrame:
     return e.where("source <> target").groupBy("repo_url", "source", "target").agg(F.count("*").alias("n"))
 
 
+@query("module_edge_types", f"""
+SELECT repo_url, {_M('src')} AS source, {_M('dst')} AS target, count(*) AS n, list_sort(list(DISTINCT type)) AS types FROM ({KNOWLEDGE}) WHERE {_M('src')} <> {_M('dst')} GROUP BY ALL""")
+def module_edge_types(spark: SparkSession, d: str) -> DataFrame:
+    """Interactions of modules over all kinds of edges, with the kinds."""
+    e = knowledge(spark, d).select("repo_url", T.module(F.col("src")).alias("source"), T.module(F.col("dst")).alias("target"), "type")
+    return e.where("source <> target").groupBy("repo_url", "source", "target").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("type")).alias("types"))
+
+
+@query("known_edges", f"""
+WITH n AS ({NODES}), e AS ({CALLS}) SELECT repo_url, src, dst FROM e WHERE EXISTS (SELECT 1 FROM n WHERE n.repo_url = e.repo_url AND n.id = e.src) AND EXISTS (SELECT 1 FROM n WHERE n.repo_url = e.repo_url AND n.id = e.dst)""")
+def known_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Calls both of whose ends are nodes of the knowledge graph."""
+    return graph.between(graph.calls(functions(spark, d)), nodes(spark, d), keys=("repo_url",))
+
+
+_FILE_GRAPH = f"(SELECT repo_url || '|' || src AS src, repo_url || '|' || dst AS dst FROM ({DEPENDENCIES}))"
+
+
+@query("file_impact", f"""
+WITH RECURSIVE e AS (SELECT * FROM {_FILE_GRAPH}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src), a AS (SELECT dst AS id, count(*) AS n FROM c WHERE src <> dst GROUP BY dst), k AS (SELECT dst AS id, count(*) AS direct FROM e GROUP BY dst)
+SELECT f.file_id, coalesce(k.direct, 0) AS direct, coalesce(a.n - k.direct, 0) AS indirect, CASE WHEN a.n > 10 THEN 'critical' WHEN a.n > 5 THEN 'high' WHEN a.n > 2 THEN 'medium' WHEN a.n IS NOT NULL THEN 'low' ELSE 'none' END AS risk
+FROM {FILES} f LEFT JOIN a ON a.id = f.repo_url || '|' || f.file_path LEFT JOIN k ON k.id = a.id""")
+def file_impact(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with the number of files that depend on it, at once and by way of others."""
+    named = lambda c: F.concat("repo_url", F.lit("|"), F.col(c)).alias(c)
+    found = graph.impact(dependencies(spark, d).select(named("src"), named("dst")))
+    f = files(spark, d).select("file_id", F.concat("repo_url", F.lit("|"), "file_path").alias("id"))
+    return f.join(found, "id", "left").select("file_id", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("indirect", F.lit(0)).alias("indirect"), F.coalesce("risk", F.lit("none")).alias("risk"))
+
+
 # --- operators on the call graph of all repositories ---------------------------------------------------
 
 _NODE = "coalesce(repo_url, '') || '|' || file_path || '::' || name"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.operators import nested
+from quarrykit.operators import nested, tools
 from quarrykit.plans import Registry
 from quarrykit.session import table
 
@@ -56,3 +56,17 @@ def issues(spark: SparkSession, d: str) -> DataFrame:
     rows = nested.element_objects(jobs(spark, d), "job_id", ["result", "agent_events"]).where(F.col("path").rlike(r"issues\[\d+\]$"))
     take = lambda k: F.try_variant_get("value", f"$.{k}", "string").alias(k)
     return rows.select("job_id", "path", "parent_path", take("issue"), take("severity"), take("fix"))
+
+
+_SECTIONS = tuple(dict.fromkeys(tools.SECTIONS.values()))
+_STORED = """WITH j AS (SELECT DISTINCT job_id, CASE WHEN json_valid(result) AND json_type(result) = 'VARCHAR' THEN json_extract_string(result, '$') ELSE result END AS t FROM analysis_jobs),
+v AS (SELECT job_id, t FROM j WHERE json_valid(t) AND json_type(t) = 'OBJECT')"""
+
+
+@registry.query("analysis_sections", f"""{_STORED} SELECT job_id, section FROM v, (SELECT unnest([{", ".join(f"'{s}'" for s in _SECTIONS)}]) AS section) WHERE coalesce(json_type(t, '$.' || section), 'NULL') <> 'NULL'""")
+def analysis_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The sections that each job's result holds."""
+    rows = nested.parsed(jobs(spark, d), "job_id", ["result"]).select(F.col("_q_key").alias("job_id"), F.col("_q_value").alias("v"))
+    has = lambda s: F.try_variant_get("v", f"$.{s}", "variant")
+    held = F.filter(F.array(*[F.when(has(s).isNotNull() & ~F.is_variant_null(has(s)), F.lit(s)) for s in _SECTIONS]), lambda x: x.isNotNull())
+    return rows.select("job_id", F.explode(held).alias("section"))

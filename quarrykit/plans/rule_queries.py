@@ -135,6 +135,11 @@ def declared_models(spark: SparkSession, d: str) -> DataFrame:
     return rules.models(files(spark, d, WHOLE), WHOLE)
 
 
+@query("model_relations")
+def model_relations(spark: SparkSession, d: str) -> DataFrame:
+    return rules.relations(files(spark, d, WHOLE), WHOLE)
+
+
 @of_texts("string_literal_names", """
 SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(source_preview, '([A-Za-z_]+)\\s*=\\s*["''][^"'']*["'']', 1)) AS name FROM (SELECT DISTINCT file_id, source_preview FROM source_files)) GROUP BY name""")
 def string_literal_names(spark: SparkSession, d: str, text: str) -> DataFrame:

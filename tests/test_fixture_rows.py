@@ -25,7 +25,7 @@ FUNCTIONS = [
 ]
 NAMES = (
     "crowded_directories", "duplicate_bodies", "duplicate_bodies_whole", "late_imports", "longest_prefix_resolution", "file_dependencies", "module_interactions", "class_bases", "data_flow_edges", "knowledge_edges", "knowledge_nodes", "failure_modes",
-    "architecture_patterns", "health_scores", "code_quality_scores", "complexity_score", "call_degrees", "call_reach", "call_dependents", "call_paths", "folder_tree", "importance_order", "complex_functions",
+    "architecture_patterns", "health_scores", "code_quality_scores", "complexity_score", "call_degrees", "call_reach", "call_dependents", "call_paths", "module_edge_types", "known_edges", "file_impact", "folder_tree", "importance_order", "complex_functions",
 )
 
 

@@ -30,6 +30,7 @@ def test_paths(spark):
 
 
 def test_text_expressions(spark):
+    assert column(spark, ["a/b.py::f", "b.py", None], T.short_name) == ["b.py::f", "b.py", None]
     assert column(spark, ["if a else b", "x ? y", None], T.complexity) == [3, 1, None]
     assert column(spark, ["a\n        b\n                \n", "", None], T.nesting) == [2, 0, 0]
     assert column(spark, ["x" * 79, " A\n\tb" * 40], T.fingerprint)[0] is None
@@ -66,6 +67,30 @@ def test_endpoints_and_models(spark):
     assert [(r.name, r.orm) for r in rules.models(df).collect()] == [("User", "SQLAlchemy")]
 
 
+def test_models_refer_to_each_other(spark):
+    text = 'class User(Base):\n    posts = relationship("Post")\n    key = Column(ForeignKey("org.id"))\n    odd = relationship("Nowhere")\n\nclass Post(Base):\n    pass\n\nclass Car(models.Model):\n    owner = models.ForeignKey(User, null=True)\n'
+    df = spark.createDataFrame([("r", "f.py", text), ("r", "g.js", "const userSchema = new mongoose.Schema({ a: 1 })"), ("r", "h.py", None)], "repo_url string, file_path string, source string")
+    assert {tuple(r)[2:] for r in rules.relations(df).collect()} == {("User", "relationship", "Post"), ("User", "foreign_key", "org.id"), ("Car", "ForeignKey", "User")}
+    assert {(r.name, r.orm) for r in rules.models(df).collect()} >= {("userSchema", "Mongoose"), ("Car", "Django ORM")}
+
+
+def test_vectors_of_several_lengths_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 2)
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [2.0, 0.0]), (8, [None, 1.0]), (9, [])]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    asked = df.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    got = {(r.query_id, r.id, r["rank"]) for r in search.vector_top(df, asked, "id", "v", "q", "qv", 2).collect()}
+    assert got == {(1, 1, 1), (1, 7, 2), (7, 1, 1), (7, 7, 2), (2, 2, 1), (2, 3, 2), (3, 3, 1), (3, 1, 2), (6, 6, 1)}
+
+
+def test_hybrid_search_filters_after_the_ranking(spark):
+    words = spark.createDataFrame([("q", f"w{i}", i, "a" if i % 2 else "b") for i in range(1, 9)], "query_id string, id string, rank int, kind string")
+    asked = spark.createDataFrame([("q", "how does it work in here")], "query_id string, query string")
+    got = [(r.id, r.score, r["rank"]) for r in search.hybrid(words, words.where("rank = 1"), asked, ["id"], 2, F.col("kind") == "a").orderBy("rank").collect()]
+    assert got == [("w1", round(1.0 / 61, 6), 1), ("w3", round(0.4 / 63, 6), 2)]
+    assert search.hybrid(words, words, asked, ["id"], 2, F.col("kind") == "none").count() == 0
+
+
 def test_bm25_by_hand(spark):
     import math
 
@@ -234,6 +259,12 @@ def test_stores_and_tools(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r/index")).count() == 2
     files = spark.createDataFrame([("src/a.py", "python", 3), ("a", None, 1)], "file_path string, language string, line_count int")
     assert tools.run({"files": files}, "read_file", "A").collect()[0].file_path == "a"
+    results = spark.createDataFrame([("j1", '{"tech_stack": {"a": 1}}'), ("j2", 'noise {"tech_stack": [2]} end'), ("j3", '{"tech_stack": null}'), ("j4", None)], "job_id string, result string")
+    assert {(r.job_id, r.text) for r in tools.run({"results": results}, "get_analysis_section", "Tech").collect()} == {("j1", '{"a":1}'), ("j2", "[2]")}
+    chunks = spark.createDataFrame([("1", "cache the parser", "a.py"), ("2", "other words", "b.py")], "id string, content string, file_path string")
+    assert [r.id for r in tools.run({"chunks": chunks}, "search_code", "parser cache").collect()] == ["1"]
+    assert store.drop_collection(spark, str(tmp_path / "v"), "c1") and not store.drop_collection(spark, str(tmp_path / "v"), "c1")
+    assert {r.collection for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {"c2"}
     with pytest.raises(ValueError, match="search_files"):
         tools.run({}, "nope", "")
 
