@@ -37,9 +37,8 @@ def latest(df: DataFrame, keys: Iterable[str], values: Iterable[str], order: Ite
 
 def json_text(column: Column) -> Column:
     """The JSON text itself, also where it is stored as one JSON string that holds it."""
-    trimmed = F.regexp_replace(column, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    inner = F.try_variant_get(F.try_parse_json(trimmed), "$", "string")
-    inner = F.regexp_replace(inner, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    trimmed = F.btrim(column, F.lit(" \t\r\n"))
+    inner = F.btrim(F.try_variant_get(F.try_parse_json(trimmed), "$", "string"), F.lit(" \t\r\n"))
     return F.when(trimmed.startswith('"') & trimmed.endswith('"'), inner).otherwise(trimmed)
 
 
@@ -53,7 +52,8 @@ def parsed(df: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:
     """One row per record and readable JSON column: key, column name, variant and depth."""
     text = F.explode(F.array(*[F.struct(F.lit(c).alias("n"), json_text(F.col(c)).alias("t")) for c in columns]))
     rows = df.select(F.col(key).alias(_KEY), text.alias("_q_e")).select(_KEY, F.col("_q_e.n").alias(_NAME), F.col("_q_e.t").alias("_q_text"))
-    rows = rows.where(F.col("_q_text").rlike(r"(?s)^[\[{].*[\]}]$"))
+    t = F.col("_q_text")
+    rows = rows.where((t.startswith("{") | t.startswith("[")) & (t.endswith("}") | t.endswith("]")))
     # depth: deepest nesting; ends: how often the outermost bracket closes (once in one document)
     fold = F.aggregate(
         _brackets(F.col("_q_text")),
