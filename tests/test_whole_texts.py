@@ -37,6 +37,8 @@ def folder(spark, tmp_path_factory):
     more = "y\n" * 1000 + "far_helper(2)\n"
     spark.createDataFrame([(2, "r", "b.py", "python", 1001, len(more), more, more[:2000], 1)], SCHEMA).write.mode("append").parquet(f"{out}/source_files.parquet")
     spark.createDataFrame(functions, columns).write.parquet(f"{out}/code_functions.parquet")
+    chunks = "id string, collection string, content string, file_path string, chunk_type string, language string"
+    spark.createDataFrame([], chunks).write.parquet(f"{out}/code_chunks.parquet")  # no configuration
     return out
 
 
