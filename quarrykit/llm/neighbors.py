@@ -429,7 +429,7 @@ def recall(df: DataFrame, id: str, vector: str, version: str, k: int = 10, width
     true = asked.mapInArrow(search, "id string, neighbor string")
     got = _lists(kept, k, width).select(F.col("x").alias("id"), F.col("y").alias("neighbor"), F.lit(1).alias("hit"))
     rows = true.join(got, ["id", "neighbor"], "left")
-    return rows.agg(F.countDistinct("id").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+    return rows.agg(F.countDistinct("id").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
 
 
 def _sides(pairs: DataFrame, score: str, k: int) -> DataFrame:

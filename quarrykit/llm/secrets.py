@@ -171,21 +171,30 @@ def _automata() -> tuple[Automaton, list[Automaton]]:
     return Automaton([r.pattern for r in RULES]), [Automaton([r.pattern], anchored=True, backward=True) for r in RULES]
 
 
-def _matches(data: bytes, ends: np.ndarray, masks: np.ndarray) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of the longest match of each rule at each place where it ends for good."""
-    backward = _automata()[1]
+def _final(ends: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, rules) where a rule's match ends for good: one that the next byte makes longer ends there."""
+    places, rules = [], []
     for i, rule in enumerate(RULES):
         own = ends[(masks >> i) & 1 == 1]
-        if rule.kind == "name":
-            yield from (("name", int(e), int(e) + 1) for e in own)
+        if rule.kind != "name" and len(own):
+            own = own[np.append(np.diff(own) != 1, True)]
+        places.append(own)
+        rules.append(np.full(len(own), i))
+    at, of = np.concatenate(places), np.concatenate(rules)
+    order = np.lexsort((of, at))
+    return at[order], of[order]
+
+
+def _matches(data: bytes, events: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the longest match of each rule at each place where it ends."""
+    for e, i in events:
+        if RULES[i].kind == "name":
+            yield "name", e, e + 1
             continue
-        # a match that the next byte makes longer ends there
-        for e in own[np.append(np.diff(own) != 1, True)[: len(own)]].tolist():
-            begin = data.rfind(b"\n", 0, e) if data[e] != 10 else e
-            begin = max(begin, 0)
-            n = backward[i].longest(data[begin : e + 1][::-1])
-            if n:
-                yield rule.kind, e + 1 - n, e + 1
+        begin = max(data.rfind(b"\n", 0, e) if data[e] != 10 else e, 0)
+        n = _automata()[1][i].longest(data[begin : e + 1][::-1])
+        if n:
+            yield RULES[i].kind, e + 1 - n, e + 1
 
 
 def _value(kind: str, data: bytes, start: int, end: int) -> tuple[int, int] | None:
@@ -248,7 +257,7 @@ def located(texts: list[str], configs: list[bool]) -> Iterator[list[tuple[int, i
     # each text stands between line ends
     whole = b"\n" + b"\n".join([*coded, b""])
     offsets = 1 + np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])]).astype(np.int64)
-    ends, masks = _automata()[0].ends(np.frombuffer(whole, np.uint8))
+    ends, rules = _final(*_automata()[0].ends(np.frombuffer(whole, np.uint8)))
     cuts = np.searchsorted(ends, offsets)
     for i, (text, data, config) in enumerate(zip(texts, coded, configs)):
         if cuts[i] == cuts[i + 1]:
@@ -256,7 +265,8 @@ def located(texts: list[str], configs: list[bool]) -> Iterator[list[tuple[int, i
             continue
         # the line end before the text is a part of it here, so that a match can begin with it
         data = b"\n" + data
-        matches = list(_matches(data, ends[cuts[i] : cuts[i + 1]] - offsets[i] + 1, masks[cuts[i] : cuts[i + 1]]))
+        own = slice(cuts[i], cuts[i + 1])
+        matches = list(_matches(data, list(zip((ends[own] - offsets[i] + 1).tolist(), rules[own].tolist()))))
         keys, public = _armored(data, matches)
         spans = keys + [v for kind, s, e in matches if kind in ("token", "word", "prefixed", "connection", "login", "element") for v in [_value(kind, data, s, e)] if v]
         place = np.arange(len(data) + 1) if len(data) == len(text) + 1 else np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
