@@ -108,6 +108,40 @@ def quality(files: DataFrame, functions: DataFrame, limits: dict[str, int] = LIM
     return of_functions.unionByName(of_modules).unionByName(of_files)
 
 
+#: Short names listed for each language, camel-case and unused functions, late imports and duplicate lines from which they count.
+REPORT = {"short": 5, "camel": 3, "unused": 3, "much": 10, "late": 3, "lines": 50}
+# Names in camel case that Python itself asks for.
+ASKED_FOR = ("setUp", "tearDown", "setUpClass", "tearDownClass")
+
+
+def habits(functions: DataFrame, unused: DataFrame, late: DataFrame) -> DataFrame:
+    """Issues of a whole repository, in the columns of :func:`quality`: names, duplicate bodies, unused functions, late imports.
+
+    ``unused`` (repo_url, name, function_id) and ``late`` (repo_url, file_path, n) are counted before.  No
+    group is gathered: each gives its first function by id and its counts.
+    """
+    x, name = REPORT, F.col("name")
+    out = lambda rows, line, category, severity, subject: rows.select("repo_url", "file_path", line.cast("int").alias("line"), F.lit(category).alias("category"), severity.alias("severity"), subject.cast("string").alias("subject"))
+    low, medium, high, nowhere = F.lit("low"), F.lit("medium"), F.lit("high"), F.lit(None)
+    f = functions.select("repo_url", "file_path", "language", "name", "start_line", "function_id")
+    short = tables.top_per_group(f.where((F.length("name") <= 2) & ~name.isin("_", "__")), ["repo_url", "language"], [F.col("function_id")], x["short"])
+    camel = f.where((F.col("language") == "python") & name.rlike("^[a-z][a-zA-Z]+$") & name.rlike("[A-Z]") & ~name.isin(*ASKED_FOR)).groupBy("repo_url").agg(F.count("*").alias("n"), F.min_by("file_path", "function_id").alias("file_path"))
+    body = T.trim_all(F.col("body"))
+    whole = functions.select("repo_url", "file_path", "name", "start_line", "function_id", T.fingerprint(F.col("body")).alias("fp"), T.line_count(body).alias("n")).where("fp is not null")
+    first = F.struct("file_path", "start_line", "name")
+    same = whole.groupBy("repo_url", "fp").agg(F.count("*").alias("copies"), (F.sum("n") - F.min_by("n", "function_id")).alias("lines"), F.min_by(first, "function_id").alias("f")).where("copies >= 2").select("repo_url", "lines", "f.*")
+    dead = unused.join(f.select("function_id", "file_path"), "function_id").groupBy("repo_url").agg(F.count("*").alias("n"), F.min_by("file_path", "function_id").alias("file_path")).where(F.col("n") >= x["unused"])
+    parts = [
+        out(short, F.col("start_line"), "short name", low, name), out(camel.where(F.col("n") >= x["camel"]), nowhere, "camel case", low, F.col("n")),
+        out(same, F.col("start_line"), "duplication", F.when(F.col("lines") > x["lines"], high).otherwise(medium), name),
+        out(dead, nowhere, "dead code", F.when(F.col("n") > x["much"], medium).otherwise(low), F.col("n")), out(late.where(F.col("n") >= x["late"]), nowhere, "late imports", medium, F.col("n")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows
+
+
 def penalised(issues: DataFrame, *keys: str) -> DataFrame:
     """Ten points less a penalty for every issue, within 0 and 10."""
     cost = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in PENALTY.items()], F.lit(0.2))

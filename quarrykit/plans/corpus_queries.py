@@ -260,11 +260,14 @@ def last_definition(spark: SparkSession, d: str) -> DataFrame:
     return tables.one_per_key(functions(spark, d).select("name", "function_id", "file_path"), ["name"], ["function_id"], last=True)
 
 
-@of_texts("unused_functions", f"""
+UNUSED = f"""
 WITH w AS (SELECT repo_url, unnest(regexp_extract_all(source_preview, '[A-Za-z0-9_]+')) AS word FROM {FILES}), c AS (SELECT repo_url, word, count(*) AS n FROM w GROUP BY ALL),
 f AS (SELECT repo_url, name, max(function_id) AS function_id FROM {FUNCTIONS} WHERE NOT starts_with(name, '_') AND length(name) > 3
   AND NOT ({" OR ".join(f"contains(lower(name), '{k}')" for k in ("test", "setup", "teardown", "main", "init"))}) GROUP BY ALL)
-SELECT f.repo_url, f.name, f.function_id FROM f LEFT JOIN c ON c.repo_url = f.repo_url AND c.word = f.name WHERE coalesce(c.n, 0) <= 1""")
+SELECT f.repo_url, f.name, f.function_id FROM f LEFT JOIN c ON c.repo_url = f.repo_url AND c.word = f.name WHERE coalesce(c.n, 0) <= 1"""
+
+
+@of_texts("unused_functions", UNUSED)
 def unused_functions(spark: SparkSession, d: str, text: str) -> DataFrame:
     """Functions whose name stands at most once in their repository's texts: one count of all words, no scan per name."""
     words = files(spark, d, text).select("repo_url", F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("name")).groupBy("repo_url", "name").agg(F.count("*").alias("n"))
@@ -273,10 +276,13 @@ def unused_functions(spark: SparkSession, d: str, text: str) -> DataFrame:
     return own.groupBy("repo_url", "name").agg(F.max("function_id").alias("function_id")).join(words, ["repo_url", "name"], "left").where(F.coalesce("n", F.lit(0)) <= 1).select("repo_url", "name", "function_id")
 
 
-@of_texts("late_imports", f"""
+LATE = f"""
 WITH l AS (SELECT file_id, generate_subscripts(string_split(source_preview, chr(10)), 1) AS pos, regexp_replace(unnest(string_split(source_preview, chr(10))), '^\\s+', '') AS x FROM {FILES} WHERE language = 'python'),
 s AS (SELECT file_id, x, coalesce(bool_or(starts_with(x, 'def ') OR starts_with(x, 'async def ')) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen FROM l)
-SELECT file_id, count(*) AS n FROM s WHERE seen AND (starts_with(x, 'import ') OR starts_with(x, 'from ')) GROUP BY file_id""")
+SELECT file_id, count(*) AS n FROM s WHERE seen AND (starts_with(x, 'import ') OR starts_with(x, 'from ')) GROUP BY file_id"""
+
+
+@of_texts("late_imports", LATE)
 def late_imports(spark: SparkSession, d: str, text: str) -> DataFrame:
     """Imports below the first function: a state carried over the ordered lines of a file."""
     from pyspark.sql import Window

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions import text as T
 from quarrykit.operators import graph, rules, scores, tables
 from quarrykit.plans import Registry
-from quarrykit.plans.corpus_queries import PARENT, sql_any, sql_count
+from quarrykit.plans.corpus_queries import LATE, PARENT, UNUSED, late_imports, sql_any, sql_count, unused_functions
 from quarrykit.plans.data import CONFIGURATION, FILES, FUNCTIONS, WHOLE, configuration, files, functions, text_query
 from quarrykit.plans.graph_queries import CALLS, DEPENDENCIES, dependencies
 
@@ -64,9 +64,12 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ISSUE = "SELECT repo_url, file_path, {line}::INTEGER AS line, '{category}' AS category, {severity} AS severity, {subject} AS subject FROM {table} WHERE {where}"
-_X = rules.TIGHT
 _TRIM = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
-QUALITY = f"""
+
+
+def quality_sql(x: dict[str, int]) -> str:
+    """Issues of structure at some limits."""
+    return f"""
 WITH f AS (SELECT repo_url, file_path, start_line AS place, name, {sql_count('body', T.DECISIONS)} AS cc, coalesce(len(parameters), 0) AS params, length(name) AS len, function_id FROM {FUNCTIONS}),
 nl AS (SELECT function_id, unnest(string_split(body, chr(10))) AS x FROM {FUNCTIONS}),
 nest AS (SELECT function_id, (max(CASE WHEN regexp_matches(x, '\\S') THEN length(x) - length(regexp_replace(x, '^\\s+', '')) ELSE 0 END) // 4) AS deep FROM nl GROUP BY function_id),
@@ -74,16 +77,19 @@ g AS (SELECT f.*, nest.deep FROM f JOIN nest USING (function_id)),
 n AS (SELECT repo_url, file_path, count(*) AS n FROM {FUNCTIONS} GROUP BY ALL),
 s AS (SELECT *, len(regexp_extract_all(source_preview, '\\bexcept\\s*:')) + len(regexp_extract_all(source_preview, '\\bexcept\\s+Exception\\s*:')) AS broad,
   len(list_filter(list_transform(string_split(source_preview, chr(10)), lambda x: {_TRIM}), lambda x: (starts_with(x, '#') OR starts_with(x, '//')) AND {sql_any('x', rules.CODE_WORDS)})) AS dead FROM {FILES})
-{_ISSUE.format(line='place', category='complexity', severity="CASE WHEN cc > %d THEN 'critical' WHEN cc > %d THEN 'high' ELSE 'medium' END" % (_X['worst'], _X['high']), subject='name', table='g', where=f"cc > {_X['medium']}")} UNION ALL
-{_ISSUE.format(line='place', category='nesting', severity="'medium'", subject='name', table='g', where=f"deep >= {_X['deep']}")} UNION ALL
-{_ISSUE.format(line='place', category='naming', severity="'low'", subject='name', table='g', where=f"len > {_X['name']}")} UNION ALL
-{_ISSUE.format(line='place', category='parameters', severity="'medium'", subject='name', table='g', where=f"params > {_X['params']}")} UNION ALL
-{_ISSUE.format(line='NULL', category='module size', severity=f"CASE WHEN n > {_X['large']} THEN 'high' ELSE 'medium' END", subject='file_path', table='n', where=f"n > {_X['module']}")} UNION ALL
-{_ISSUE.format(line='NULL', category='broad handlers', severity="'medium'", subject='file_path', table='s', where=f"broad >= {_X['broad']}")} UNION ALL
-{_ISSUE.format(line='NULL', category='dead comments', severity="'low'", subject='file_path', table='s', where=f"dead >= {_X['dead']}")} UNION ALL
+{_ISSUE.format(line='place', category='complexity', severity="CASE WHEN cc > %d THEN 'critical' WHEN cc > %d THEN 'high' ELSE 'medium' END" % (x['worst'], x['high']), subject='name', table='g', where=f"cc > {x['medium']}")} UNION ALL
+{_ISSUE.format(line='place', category='nesting', severity="'medium'", subject='name', table='g', where=f"deep >= {x['deep']}")} UNION ALL
+{_ISSUE.format(line='place', category='naming', severity="'low'", subject='name', table='g', where=f"len > {x['name']}")} UNION ALL
+{_ISSUE.format(line='place', category='parameters', severity="'medium'", subject='name', table='g', where=f"params > {x['params']}")} UNION ALL
+{_ISSUE.format(line='NULL', category='module size', severity=f"CASE WHEN n > {x['large']} THEN 'high' ELSE 'medium' END", subject='file_path', table='n', where=f"n > {x['module']}")} UNION ALL
+{_ISSUE.format(line='NULL', category='broad handlers', severity="'medium'", subject='file_path', table='s', where=f"broad >= {x['broad']}")} UNION ALL
+{_ISSUE.format(line='NULL', category='dead comments', severity="'low'", subject='file_path', table='s', where=f"dead >= {x['dead']}")} UNION ALL
 {_ISSUE.format(line='NULL', category='star import', severity="'medium'", subject='file_path', table='s', where="language = 'python' AND regexp_matches(source_preview, 'from\\s+\\S+\\s+import\\s+\\*')")}"""
 
 
+QUALITY, QUALITY_AT_LIMITS = quality_sql(rules.TIGHT), quality_sql(rules.LIMITS)
+
+
 @of_texts("quality_issues", QUALITY)
 def quality_issues(spark: SparkSession, d: str, text: str) -> DataFrame:
     return rules.quality(files(spark, d, text), functions(spark, d), rules.TIGHT, text)
@@ -107,6 +113,36 @@ def first_issue_per_file(spark: SparkSession, d: str, text: str) -> DataFrame:
     return tables.one_per_key(rows, ["repo_url", "file_path"], ["rank", "category"]).select("file_path", "repo_url", "category", "severity")
 
 
+_R = rules.REPORT
+_FLAT = "regexp_replace(lower(regexp_replace(body, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g')"
+HABITS = f"""
+SELECT repo_url, file_path, start_line::INTEGER AS line, 'short name' AS category, 'low' AS severity, name AS subject FROM (SELECT *, row_number() OVER (PARTITION BY repo_url, language ORDER BY function_id) AS r FROM {FUNCTIONS} WHERE length(name) <= 2 AND name NOT IN ('_', '__')) WHERE r <= {_R['short']} UNION ALL
+SELECT repo_url, file_path, NULL, 'camel case', 'low', n::VARCHAR FROM (SELECT repo_url, count(*) AS n, arg_min(file_path, function_id) AS file_path FROM {FUNCTIONS} WHERE language = 'python' AND regexp_matches(name, '^[a-z][a-zA-Z]+$') AND regexp_matches(name, '[A-Z]') AND name NOT IN ({", ".join(f"'{n}'" for n in rules.ASKED_FOR)}) GROUP BY repo_url) WHERE n >= {_R['camel']} UNION ALL
+SELECT repo_url, file_path, line::INTEGER, 'duplication', CASE WHEN lines > {_R['lines']} THEN 'high' ELSE 'medium' END, name FROM (SELECT repo_url, count(*) AS copies, sum(n) - arg_min(n, function_id) AS lines, arg_min(file_path, function_id) AS file_path, arg_min(start_line, function_id) AS line, arg_min(name, function_id) AS name
+  FROM (SELECT *, substr({_FLAT}, 1, 200) AS fp, len(string_split(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), chr(10))) AS n FROM {FUNCTIONS} WHERE length({_FLAT}) >= 80) GROUP BY repo_url, fp) WHERE copies >= 2 UNION ALL
+SELECT repo_url, file_path, NULL, 'dead code', CASE WHEN n > {_R['much']} THEN 'medium' ELSE 'low' END, n::VARCHAR FROM (SELECT u.repo_url, count(*) AS n, arg_min(f.file_path, u.function_id) AS file_path FROM ({UNUSED}) u JOIN {FUNCTIONS} f USING (function_id) GROUP BY u.repo_url) WHERE n >= {_R['unused']} UNION ALL
+SELECT repo_url, file_path, NULL, 'late imports', 'medium', n::VARCHAR FROM ({LATE}) JOIN {FILES} USING (file_id) WHERE n >= {_R['late']}"""
+REPORT = f"SELECT * FROM ({QUALITY_AT_LIMITS}) UNION ALL SELECT * FROM ({HABITS})"
+
+
+def _report(spark: SparkSession, d: str, text: str) -> DataFrame:
+    f = files(spark, d, text)
+    late = late_imports(spark, d, text).join(f.select("file_id", "repo_url", "file_path"), "file_id")
+    return rules.quality(f, functions(spark, d), rules.LIMITS, text).unionByName(rules.habits(functions(spark, d), unused_functions(spark, d, text), late))
+
+
+@of_texts("quality_report", REPORT)
+def quality_report(spark: SparkSession, d: str, text: str) -> DataFrame:
+    """All issues of quality at the limits of the blueprint, of functions, files and whole repositories."""
+    return _report(spark, d, text)
+
+
+@of_texts("quality_report_score", f"""
+SELECT repo_url, count(*) AS issues, round(greatest(0, least(10, 10 - sum(CASE severity WHEN 'critical' THEN 1.5 WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.5 ELSE 0.2 END)))::DOUBLE, 1) AS score FROM ({REPORT}) GROUP BY repo_url""")
+def quality_report_score(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return rules.penalised(_report(spark, d, text), "repo_url")
+
+
 @query("magic_numbers")
 def magic_numbers(spark: SparkSession, d: str) -> DataFrame:
     return rules.magic_numbers(files(spark, d, WHOLE), ["file_id"], WHOLE)
