@@ -91,7 +91,7 @@ def cuts(sketches: DataFrame, group: str) -> DataFrame:
     """
     ranks = F.array(*[F.lit(i / PERCENTILES) for i in range(PERCENTILES + 1)])
     grid = [F.struct(F.lit(s).alias("s"), F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, ranks)).alias("q")) for s in STATISTICS]
-    rows = sketches.select(group, F.explode(F.array(*grid)).alias("g")).select(group, "g.*").where("q is not null")
+    rows = sketches.select(group, F.explode(F.array(*grid)).alias("_q_x")).select(group, "_q_x.*").where("q is not null")
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     rows = rows.withColumn("mean", total(F.col("q")) / F.size("q"))
     gain = F.transform(F.sequence(F.lit(0), F.lit(PERCENTILES - 1)), lambda i: F.struct(_between(F.col("q"), i, F.col("mean")).alias("gain"), i.alias("i")))

@@ -17,3 +17,16 @@ def test_prose_and_all_else(spark):
     rows = {r.doc_id: r for r in quality.scored(df, words).collect()}
     assert {i: rows[i].no_prose for i in rows} == {i: x for i, (_, x) in enumerate(TEXTS)}
     assert rows[0].words == len(PROSE.split()) and rows[6].words == 0 and rows[6].mean_word_length is None and 0 <= rows[0].p_symbol_ratio <= 100
+
+
+def test_the_cut_comes_from_the_sketch_of_each_language(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", 0.30 + i / 400) for i in range(60)] + [("a", 0.95 + i / 1000) for i in range(40)]  # two parts: the cut lies between them, not at a half
+    rows += [("b", i / 1000) for i in range(100)]  # prose only
+    rows += [("c", 1 - i / 1000) for i in range(80)] + [("c", i / 1000) for i in range(20)]  # the greater part is no prose
+    df = spark.createDataFrame(rows, "g string, v double").select("g", *[F.col("v").alias(s) for s in quality.STATISTICS])
+    cut = {r.g: r for r in quality.cuts(df.groupBy("g").agg(*[F.kll_sketch_agg_double(s).alias(s) for s in quality.STATISTICS]), "g").collect()}
+    assert 0.65 < cut["a"].c_loose_share < 0.75 and abs(cut["a"].m_loose_share - 0.375) < 0.01
+    assert cut["b"].c_loose_share == 0.5 and 0.03 < cut["b"].m_symbol_ratio < 0.07 and cut["b"].c_symbol_ratio > 0.1
+    assert 0.4 < cut["c"].c_loose_share < 0.6 and cut["c"].m_loose_share > 0.9
