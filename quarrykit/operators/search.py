@@ -6,11 +6,12 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
-from quarrykit.session import written
+from quarrykit.session import parts, ship, written
 
 
 def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -25,7 +26,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id: str, text: str, query_id: str,
 
     Queries are joined with the postings of their terms, so that only matching documents are
     touched; a term that stands twice in a query counts twice.  Scores above zero only, rounded
-    to four places, ties by id.  The number of documents includes those without terms.
+    to four places, ties by id.  The number of documents includes those without terms.  Every pair of
+    a query and a document that share a term is shuffled: ``bm25_batch`` is for more than a few queries.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.terms(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = docs.select(F.col(id).alias("id"), T.terms(F.col(text)).alias("t"))
@@ -41,6 +43,176 @@ def bm25(docs: DataFrame, queries: DataFrame, id: str, text: str, query_id: str,
     return sums.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Documents that are scored at once, or as many as have so many bytes of terms; queries that are read at once.
+DOCS, BYTES, ASKED = 65536, 1 << 26, 16384
+
+
+def _table(files: list[str]) -> pa.Table:
+    from pyarrow import fs, parquet
+
+    def one(file: str) -> pa.Table:
+        system, path = fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as f:
+            return parquet.ParquetFile(f).read()
+
+    return pa.concat_tables([one(f) for f in files])
+
+
+def _entries(rows: pa.Array, terms: int) -> tuple[np.ndarray, ...]:
+    """(doc, doc_len) of every document, and (document, term, tf) of every pair by term; rows of one id and length are one document."""
+    inner = rows.flatten()
+    n, lists = pc.struct_field(inner, 0).to_numpy(zero_copy_only=False), pc.struct_field(inner, 1)
+    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(rows).to_numpy(zero_copy_only=False))
+    known, place = np.unique(doc << 32 | n, return_inverse=True)
+    of = np.repeat(place, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    key, tf = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(known)) + of, return_counts=True)
+    term, at = np.divmod(key, max(1, len(known)))
+    return known >> 32, known & 0xFFFFFFFF, at, term, tf
+
+
+def _best(ask: Iterable[tuple[list[tuple[int, float, float]], float]], docs: np.ndarray, weight: np.ndarray, size: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, scores) for each query: its best ``k`` of a block, without those that are certainly below its bar.
+
+    A query is its terms as (first entry, entry behind the last, times, most that it adds), the dearest first.  Terms are added up
+    for all documents as long as one without the terms so far could still be among the best; the rest only for those that can.
+    """
+    slack = 1e-4  # of rounding to four places
+    score = np.zeros(size)
+    for terms, bar in ask:
+        rest = [0.0]
+        for t in reversed(terms):
+            rest.append(rest[-1] + t[3])
+        rest.reverse()
+        need, i = bar - slack, 0
+        while i < len(terms) and rest[i] >= need:
+            a, b, times, _ = terms[i]
+            here = docs[a:b]
+            now = score[here] + (weight[a:b] if times == 1 else weight[a:b] * times)
+            score[here] = now
+            i += 1
+            if i < len(terms) and k <= b - a and need < rest[0]:
+                need = max(need, np.partition(now, b - a - k)[b - a - k] - slack)  # a part of a score is no more than the score
+        found = np.flatnonzero(score >= need - rest[i]) if need > rest[i] else np.flatnonzero(score)
+        sums = score[found]
+        for j in range(i, len(terms)):
+            if len(found) > k:
+                need = max(need, np.partition(sums, len(sums) - k)[len(sums) - k] - slack)
+            can = sums >= need - rest[j]
+            found, sums = found[can], sums[can]
+            a, b, times, _ = terms[j]
+            here = docs[a:b]
+            if b - a < 10 * len(found):  # cheaper than to look each one up
+                score[found] = sums
+                score[here] += weight[a:b] * times
+                sums = score[found]
+            else:
+                at = np.minimum(np.searchsorted(here, found), b - a - 1)
+                sums = sums + np.where(here[at] == found, weight[a:b][at] * times, 0.0)
+        score.fill(0)
+        sums = np.floor(sums * 1e4 + 0.5) / 1e4
+        can = (sums > 0) & (sums >= bar)
+        if np.count_nonzero(can) > k:
+            can &= sums >= np.partition(sums, len(sums) - k)[len(sums) - k]
+        found, sums = found[can], sums[can]
+        first = np.lexsort((found, -sums))[:k]
+        yield found[first], sums[first]
+
+
+def bm25_batch(docs: DataFrame, queries: DataFrame, id: str, text: str, query_id: str, query: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The rows of ``bm25``, for a batch of queries that grows with the documents.
+
+    The pairs of queries and documents that share a term are then too many to be moved.  Documents go into the shared folder
+    as numbers of the terms that are asked for, one row per id; every task scores a block of them against all queries in
+    memory, and only the best ``k`` of each task and query are shuffled.  Ties by id, null last.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    pairs = queries.select(F.col(query_id).alias("query_id"), F.explode(T.terms(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = written(pairs.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms")))
+    words = written(asked.select(F.explode("terms.term").alias("term")).distinct())
+    asked_files, word_files = sorted(asked.inputFiles()), sorted(words.inputFiles())
+    rows = docs.select(F.col(id).alias("id"), T.terms(F.col(text)).alias("t"))
+    kinds = {"id": dict(rows.dtypes)["id"], "query_id": dict(asked.dtypes)["query_id"]}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _table(word_files).column("term").combine_chunks()
+        for batch in batches:
+            n = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            number = pc.index_in(batch.column(1).flatten(), value_set=known)
+            there = pc.is_valid(number).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(n)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), number.drop_null())], ["id", "n", "terms"])
+
+    numbers = rows.mapInArrow(numbered, f"id {kinds['id']}, n int, terms array<int>").repartition(parts(spark), "id")
+    by_id = written(numbers.groupBy("id").agg(F.collect_list(F.struct("n", "terms")).alias("rows")))
+    n, mean = by_id.select(F.explode("rows.n").alias("n")).agg(F.count("*"), F.avg("n")).first()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(_table(word_files)), dtype=np.int64)
+        for batch in batches:
+            df += np.bincount(_entries(batch.column(1), len(df))[3], minlength=len(df))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], ["term", "df"])
+
+    df_files = sorted(written(by_id.mapInArrow(counted, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))).inputFiles())
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= DOCS or sum(x.nbytes for x in held) >= BYTES:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = _table(word_files).column("term").combine_chunks(), _table(df_files)
+        df = np.zeros(len(known))
+        df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+        every = []
+        for part in _table(asked_files).to_batches(ASKED):
+            terms = part.column("terms")
+            inner = terms.flatten()
+            every.append([part.column("query_id"), np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy())]), pc.index_in(pc.struct_field(inner, 0), value_set=known).to_numpy(), pc.struct_field(inner, 1).to_numpy().astype(float), np.zeros(len(part)), None])
+        for block in blocks(batches):
+            block = block.take(pc.sort_indices(block.column("id")))
+            doc, size, at, term, tf = _entries(block.column("rows").combine_chunks(), len(known))
+            weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[at] / mean))
+            key = term * len(block) + doc[at]
+            first = np.flatnonzero(np.diff(key, prepend=-1))  # documents of one id are added up
+            if len(first) < len(key):
+                weight = np.add.reduceat(weight, first)
+            term, docs_of = key[first] // len(block), key[first] % len(block)
+            starts = np.searchsorted(term, np.arange(len(known) + 1))
+            most = np.zeros(len(known))
+            if len(term):
+                most[term[np.flatnonzero(np.diff(term, prepend=-1))]] = np.maximum.reduceat(weight, np.flatnonzero(np.diff(term, prepend=-1)))
+            for q in every:
+                query_ids, ends, number, times, bars, best = q
+                adds = most[number] * times
+                order = np.lexsort((-adds, np.repeat(np.arange(len(bars)), np.diff(ends))))
+                lists = list(zip(starts[number[order]].tolist(), starts[number[order] + 1].tolist(), times[order].tolist(), adds[order].tolist(), strict=True))
+                ask = (([t for t in lists[ends[i] : ends[i + 1]] if t[3] > 0], bars[i]) for i in range(len(bars)))
+                found = list(_best(ask, docs_of, weight, len(block), k))
+                new = pa.table({"q": np.repeat(np.arange(len(bars)), [len(x) for x, _ in found]), "score": np.concatenate([s for _, s in found]), "id": block.column("id").take(pa.array(np.concatenate([x for x, _ in found])))})
+                best = (new if best is None else pa.concat_tables([best, new])).sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+                asking = best.column("q").to_numpy()
+                place = np.arange(len(asking)) - np.searchsorted(asking, asking)
+                best = best.filter(pa.array(place < k))
+                last = place == k - 1
+                bars[asking[last]] = best.column("score").to_numpy()[np.flatnonzero(last[place < k])]
+                q[5] = best
+        for query_ids, *_, best in every:
+            if best is not None:
+                yield from best.select(["id", "score"]).add_column(0, "query_id", query_ids.take(best.column("q").combine_chunks())).to_batches()
+
+    found = by_id.mapInArrow(search, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays, in double precision; null if either is all zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

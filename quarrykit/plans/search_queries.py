@@ -66,7 +66,7 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     """Every document whose id is divisible by 50 asks, with its first sentence, all documents."""
     docs = table(spark, d, "documents")
     batch = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("query"))
-    return search.bm25(docs, batch, "doc_id", "text", "query_id", "query", 5)
+    return search.bm25_batch(docs, batch, "doc_id", "text", "query_id", "query", 5)
 
 
 _COS = "round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / nullif(sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])), 0), 6)"

@@ -78,11 +78,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions for rows that are few in bytes but dear to work on."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all cores, for rows that are few in bytes but dear to work on.
 
     Adaptive execution sizes partitions by bytes and would put such rows into one task.
     """
-    spark = df.sparkSession
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, *keys)
+    return df.repartition(parts(df.sparkSession), *keys)

@@ -102,6 +102,43 @@ def test_bm25_by_hand(spark):
     assert (row.id, row.rank) == (1, 1) and abs(row.score - want) < 1e-3
 
 
+def test_bm25_of_a_batch_is_the_sql(spark, tmp_path, monkeypatch):
+    import random
+
+    from quarrykit.plans.search_queries import bm25_sql
+    from tests.compare import spark_rows, sql_rows
+
+    monkeypatch.setattr(search, "DOCS", 7)
+    monkeypatch.setattr(search, "ASKED", 4)
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(12)] + ["the", "Cache", "é", "x", "_"]
+    text = lambda n: None if pick.random() < 0.1 else " ".join(pick.choices(words, [1 / (i + 1) for i in range(len(words))], k=pick.randrange(n)))
+    docs = [(None if i % 20 == 0 else i % 45, text(9)) for i in range(60)]  # ids repeated, with texts of equal and of other lengths
+    asked = [(None if i % 9 == 0 else f"q{i % 12}", text(6)) for i in range(18)] + [("none", "zzz"), ("twice", "w1 w1 w2")]
+    d, q = spark.createDataFrame(docs, "id int, text string").repartition(3), spark.createDataFrame(asked, "qid string, query string")
+    d.write.parquet(f"{tmp_path}/d.parquet")
+    q.write.parquet(f"{tmp_path}/a.parquet")
+    for k in (1, 3, 100):
+        sql = bm25_sql("(SELECT * FROM read_parquet('PATH/d.parquet/*.parquet'))", "id", "text", "(SELECT qid AS query_id, query FROM read_parquet('PATH/a.parquet/*.parquet'))", k).replace("PATH", str(tmp_path))
+        (tmp_path / f"none{k}").mkdir()
+        _, want = sql_rows(f"{tmp_path}/none{k}", sql)
+        assert want and spark_rows(search.bm25_batch(d, q, "id", "text", "qid", "query", k)) == want
+    assert search.bm25_batch(d, q.limit(0), "id", "text", "qid", "query", 3).count() == 0
+
+
+def test_a_batch_of_questions_does_not_shuffle_its_pairs(spark, tmp_path):
+    """600 documents of one sentence, of which 12 ask: 7,200 pairs."""
+    from quarrykit.plans.search_queries import registry
+
+    spark.range(1, 601).select(F.col("id").alias("doc_id"), F.lit("Shared cache of agents. More").alias("text")).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: {(x := stages.apply(i)).stageId(): x.shuffleWriteRecords() for stages in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for i in range(stages.size())}
+    before = shuffled()
+    rows = registry.queries["bm25_batch"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.id, r["rank"]) for r in rows) == [(50 * i, j, j) for i in range(1, 13) for j in range(1, 6)]
+    assert 0 < sum(n for stage, n in shuffled().items() if stage not in before) < 3000
+
+
 def test_fusion_adds_up_colliding_keys(spark):
     a = spark.createDataFrame([("q", "f:1", 1), ("q", "f:1", 2), ("q", "g:1", 3)], "query_id string, k string, rank int")
     got = {r.k: (r.score, r.sources) for r in search.fused({"v": a, "b": a.where("rank = 3")}, {"v": 0.6, "b": 0.4}, ["k"], 5).collect()}
